@@ -1,0 +1,11 @@
+"""Registered queries, their SQL twins, and the flagship query."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracles() -> dict:
+    return {}
