@@ -121,8 +121,9 @@ def _flat(lines: DataFrame, platform: Column) -> DataFrame:
     given = F.transform("calls", lambda c: F.coalesce(c["input"], c["arguments"], c["function"]["arguments"]))
     arg = lambda k: F.transform(given, lambda a: F.try_variant_get(a, k, "string"))
     inputs = F.transform(given, lambda a: F.coalesce(F.try_variant_get(a, "$", "string"), F.to_json(a)))
-    parts = F.coalesce(F.transform(get("$.content", "array<struct<text:string>>"), lambda p: p["text"]), get("$.content", "array<string>"))
-    content = F.coalesce(X.join_content_parts(parts), get("$.content"), get("$.text"), get("$.message"))
+    joined = lambda parts: F.nullif(X.join_content_parts(parts), F.lit(""))
+    objects = lambda k: F.transform(get(f"$.{k}", "array<struct<text:string>>"), lambda p: p["text"])
+    content = F.coalesce(*[c for k in ("content", "text", "message") for c in (joined(objects(k)), joined(get(f"$.{k}", "array<string>")), get(f"$.{k}"))])
     return turns(
         rows, timestamp=X.normalize_timestamp(F.coalesce(get("$.timestamp"), get("$.created_at"))), platform=platform, role=F.lower(F.coalesce(get("$.role"), get("$.sender"), get("$.author"))), content=content,
         model=F.coalesce(get("$.model"), get("$.model_name")), session_id=F.coalesce(get("$.session_id"), get("$.conversation_id"), get("$.chat_id"), F.col("session_stem")), source_file=F.col("source_file"), seq=F.col("line_no"), metadata=F.to_json("v"),
