@@ -149,8 +149,38 @@ def bucket_edges(own: np.ndarray, other: np.ndarray | None, bits: int) -> tuple[
     return everything[moved], everything[root[moved]]
 
 
-def link(fps: DataFrame, bits: int = 4) -> DataFrame:
-    """(src, dst) edges spanning all links between the distinct values of ``fps.fp``."""
+def direct_links(own: np.ndarray, other: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each fingerprint with a link two real ones: to the nearest and to that with most links."""
+    index = GrayIndex(own)
+    everything, shift = (index.fps, 0) if other is None else (np.concatenate([index.fps, other]), len(own))
+    n = len(everything)
+
+    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for q, m in index.probe(index.fps if other is None else other, bits):
+            a, b = q + shift, m
+            yield (a[a != b], b[a != b]) if other is None else (np.concatenate([a, b]), np.concatenate([b, a]))
+
+    degree = np.zeros(n, np.int64)
+    for a, _ in pairs():
+        degree += np.bincount(a, minlength=n)
+    none = np.iinfo(np.int64).max
+    near, hub = np.full(n, none), np.full(n, none)
+    for a, b in pairs():
+        apart = np.bitwise_count(everything[a] ^ everything[b]).astype(np.int64)
+        np.minimum.at(near, a, (apart << 32) + b)
+        np.minimum.at(hub, a, ((n - degree[b]) << 32) + b)
+    at = np.flatnonzero(near < none)
+    src = np.concatenate([at, at])
+    dst = np.concatenate([near[at], hub[at]]) & 0xFFFFFFFF
+    return everything[src], everything[dst]
+
+
+def link(fps: DataFrame, bits: int = 4, direct: bool = False) -> DataFrame:
+    """(src, dst) edges spanning all links between the distinct values of ``fps.fp``.
+
+    With ``direct`` every edge is itself a link, for a check of each to follow.
+    """
+    connect = direct_links if direct else bucket_edges
     blocks = bits + 1
     edges_at = [round(64 * b / blocks) for b in range(blocks + 1)]
     keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges_at, edges_at[1:])])
@@ -187,9 +217,9 @@ def link(fps: DataFrame, bits: int = 4) -> DataFrame:
                     continue
                 f = first[a:b]
                 if i[a] == j[a]:
-                    s, d = bucket_edges(fp[a:b], None, bits)
+                    s, d = connect(fp[a:b], None, bits)
                 elif f.any() and not f.all():
-                    s, d = bucket_edges(fp[a:b][f], fp[a:b][~f], bits)
+                    s, d = connect(fp[a:b][f], fp[a:b][~f], bits)
                 else:
                     continue
                 src.append(s), dst.append(d)
@@ -233,9 +263,106 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
     return rows.join(of_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, bits: int = 4) -> DataFrame:
+# --- near-duplicates by similarity -----------------------------------------------------------------------------------
+
+SEEDS = 3
+SKETCH = 256
+_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Another hash of each hash."""
+    if not seed:
+        return h
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD[seed])
+    return (h ^ (h >> np.uint64(29))) * np.uint64(_ODD[0])
+
+
+def word_fingerprints(text: bytes) -> tuple[int, list[int]]:
+    """(hash of the words in order, ``SEEDS`` independent SimHashes of the words with repeats)."""
+    words = text.lower().split()
+    digest = xxhash.xxh64_intdigest
+    counts = np.zeros((SEEDS, 64), np.int64)
+    for at in range(0, len(words), SHINGLES_AT_ONCE):
+        h = np.array([digest(w, 42) for w in words[at : at + SHINGLES_AT_ONCE]], "<u8")
+        for k in range(SEEDS):
+            counts[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.packbits(counts * 2 > len(words), axis=1, bitorder="little").view("<u8")
+    return digest(b" ".join(words), 7), bits[:, 0].tolist()
+
+
+def sketch(text: bytes, width: int) -> bytes:
+    """The ``SKETCH`` least hashes of the distinct word shingles, sorted: all of them for most texts."""
+    words = text.lower().split()
+    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
+    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in joined), "<u8", len(joined)))
+    return h[:SKETCH].tobytes()
+
+
+def similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two shingle sets by their sketches; exact for sets no larger than a sketch."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    least = np.union1d(x, y)
+    if len(x) == SKETCH or len(y) == SKETCH:
+        least = least[:SKETCH]
+    both = np.intersect1d(x, y, assume_unique=True)
+    return float(np.isin(both, least, assume_unique=True).sum() / len(least))
+
+
+def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
+    """(id, component_id) of the rows that aren't the least of their group of near-duplicates.
+
+    Texts with at least ``least`` of their ``width``-word shingles in common differ in
+    few words, so ``SEEDS`` SimHashes of single words put them within ``bits`` bits in
+    one at least.  The Gray-order index proposes links (equal texts stand once,
+    each fingerprint by one text), and sketches of the shingles confirm each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [word_fingerprints(t.as_py() or b"") for t in b.column(1)]
+            same = np.array([g[0] for g in got], np.uint64).view(np.int64)
+            fps = np.array([g[1] for g in got], np.uint64).reshape(-1, SEEDS).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), *(pa.array(fps[:, k].copy()) for k in range(SEEDS))], names=["id", "same", *(f"fp{k}" for k in range(SEEDS))])
+
+    columns = ", ".join(f"fp{k} long" for k in range(SEEDS))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
+    rows = materialize(source.mapInArrow(run, f"id long, same long, {columns}"), "near-rows")
+    names = ["same", *(f"fp{k}" for k in range(SEEDS))]
+    nodes = materialize(rows.groupBy(*names).agg(F.min("id").alias("node")), "near-nodes")
+    proposed = None
+    for k in range(SEEDS):
+        of = materialize(nodes.groupBy(F.col(f"fp{k}").alias("fp")).agg(F.min("node").alias("rep")), "near-fps")
+        shared = nodes.join(of, F.col(f"fp{k}") == F.col("fp")).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
+        links = link(of.select("fp"), bits, direct=True).distinct()
+        ends = links.join(of.select(F.col("fp").alias("src"), F.col("rep").alias("a")), "src").join(of.select(F.col("fp").alias("dst"), F.col("rep").alias("b")), "dst").select("a", "b")
+        part = shared.union(ends)
+        proposed = part if proposed is None else proposed.union(part)
+    pairs = materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
+
+    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t.as_py() or b"", width) for t in b.column(1)], pa.binary())], names=["id", "sketch"])
+
+    held = source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sketches, "id long, sketch binary")
+    held = materialize(held, "near-sketches")
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = pa.array([similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column(2), b.column(3))], pa.bool_())
+            yield b.select(["a", "b"]).filter(good)
+
+    real = both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
+    groups = connected_components(real.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = rows.join(nodes, names).join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+    return found.where("id <> component_id").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, least: float = 0.8) -> DataFrame:
     """One row of each group of near-duplicates: that with the least id; of repeated rows one.  Rows without an id stay."""
-    found = simhash_components(docs.where(F.col(id_col).isNotNull()), text, id_col, width, bits)
-    chosen = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    kept = docs.join(chosen, id_col, "left_semi").withColumn("_same", F.xxhash64(text)).dropDuplicates([id_col, "_same"]).drop("_same")
+    with_id = docs.where(F.col(id_col).isNotNull())
+    gone = materialize(near_components(with_id, text, id_col, width, least).select(id_col).distinct(), "near-gone")
+    kept = with_id.join(gone, id_col, "left_anti").withColumn("_same", F.xxhash64(text)).dropDuplicates([id_col, "_same"]).drop("_same")
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
