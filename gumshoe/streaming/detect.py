@@ -44,12 +44,13 @@ def session_counts(df: DataFrame, keys: list[str], time_col: str = "timestamp",
     return rows.groupBy(F.session_window(time_col, gap).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *keys, "n")
 
 
-def stream_escalation(turns: DataFrame, span: int = 5, least: int = 3, idle: str = "30 minutes") -> DataFrame:
-    """Sessions with ``least`` flagged of their last ``span`` turns (X5); a session's state is its last flags and goes when idle.
+def stream_escalation(turns: DataFrame, span: int = 5, least: int = 3, idle: str = "30 minutes", delay: str = "10 minutes") -> DataFrame:
+    """Sessions with ``least`` flagged of their last ``span`` turns.
 
-    ``turns``: session_id, seq, flag.
+    ``turns``: session_id, seq, flag, timestamp.  A session's state is its last
+    flags; it goes once the watermark is ``idle`` past the session's last turn.
     """
-    minutes = int(idle.split()[0])
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -63,7 +64,9 @@ def stream_escalation(turns: DataFrame, span: int = 5, least: int = 3, idle: str
             if sum(last) >= least:
                 out.append((key[0], int(seq), sum(last)))
         state.update((last,))
-        state.setTimeoutDuration(minutes * 60_000)
+        seen = int(rows["timestamp"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "seq", "flagged_in_window"])
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, "session_id string, seq long, flagged_in_window long", "last array<int>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    keyed = turns.withWatermark("timestamp", delay).groupBy("session_id")
+    return keyed.applyInPandasWithState(step, "session_id string, seq long, flagged_in_window long", "last array<int>", "append", GroupStateTimeout.EventTimeTimeout)

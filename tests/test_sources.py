@@ -169,7 +169,7 @@ def test_streams_equal_batch(spark, tmp_path):
     lines(tmp_path / "in" / "beta" / "b.log", ["rm -rf /home", "8.8.8.8 seen"])
     stream = S.stream_dedup(S.stream_indicators(S.read_text_stream(spark, str(tmp_path / "in")), R.IOC_RULES))
     q = stream.writeStream.format("memory").queryName("found").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     got = {(r.kind, r.value, r.platform) for r in spark.table("found").collect()}
     batch = spark.read.text(str(tmp_path / "in"), recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("content")).withColumn("platform", F.element_at(F.split("source_file", "/"), -2))
     assert got == {(r.kind, r.value, r.platform) for r in detect.scan(batch, R.IOC_RULES).collect()}
@@ -177,10 +177,10 @@ def test_streams_equal_batch(spark, tmp_path):
 
 
 def test_stream_escalation(spark, tmp_path):
-    lines(tmp_path / "in" / "a.json", [{"session_id": "s", "seq": i, "flag": i in (2, 3, 4)} for i in range(8)])
-    turns = spark.readStream.schema("session_id string, seq long, flag boolean").json(str(tmp_path / "in"))
+    lines(tmp_path / "in" / "a.json", [{"session_id": "s", "seq": i, "flag": i in (2, 3, 4), "timestamp": f"2024-05-01T10:00:0{i}Z"} for i in range(8)])
+    turns = spark.readStream.schema("session_id string, seq long, flag boolean, timestamp timestamp").json(str(tmp_path / "in"))
     q = S.stream_escalation(turns, 4, 3).writeStream.format("memory").queryName("esc").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
+    assert q.awaitTermination(120)
     assert sorted(r.seq for r in spark.table("esc").collect()) == [4, 5]
 
 
