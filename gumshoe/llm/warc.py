@@ -18,6 +18,7 @@ payload has an id; an empty table writes no record; extra columns are ignored.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 from collections.abc import Iterator
@@ -50,8 +51,11 @@ def _uuid(column):
     return F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
 
 
-def resolve(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload: str = "html") -> DataFrame:
-    """``pages`` as (page_id, url, payload, digest, bytes, record_type, refers_to): the largest id of equal payloads responds."""
+def resolve(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", payload: str = "html") -> tuple[DataFrame, float]:
+    """``pages`` as (page_id, url, payload, digest, bytes, record_type, refers_to), and the mean payload size.
+
+    The largest id of equal payloads responds.
+    """
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     url = F.coalesce(F.col("url"), F.lit("about:blank")) if "url" in pages.columns else F.lit("about:blank")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.regexp_replace(url, r"[\x00-\x20]", "%20").alias("url"), body.alias("payload"))
@@ -67,9 +71,10 @@ def resolve(pages: DataFrame, least_bytes: int = 0, id_col: str = "page_id", pay
     lone = F.col("holder").isNull() & (F.col("page_id").isNotNull() | (F.col("bytes") < least_bytes))
     joined = joined.withColumn("turn", turn)
     own = lone | (F.col("page_id").eqNullSafe(F.col("holder")) & (F.col("turn") == 1))
-    return joined.select(
+    resolved = joined.select(
         "page_id", "url", "payload", "digest", "bytes", F.when(own, "response").otherwise("revisit").alias("record_type"), F.when(~own, F.col("holder")).alias("refers_to")
     )
+    return resolved, float(heads.agg(F.avg("bytes")).first()[0] or 0)
 
 
 def record(resolved: DataFrame) -> DataFrame:
@@ -96,10 +101,13 @@ def record(resolved: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, **columns) -> None:
-    """Write deduplicated WARC files below ``path``, each of about ``FILE_BYTES`` at most a partition's payloads."""
-    resolved = resolve(pages, least_bytes, **columns)
-    resolved = resolved.hint("rebalance")
-    record(resolved).write.option("lineSep", END).text(path)
+    """Write deduplicated, gzip-compressed WARC files of about ``FILE_BYTES`` before compression below ``path``.
+
+    A task begins another file after so many records as hold that on average, so no further shuffle evens out files.
+    """
+    resolved, mean = resolve(pages, least_bytes, **columns)
+    most = max(1, int(FILE_BYTES / (mean + 512)))
+    record(resolved).write.option("lineSep", END).option("maxRecordsPerFile", most).option("compression", "gzip").text(path)
 
 
 _FIELD = re.compile(rb"([A-Za-z0-9-]+):[ \t]*([^\r\n]*)\r\n")
@@ -128,7 +136,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 rows = []
-                for h, block in parse(raw.as_py()):
+                for h, block in parse(gzip.decompress(raw.as_py())):
                     kind = h["WARC-Type"]
                     digest = base64.b32encode(hashlib.sha1(block).digest()).decode() if kind == "response" else h["WARC-Payload-Digest"].removeprefix("sha1:")
                     size = len(block) if kind == "response" else int(h["X-Payload-Length"])
