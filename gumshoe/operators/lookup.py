@@ -8,48 +8,78 @@ from pyspark.sql import functions as F
 from gumshoe.functions import text as X
 from gumshoe.operators.dedup import first_rule_wins
 
-# Hosts of model services, in catalog order (suffix, provider, category).
+# Hosts of model services, in catalog order (suffix, provider, category).  A suffix covers its
+# subdomains, so "api." hosts stand here only where their parent doesn't.
 DOMAINS = (
-    ("openai.com", "OpenAI", "inference"), ("chatgpt.com", "OpenAI", "chat"), ("anthropic.com", "Anthropic", "inference"), ("claude.ai", "Anthropic", "chat"),
-    ("deepseek.com", "DeepSeek", "inference"), ("mistral.ai", "Mistral", "inference"), ("groq.com", "Groq", "inference"), ("cohere.com", "Cohere", "inference"),
-    ("together.xyz", "Together AI", "inference"), ("replicate.com", "Replicate", "inference"), ("stability.ai", "Stability AI", "image"), ("fireworks.ai", "Fireworks AI", "inference"),
-    ("perplexity.ai", "Perplexity", "search"), ("x.ai", "xAI", "inference"), ("llama.com", "Meta Llama", "inference"), ("generativelanguage.googleapis.com", "Google Gemini", "inference"),
-    ("gemini.google.com", "Google Gemini", "chat"), ("aiplatform.googleapis.com", "Google Vertex AI", "inference"), ("openai.azure.com", "Azure OpenAI", "inference"),
-    ("bedrock-runtime.amazonaws.com", "AWS Bedrock", "inference"), ("bedrock.amazonaws.com", "AWS Bedrock", "inference"), ("watsonx.ai", "IBM watsonx", "inference"),
-    ("integrate.api.nvidia.com", "NVIDIA NIM", "inference"), ("sambanova.ai", "SambaNova", "inference"), ("cerebras.ai", "Cerebras", "inference"), ("scale.com", "Scale AI", "inference"),
-    ("anyscale.com", "Anyscale", "inference"), ("baseten.co", "Baseten", "inference"), ("runpod.ai", "RunPod", "inference"), ("modal.com", "Modal", "inference"),
-    ("lambdalabs.com", "Lambda", "inference"), ("deepinfra.com", "DeepInfra", "inference"), ("portkey.ai", "Portkey", "inference"), ("helicone.ai", "Helicone", "inference"),
-    ("langfuse.com", "Langfuse", "inference"), ("wandb.ai", "Weights & Biases", "inference"), ("huggingface.co", "HuggingFace", "inference"), ("ollama.com", "Ollama", "inference"),
-    ("lmstudio.ai", "LM Studio", "inference"), ("openrouter.ai", "OpenRouter", "inference"), ("cursor.sh", "Cursor", "code"), ("cursor.com", "Cursor", "code"),
-    ("codeium.com", "Codeium", "code"), ("tabnine.com", "Tabnine", "code"), ("replit.com", "Replit", "code"), ("elevenlabs.io", "ElevenLabs", "audio"),
-    ("midjourney.com", "Midjourney", "image"), ("runwayml.com", "Runway", "video"), ("poe.com", "Poe", "chat"), ("character.ai", "Character.AI", "chat"),
+    ("openai.com", "OpenAI", "inference"), ("anthropic.com", "Anthropic", "inference"), ("deepseek.com", "DeepSeek", "inference"), ("mistral.ai", "Mistral", "inference"),
+    ("groq.com", "Groq", "inference"), ("cohere.com", "Cohere", "inference"), ("together.xyz", "Together AI", "inference"), ("replicate.com", "Replicate", "inference"),
+    ("stability.ai", "Stability AI", "image"), ("eleuther.ai", "EleutherAI", "inference"), ("fireworks.ai", "Fireworks AI", "inference"), ("perplexity.ai", "Perplexity", "search"),
+    ("x.ai", "xAI", "inference"), ("grok.x", "xAI Grok", "inference"), ("api.llama.ai", "Meta Llama", "inference"), ("llama.com", "Meta Llama", "inference"),
+    ("api.gemini.google.com", "Google Gemini", "inference"), ("generativelanguage.googleapis.com", "Google Gemini", "inference"), ("aiplatform.googleapis.com", "Google Vertex AI", "inference"),
+    ("vertexai.googleapis.com", "Google Vertex AI", "inference"), ("api.azure.com", "Azure OpenAI", "inference"), ("openai.azure.com", "Azure OpenAI", "inference"),
+    ("bedrock-runtime.amazonaws.com", "AWS Bedrock", "inference"), ("bedrock.amazonaws.com", "AWS Bedrock", "inference"), ("api.aws.amazon.com", "AWS AI", "inference"),
+    ("inference.ai.azure.com", "Azure AI", "inference"), ("api.databricks.com", "Databricks", "inference"), ("watsonx.ai", "IBM watsonx", "inference"), ("api.nvidia.com", "NVIDIA NIM", "inference"),
+    ("integrate.api.nvidia.com", "NVIDIA NIM", "inference"), ("api.ibm.com", "IBM AI", "inference"), ("sambanova.ai", "SambaNova", "inference"), ("cerebras.ai", "Cerebras", "inference"),
+    ("scale.com", "Scale AI", "inference"), ("anyscale.com", "Anyscale", "inference"), ("baseten.co", "Baseten", "inference"), ("runpod.ai", "RunPod", "inference"), ("modal.com", "Modal", "inference"),
+    ("lambdalabs.com", "Lambda", "inference"), ("predibase.com", "Predibase", "inference"), ("octoai.cloud", "OctoAI", "inference"), ("deepinfra.com", "DeepInfra", "inference"),
+    ("lemonfox.ai", "Lemonfox", "inference"), ("portkey.ai", "Portkey", "inference"), ("helicone.ai", "Helicone", "inference"), ("langfuse.com", "Langfuse", "inference"),
+    ("langsmith.com", "LangSmith", "inference"), ("wandb.ai", "Weights & Biases", "inference"), ("huggingface.co", "HuggingFace", "inference"), ("api.ollama.com", "Ollama Cloud", "inference"),
+    ("ollama.com", "Ollama", "inference"), ("lmstudio.ai", "LM Studio", "inference"), ("gpt4all.io", "GPT4All", "inference"), ("unsloth.ai", "Unsloth", "inference"), ("vllm.ai", "vLLM", "inference"),
+    ("litellm.ai", "LiteLLM", "inference"), ("bifrost.ai", "Bifrost", "inference"), ("jan.ai", "Jan", "inference"), ("anythingllm.com", "AnythingLLM", "inference"), ("localai.io", "LocalAI", "inference"),
+    ("koboldai.net", "KoboldAI", "inference"), ("llamacpp.ai", "llama.cpp", "inference"), ("api.text-gen.com", "text-generation-webui", "inference"), ("voyageai.com", "Voyage AI", "embedding"),
+    ("jina.ai", "Jina AI", "embedding"), ("mixedbread.ai", "MixedBread", "embedding"), ("midjourney.com", "Midjourney", "image"), ("runwayml.com", "Runway", "video"), ("elevenlabs.io", "ElevenLabs", "audio"),
+    ("assemblyai.com", "AssemblyAI", "audio"), ("deepgram.com", "Deepgram", "audio"), ("api.whisper.ai", "Whisper", "audio"), ("suno.ai", "Suno", "audio"), ("udio.com", "Udio", "audio"),
+    ("ideogram.ai", "Ideogram", "image"), ("leonardo.ai", "Leonardo AI", "image"), ("fliki.ai", "Fliki", "video"), ("api.githubcopilot.com", "GitHub Copilot", "code"),
+    ("copilot-proxy.githubusercontent.com", "GitHub Copilot", "code"), ("cursor.sh", "Cursor", "code"), ("aider.chat", "Aider", "code"), ("windsurf.com", "Windsurf", "code"), ("codeium.com", "Codeium", "code"),
+    ("tabby.sh", "Tabby", "code"), ("continue.dev", "Continue", "code"), ("cline.bot", "Cline", "code"), ("roocode.com", "Roo Code", "code"), ("kilocode.com", "Kilo Code", "code"), ("devin.ai", "Devin", "code"),
+    ("antigravity.google", "Antigravity", "code"), ("eigent.ai", "Eigent", "code"), ("openclaw.ai", "OpenClaw", "agent"), ("clawdbot.ai", "Clawdbot", "agent"), ("moltbot.ai", "Moltbot", "agent"),
+    ("nanoclaw.ai", "NanoClaw", "agent"), ("openhands.ai", "OpenHands", "agent"), ("autogpt.ai", "AutoGPT", "agent"), ("crewai.com", "CrewAI", "agent"), ("langchain.com", "LangChain", "agent"),
+    ("langgraph.com", "LangGraph", "agent"), ("autogen.ai", "AutoGen", "agent"), ("openinterpreter.com", "Open Interpreter", "agent"), ("goose.ai", "Goose", "agent"), ("sweagent.com", "SWE-agent", "agent"),
+    ("gptengineer.com", "GPT Engineer", "agent"), ("devika.ai", "Devika", "agent"), ("replit.com", "Replit", "code"), ("v0.dev", "Vercel v0", "code"), ("bolt.new", "Bolt.new", "code"), ("lovable.dev", "Lovable", "code"),
+    ("blackbox.ai", "Blackbox AI", "code"), ("fitten.ai", "Fitten Code", "code"), ("amazonq.dev", "Amazon Q", "code"), ("warp.dev", "Warp", "code"), ("shellgpt.ai", "Shell-GPT", "code"), ("mcp.ai", "MCP", "agent"),
+    ("modelcontextprotocol.io", "MCP", "agent"),
 )
 # Import prefixes of model libraries, in catalog order (prefix, framework, category).
 FRAMEWORKS = (
-    ("langchain", "LangChain", "agent"), ("langchain_core", "LangChain Core", "agent"), ("langchain_community", "LangChain Community", "agent"), ("langgraph", "LangGraph", "agent"),
-    ("llama_index", "LlamaIndex", "agent"), ("crewai", "CrewAI", "agent"), ("autogen", "AutoGen", "agent"), ("openai", "OpenAI SDK", "inference"), ("anthropic", "Anthropic SDK", "inference"),
-    ("mistralai", "Mistral SDK", "inference"), ("cohere", "Cohere SDK", "inference"), ("together", "Together SDK", "inference"), ("replicate", "Replicate SDK", "inference"),
-    ("groq", "Groq SDK", "inference"), ("google.generativeai", "Google Gemini SDK", "inference"), ("vertexai", "Google Vertex AI SDK", "inference"), ("boto3", "AWS SDK (Bedrock)", "inference"),
-    ("azure.ai", "Azure AI SDK", "inference"), ("whisper", "Whisper", "audio"), ("transformers", "HuggingFace Transformers", "inference"), ("torch", "PyTorch", "inference"),
-    ("tensorflow", "TensorFlow", "inference"), ("keras", "Keras", "inference"), ("unsloth", "Unsloth", "inference"), ("vllm", "vLLM", "inference"), ("litellm", "LiteLLM", "inference"),
-    ("ollama", "Ollama", "inference"), ("llama_cpp", "llama.cpp", "inference"), ("gpt4all", "GPT4All", "inference"), ("haystack", "Haystack", "agent"), ("dspy", "DSPy", "agent"),
-    ("semantic_kernel", "Semantic Kernel", "agent"), ("instructor", "Instructor", "agent"), ("guidance", "Guidance", "agent"), ("outlines", "Outlines", "agent"),
-    ("pydantic_ai", "Pydantic AI", "agent"), ("smolagents", "SmolAgents", "agent"), ("interpreter", "Open Interpreter", "agent"), ("openhands", "OpenHands", "agent"),
-    ("autogpt", "AutoGPT", "agent"), ("sweagent", "SWE-agent", "agent"), ("aider", "Aider", "code"), ("mcp", "MCP", "agent"), ("fastmcp", "FastMCP", "agent"),
+    ("langchain", "LangChain", "agent"), ("langchain_core", "LangChain Core", "agent"), ("langchain_community", "LangChain Community", "agent"), ("langgraph", "LangGraph", "agent"), ("langsmith", "LangSmith", "inference"),
+    ("llama_index", "LlamaIndex", "agent"), ("llamaindex", "LlamaIndex", "agent"), ("crewai", "CrewAI", "agent"), ("autogen", "AutoGen", "agent"), ("autogen_agentchat", "AutoGen AgentChat", "agent"),
+    ("openai", "OpenAI SDK", "inference"), ("anthropic", "Anthropic SDK", "inference"), ("mistralai", "Mistral SDK", "inference"), ("cohere", "Cohere SDK", "inference"), ("together", "Together SDK", "inference"),
+    ("replicate", "Replicate SDK", "inference"), ("groq", "Groq SDK", "inference"), ("deepseek", "DeepSeek SDK", "inference"), ("google.generativeai", "Google Gemini SDK", "inference"), ("vertexai", "Google Vertex AI SDK", "inference"),
+    ("boto3", "AWS SDK (Bedrock)", "inference"), ("azure.ai", "Azure AI SDK", "inference"), ("openai_whisper", "Whisper", "audio"), ("whisper", "Whisper", "audio"), ("transformers", "HuggingFace Transformers", "inference"),
+    ("torch", "PyTorch", "inference"), ("tensorflow", "TensorFlow", "inference"), ("keras", "Keras", "inference"), ("unsloth", "Unsloth", "inference"), ("vllm", "vLLM", "inference"), ("litellm", "LiteLLM", "inference"),
+    ("bifrost", "Bifrost", "inference"), ("ollama", "Ollama", "inference"), ("llama_cpp", "llama.cpp", "inference"), ("llamacpp", "llama.cpp", "inference"), ("gpt4all", "GPT4All", "inference"),
+    ("text_generation", "text-generation-webui", "inference"), ("koboldcpp", "KoboldCpp", "inference"), ("localai", "LocalAI", "inference"), ("jan", "Jan", "inference"), ("anythingllm", "AnythingLLM", "inference"),
+    ("haystack", "Haystack", "agent"), ("dspy", "DSPy", "agent"), ("semantic_kernel", "Semantic Kernel", "agent"), ("instructor", "Instructor", "agent"), ("guidance", "Guidance", "agent"), ("outlines", "Outlines", "agent"),
+    ("pydantic_ai", "Pydantic AI", "agent"), ("smolagents", "SmolAgents", "agent"), ("openinterpreter", "Open Interpreter", "agent"), ("interpreter", "Open Interpreter", "agent"), ("openhands", "OpenHands", "agent"),
+    ("autogpt", "AutoGPT", "agent"), ("sweagent", "SWE-agent", "agent"), ("gpt_engineer", "GPT Engineer", "agent"), ("devika", "Devika", "agent"), ("goose", "Goose", "agent"), ("openclaw", "OpenClaw", "agent"),
+    ("clawdbot", "Clawdbot", "agent"), ("moltbot", "Moltbot", "agent"), ("nanoclaw", "NanoClaw", "agent"), ("aider", "Aider", "code"), ("codex", "Codex", "code"), ("claude", "Claude Code", "code"), ("cursor", "Cursor", "code"),
+    ("windsurf", "Windsurf", "code"), ("codeium", "Codeium", "code"), ("tabby", "Tabby", "code"), ("continue", "Continue", "code"), ("cline", "Cline", "code"), ("roo", "Roo Code", "code"), ("kilo", "Kilo Code", "code"),
+    ("devin", "Devin", "code"), ("eigent", "Eigent", "code"), ("antigravity", "Antigravity", "code"), ("replit", "Replit", "code"), ("v0", "Vercel v0", "code"), ("bolt", "Bolt.new", "code"), ("lovable", "Lovable", "code"),
+    ("blackbox", "Blackbox AI", "code"), ("fitten", "Fitten Code", "code"), ("amazonq", "Amazon Q", "code"), ("warp", "Warp", "code"), ("shellgpt", "Shell-GPT", "code"), ("sgpt", "Shell-GPT", "code"), ("mcp", "MCP", "agent"),
+    ("fastmcp", "FastMCP", "agent"), ("mcp_server", "MCP Server", "agent"),
 )
 # Chat sites by address part, in order.
 URL_PROVIDERS = (
-    ("chatgpt.com", "ChatGPT"), ("chat.openai.com", "ChatGPT"), ("claude.ai", "Claude"), ("gemini.google.com", "Gemini"), ("bard.google.com", "Gemini"), ("copilot.microsoft.com", "Copilot"),
-    ("perplexity.ai", "Perplexity"), ("poe.com", "Poe"), ("character.ai", "Character.AI"), ("chat.deepseek.com", "DeepSeek"), ("chat.mistral.ai", "Mistral"), ("huggingface.co", "HuggingFace"),
-    ("grok.com", "Grok"), ("x.ai", "Grok"), ("meta.ai", "Meta AI"), ("you.com", "You.com"), ("phind.com", "Phind"), ("midjourney.com", "Midjourney"), ("openrouter.ai", "OpenRouter"),
+    ("chatgpt.com", "OpenAI ChatGPT"), ("chat.openai.com", "OpenAI ChatGPT"), ("chatgpt", "OpenAI ChatGPT"), ("openai.com", "OpenAI"), ("claude.ai", "Anthropic Claude"), ("anthropic", "Anthropic"), ("perplexity", "Perplexity"),
+    ("gemini.google", "Google Gemini"), ("bard.google", "Google Bard"), ("aistudio", "Google AI Studio"), ("copilot", "Microsoft Copilot"), ("leo.brave", "Brave Leo"), ("grok", "xAI Grok"), ("poe.com", "Poe"), ("deepseek", "DeepSeek"),
+    ("mistral", "Mistral"), ("character.ai", "Character AI"), ("huggingface", "HuggingFace Chat"), ("you.com", "You.com"), ("phind", "Phind"), ("devin.ai", "Devin"), ("cognition", "Cognition/Devin"), ("replit", "Replit"),
+    ("cursor.sh", "Cursor"), ("windsurf", "Windsurf"),
 )
 UNKNOWN_PROVIDER = "Unknown AI provider"
-# Where tools keep files below a home folder (tool, path, risk).
+_MAC = "Library/Application Support/"
+# Where tools keep files below a home folder (tool, risk, roots).
 SHADOW_TOOLS = (
-    ("Claude Code", ".claude", "high"), ("Codex", ".codex", "high"), ("Cursor", ".cursor", "medium"), ("Windsurf", ".codeium/windsurf", "medium"), ("Gemini CLI", ".gemini", "high"),
-    ("Aider", ".aider.chat.history.md", "medium"), ("Ollama", ".ollama", "medium"), ("LM Studio", ".lmstudio", "medium"), ("Continue", ".continue", "medium"), ("OpenHands", ".openhands", "high"),
-    ("AutoGPT", "AutoGPT", "high"), ("Open Interpreter", ".config/open-interpreter", "high"), ("Goose", ".config/goose", "high"), ("GPT4All", ".local/share/nomic.ai", "low"),
-    ("Jan", "jan", "low"), ("HuggingFace cache", ".cache/huggingface", "low"), ("LiteLLM", ".litellm", "medium"), ("Shell-GPT", ".config/shell_gpt", "medium"), ("Tabby", ".tabby", "low"),
+    ("deepseek_harness", "high", (".dsh",)), ("cursor", "high", (".cursor", ".config/Cursor")), ("claude_code", "high", (".claude",)), ("codex_cli", "high", (".codex",)), ("aider", "low", (".aider", ".aider.conf.yml", ".aider.input.history")),
+    ("continue", "high", (".continue",)), ("cline", "high", (".cline",)), ("warp", "low", (".warp",)), ("shell_gpt", "low", (".shell_gpt",)), ("ollama", "medium", (".ollama",)),
+    ("lm_studio", "medium", (_MAC + "LM Studio", ".lmstudio", "AppData/Local/LM-Studio")), ("jan", "medium", (".jan",)), ("anythingllm", "medium", (".anythingllm", _MAC + "anythingllm-desktop")), ("openclaw", "high", (".openclaw", ".config/openclaw")),
+    ("clawdbot", "high", (".clawdbot", ".config/clawdbot")), ("moltbot", "high", (".moltbot", ".config/moltbot")), ("nanoclaw", "high", (".nanoclaw", ".config/nanoclaw")), ("openinterpreter", "high", (".open-interpreter",)),
+    ("autogen", "medium", (".autogen",)), ("langchain", "low", (".langchain",)), ("copilot", "medium", (".copilot", ".config/github-copilot")), ("gemini_cli", "high", (".gemini",)), ("amazon_q", "medium", (".aws/amazonq", ".config/amazonq")),
+    ("windsurf", "high", (".codeium", ".config/Windsurf")), ("kilo_code", "high", (".kilo",)), ("roo_code", "high", (".roo",)), ("goose", "high", (".config/goose", ".goose")), ("openhands", "high", (".openhands", ".config/openhands")),
+    ("devika", "high", (".devika",)), ("swe_agent", "high", (".swe-agent",)), ("gpt_engineer", "medium", (".gpt_engineer",)), ("tabby", "low", (".tabby",)), ("fitten", "low", (".fitten",)), ("codeium", "low", (".codeium",)),
+    ("blackbox", "low", (".blackbox",)), ("replit", "low", (".replit",)), ("v0", "low", (".v0",)), ("bolt", "low", (".bolt",)), ("lovable", "low", (".lovable",)), ("cursor_rules", "low", (".cursorrules",)),
+    ("antigravity", "high", (".antigravity", ".config/Antigravity", _MAC + "Antigravity")), ("devin", "high", (".devin", ".config/devin", _MAC + "Devin")), ("vscodium", "low", (".config/VSCodium", _MAC + "VSCodium")),
+    ("eigent", "high", (".eigent", ".config/eigent", _MAC + "Eigent")), ("gordon", "high", (".docker/gordon",)), ("docker_ai", "medium", (".docker/models", ".docker/gordon")),
+    ("browser_ai", "medium", (_MAC + "BraveSoftware", _MAC + "Google/Chrome", _MAC + "Microsoft Edge")),
 )
 _HOME = r"^(/home/[^/]+/|/root/|/Users/[^/]+/|[A-Za-z]:[\\/]Users[\\/][^\\/]+[\\/])"
 
@@ -86,14 +116,14 @@ def classify_domain(df: DataFrame, known: DataFrame, host: str = "host", keys: t
 
     ``known`` is a fixed catalog of a few hundred rows, so it is broadcast.
     """
-    long = df.select(*keys, F.explode(dotted_suffixes(F.lower(F.col(host)))).alias("suffix"))
+    long = df.select(*keys, F.explode(dotted_suffixes(F.rtrim(F.lower(F.trim(host)), F.lit(".")))).alias("suffix"))
     hits = first_rule_wins(long.join(F.broadcast(known), "suffix"), list(keys), "no", ["provider", "category"])
     return df.join(hits, list(keys), "left")
 
 
 def classify_import(df: DataFrame, known: DataFrame, module: str = "module", keys: tuple[str, ...] = ("module",)) -> DataFrame:
     """Framework of each import by the first catalog prefix that fits; null if none."""
-    long = df.select(*keys, F.explode(prefixes(F.col(module), ".")).alias("prefix"))
+    long = df.select(*keys, F.explode(prefixes(F.lower(F.trim(module)), ".")).alias("prefix"))
     hits = first_rule_wins(long.join(F.broadcast(known), "prefix"), list(keys), "no", ["framework", "category"])
     return df.join(hits, list(keys), "left")
 
@@ -149,7 +179,7 @@ def shadow_ai_tools(files: DataFrame, tools: DataFrame, path: str = "path") -> D
 
 
 def shadow_tools(spark: SparkSession) -> DataFrame:
-    return catalog(spark, SHADOW_TOOLS, ("tool", "root", "risk"))
+    return catalog(spark, [(tool, root, risk) for tool, risk, roots in SHADOW_TOOLS for root in roots], ("tool", "root", "risk"))
 
 
 def resolve_port_service(rows: DataFrame, ports: DataFrame) -> DataFrame:

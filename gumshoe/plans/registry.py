@@ -729,7 +729,7 @@ def files(spark, sf_dir) -> DataFrame:
 _FILES = "files AS (SELECT '/home/' || source || '/' || (['.claude/projects/x.jsonl', '.cursor/mcp.json', 'notes/readme.txt', '.ollama/history', 'src/node_modules/a.py', 'src/app.py', '.env'])[doc_id % 7 + 1] AS path, source AS platform, length(text) AS size, doc_id FROM documents)"
 
 
-@query(f"WITH {_FILES} SELECT CASE WHEN contains(path, '/.claude/') THEN 'Claude Code' WHEN contains(path, '/.cursor/') THEN 'Cursor' ELSE 'Ollama' END AS tool, count(DISTINCT path) AS n_files FROM files WHERE contains(path, '/.claude/') OR contains(path, '/.cursor/') OR contains(path, '/.ollama/') GROUP BY ALL")
+@query(f"WITH {_FILES} SELECT CASE WHEN contains(path, '/.claude/') THEN 'claude_code' WHEN contains(path, '/.cursor/') THEN 'cursor' ELSE 'ollama' END AS tool, count(DISTINCT path) AS n_files FROM files WHERE contains(path, '/.claude/') OR contains(path, '/.cursor/') OR contains(path, '/.ollama/') GROUP BY ALL")
 def shadow_ai_tools(spark, sf_dir):
     """Tools by the folders that hold their files."""
     return lookup.shadow_ai_tools(files(spark, sf_dir).dropDuplicates(["path"]), lookup.shadow_tools(spark)).select("tool", "n_files")

@@ -88,9 +88,9 @@ def test_cross_platform(spark):
 
 
 def test_domain_lookup(spark):
-    hosts = spark.createDataFrame([("api.openai.com",), ("openai.com",), ("notopenai.com",), ("",), ("x.y.claude.ai",)], ["host"])
+    hosts = spark.createDataFrame([("api.openai.com",), ("openai.com",), ("notopenai.com",), ("",), ("x.y.wandb.ai.",)], ["host"])
     got = {r.host: r.provider for r in lookup.classify_domain(hosts, lookup.domains(spark)).collect()}
-    assert got == {"api.openai.com": "OpenAI", "openai.com": "OpenAI", "notopenai.com": None, "": None, "x.y.claude.ai": "Anthropic"}
+    assert got == {"api.openai.com": "OpenAI", "openai.com": "OpenAI", "notopenai.com": None, "": None, "x.y.wandb.ai.": "Weights & Biases"}
 
 
 def test_import_lookup(spark):
@@ -101,12 +101,12 @@ def test_import_lookup(spark):
 
 def test_url_provider(spark):
     df = spark.createDataFrame([("https://claude.ai/x",), ("https://nowhere.test",)], ["u"])
-    assert [r[0] for r in df.select(lookup.provider_for_url(F.col("u"))).collect()] == ["Claude", lookup.UNKNOWN_PROVIDER]
+    assert [r[0] for r in df.select(lookup.provider_for_url(F.col("u"))).collect()] == ["Anthropic Claude", lookup.UNKNOWN_PROVIDER]
 
 
 def test_shadow_tools(spark):
     df = spark.createDataFrame([("/home/a/.claude/x.json",), ("/Users/b/.config/goose/c.yaml",), ("/srv/.claude/x",), ("/home/a/work/.claude",)], ["path"])
-    assert {r.tool for r in lookup.shadow_ai_tools(df, lookup.shadow_tools(spark)).collect()} == {"Claude Code", "Goose"}
+    assert {r.tool for r in lookup.shadow_ai_tools(df, lookup.shadow_tools(spark)).collect()} == {"claude_code", "goose"}
 
 
 def test_budgeted_collection(spark):
