@@ -46,6 +46,9 @@ DECAY, SPAN, LETTERS, WIDTH, STEP = 0.7, 5, 64, 24, 16
 PAIRS = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
 FLOOR = -1.0
 CANDIDATES, NEGATIVES, SWAPS = 3000, 5000, 600
+#: Words, and words whose norm is needed, held as arrays at once.
+WORDS_AT_ONCE, EXACT_AT_ONCE = 16_384, 2048
+TEXTS_AT_ONCE = 1024
 # Characters that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SPACED = r"(?:^|\s)[^\s](?:\s[^\s]){3,}(?:\s|$)"
@@ -121,8 +124,8 @@ class KernelModel:
         by_size = np.fromiter(map(len, words), np.int64, len(words)) > 12
         for pick, width in ((~by_size, 12), (by_size, WIDTH)):
             at = np.flatnonzero(pick)
-            for s in range(0, len(at), 65_536):
-                some = at[s : s + 65_536]
+            for s in range(0, len(at), WORDS_AT_ONCE):
+                some = at[s : s + WORDS_AT_ONCE]
                 codes, owner = windows([words[i] for i in some.tolist()])
                 codes = codes[:, :width]
                 dot, own = np.zeros(len(codes)), np.zeros(len(codes))
@@ -131,10 +134,11 @@ class KernelModel:
                     own += w * w * v.sum(1)
                 # ``own`` is at most the squared norm, so this bounds the margin from above.
                 hope = np.flatnonzero((own > 0) & (dot / np.sqrt(np.maximum(own, 1e-12)) + self.bias > FLOOR) & (dot > 0))
-                if len(hope):
-                    _, w = features(codes[hope])
-                    exact = dot[hope] / np.sqrt((w * w).sum(1)) + self.bias
-                    np.maximum.at(out, some[owner[hope]], exact)
+                for h in range(0, len(hope), EXACT_AT_ONCE):
+                    near = hope[h : h + EXACT_AT_ONCE]
+                    _, w = features(codes[near])
+                    exact = dot[near] / np.sqrt((w * w).sum(1)) + self.bias
+                    np.maximum.at(out, some[owner[near]], exact)
         return out
 
     def probability(self, margin: np.ndarray) -> np.ndarray:
@@ -170,8 +174,8 @@ def score(docs: DataFrame, model: KernelModel | float, text: str = "text", id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                part = b.slice(at, 4096)
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(at, TEXTS_AT_ONCE)
                 p = shared.value.probability(text_margins(shared.value, part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64())], names=[id_col, "score"])
 
@@ -251,6 +255,21 @@ def fit_words(positive: dict[str, float], negative: list[str]) -> KernelModel:
     return KernelModel(table, float(theta[-1]))
 
 
+def _witnesses(model: KernelModel, part: pa.RecordBatch) -> pa.RecordBatch:
+    """(label, most toxic string, its margin) of each bag."""
+    bags = part.column(1)
+    starts = np.asarray(bags.offsets).astype(np.int64)
+    coded = bags.flatten().dictionary_encode()
+    index = np.asarray(coded.indices)
+    words = coded.dictionary.to_pylist()
+    m = model.margins(words)[index] if len(index) else np.zeros(0)
+    starts -= starts[0]
+    best = [int(a + m[a:b].argmax()) if b > a else -1 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+    word = [words[index[k]] if k >= 0 else "" for k in best]
+    margin = [float(m[k]) if k >= 0 else FLOOR for k in best]
+    return pa.RecordBatch.from_arrays([part.column(0), pa.array(word, pa.string()), pa.array(margin, pa.float64())], names=["label", "word", "margin"])
+
+
 def _cover(rows: pd.DataFrame, gain: dict[str, float]) -> dict[str, float]:
     """Greedy cover: the word that explains most texts not yet explained, again and again."""
     of = {w: set(d) for w, d in rows.groupby("word")["doc_id"]}
@@ -269,13 +288,16 @@ def _cover(rows: pd.DataFrame, gain: dict[str, float]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, text: str = "text", most: int = TRAIN_ROWS) -> KernelModel | float:
     """Learn from labelled rows outside the held-out fold, about ``most`` at most."""
     ids = training_ids(labels, label, folds, held, most)
-    sample = docs.join(ids, "doc_id").select("doc_id", "label", F.col(text).alias("text"))
+    sample = docs.select("doc_id", F.col(text).alias("_text")).join(ids, "doc_id").select("doc_id", "label", "_text")
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "label": b["label"], "words": [_strings(t) for t in b["text"]]})
+            for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                part = b.slice(at, TEXTS_AT_ONCE)
+                words = pa.array([_strings(t.as_py()) for t in part.column(2)], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words], names=["doc_id", "label", "words"])
 
-    bags = materialize(sample.mapInPandas(strings, "doc_id long, label int, words array<string>"), "toxic-train")
+    bags = materialize(sample.mapInArrow(strings, "doc_id long, label int, words array<string>"), "toxic-train")
     share = {r["label"]: r["count"] for r in bags.groupBy("label").count().collect()}
     if len(share) < 2:
         return (share.get(1, 0) + 1) / (sum(share.values()) + 2)
@@ -298,17 +320,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     for _ in range(3):
         bad = [w for w in bad if w not in positive]
         model = fit_words(positive, bad)
-        shared = model
 
-        def top(batches: Iterator[pd.DataFrame], m=shared) -> Iterator[pd.DataFrame]:
+        def top(batches: Iterator[pa.RecordBatch], m=model) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                flat = sorted({w for ws in b["words"] for w in ws})
-                value = dict(zip(flat, m.margins(flat).tolist()))
-                word = [max(ws, key=lambda w: (value[w], w)) if len(ws) else "" for ws in b["words"]]
-                yield pd.DataFrame({"label": b["label"], "word": word, "margin": [value.get(w, FLOOR) for w in word]})
+                for at in range(0, b.num_rows, TEXTS_AT_ONCE):
+                    yield _witnesses(m, b.slice(at, TEXTS_AT_ONCE))
 
         # A row per text of the bounded sample.
-        witness = bags.mapInPandas(top, "label int, word string, margin double").toPandas()
+        witness = bags.select("label", "words").mapInArrow(top, "label int, word string, margin double").toPandas()
         hard = witness[(witness["label"] == 0) & (witness["margin"] > -0.6)].sort_values(["margin", "word"], ascending=False)
         bad = list(dict.fromkeys([*bad, *hard["word"].tolist()[: SWAPS * 2]]))
         chosen = Counter(witness.loc[(witness["label"] == 1) & (witness["margin"] > -0.5), "word"])
