@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     names = list(statistics(F.lit("")))
     ids = training_ids(labels, label, folds, held, most)
-    rows = docs.join(ids, "doc_id").select(F.col("label").cast("double"), stats_struct(F.col(text)).alias("s")).select("label", "s.*")
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(ids, "doc_id").select(F.col("label").cast("double"), stats_struct(F.col("_text")).alias("s")).select("label", "s.*")
     rows = materialize(rows, "quality-train").coalesce(6)
     share = dict(rows.groupBy("label").count().collect())
     if len(share) < 2:
