@@ -115,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
         p = (share.get(1.0, 0) + 1) / (n + 2)
         return RuleModel(tuple(names), (), float(_logit(p)))
     total = sum(share.values())
-    weight = F.when(F.col("label") == 1.0, total / (2 * share[1.0])).otherwise(total / (2 * share[0.0]))
+    # Between the plain and the balanced sample: rare bad texts count more, doubtful ones lean to the common class.
+    weight = F.when(F.col("label") == 1.0, (total / share[1.0]) ** 0.5).otherwise((total / share[0.0]) ** 0.5)
     vectors = VectorAssembler(inputCols=names, outputCol="x").transform(rows.withColumn("w", weight)).persist()
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=5, featureSubsetStrategy="onethird", subsamplingRate=0.8
