@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import connected_components, materialize
+from gumshoe.llm.common import connected_components, materialize, small
 
 FANOUT = 16
 FRONTIER = 2_000_000
@@ -149,107 +149,124 @@ def bucket_edges(own: np.ndarray, other: np.ndarray | None, bits: int) -> tuple[
     return everything[moved], everything[root[moved]]
 
 
-def direct_links(own: np.ndarray, other: np.ndarray | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each fingerprint with a link two real ones: to the nearest and to that with most links."""
-    index = GrayIndex(own)
-    everything, shift = (index.fps, 0) if other is None else (np.concatenate([index.fps, other]), len(own))
-    n = len(everything)
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for q, m in index.probe(index.fps if other is None else other, bits):
-            a, b = q + shift, m
-            yield (a[a != b], b[a != b]) if other is None else (np.concatenate([a, b]), np.concatenate([b, a]))
-
-    degree = np.zeros(n, np.int64)
-    for a, _ in pairs():
-        degree += np.bincount(a, minlength=n)
-    none = np.iinfo(np.int64).max
-    near, hub = np.full(n, none), np.full(n, none)
-    for a, b in pairs():
-        apart = np.bitwise_count(everything[a] ^ everything[b]).astype(np.int64)
-        np.minimum.at(near, a, (apart << 32) + b)
-        np.minimum.at(hub, a, ((n - degree[b]) << 32) + b)
-    at = np.flatnonzero(near < none)
-    src = np.concatenate([at, at])
-    dst = np.concatenate([near[at], hub[at]]) & 0xFFFFFFFF
-    return everything[src], everything[dst]
-
-
-def link(fps: DataFrame, bits: int = 4, direct: bool = False) -> DataFrame:
-    """(src, dst) edges spanning all links between the distinct values of ``fps.fp``.
-
-    With ``direct`` every edge is itself a link, for a check of each to follow.
-    """
-    connect = direct_links if direct else bucket_edges
+def _dealt(fps: DataFrame, bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of all block tables, sorted by bucket in their partitions: block, key, i, j, first, fp and ``keep``."""
     blocks = bits + 1
     edges_at = [round(64 * b / blocks) for b in range(blocks + 1)]
     keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges_at, edges_at[1:])])
-    dealt = fps.select("fp", F.posexplode(keys).alias("block", "key"))
+    dealt = fps.select("fp", *keep, F.posexplode(keys).alias("block", "key"))
     sizes = dealt.groupBy("block", "key").count().where("count > 1")
-    spark = fps.sparkSession
     total = fps.count() * blocks
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = max(LEAST_CHUNK, total // max(1, parts))
     rows = (
         dealt.join(sizes, ["block", "key"])
         .withColumn("n", F.ceil(F.col("count") / chunk).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), F.col("n")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("fp", *keep, F.lit(7)), F.col("n")).cast("int"))
         .withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(
-            "block", "key", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") <= F.col("peer")).alias("first"), "fp"
-        )
+        .select("block", "key", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") <= F.col("peer")).alias("first"), "fp", *keep)
     )
+    return rows.repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j")
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Whole buckets of a sorted partition: each a list of columns first, fp, ...; ``first`` is None where all rows meet all."""
+    held: list[list[np.ndarray]] = []
+
+    def split(cols: list[np.ndarray], upto: int) -> Iterator[list[np.ndarray]]:
+        keys = [c[:upto] for c in cols[:4]]
+        cut = np.flatnonzero(np.any([np.diff(k) != 0 for k in keys], axis=0)) + 1
+        bounds = np.concatenate([[0], cut, [upto]]).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            if b - a > 1:
+                one = keys[2][a] == keys[3][a]
+                if one or (cols[4][a:b].any() and not cols[4][a:b].all()):
+                    yield [None if one else cols[4][a:b], *(c[a:b] for c in cols[5:])]
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [np.asarray(b.column(k)) for k in range(4)] + [b.column(4).to_numpy(zero_copy_only=False)] + [np.asarray(c) for c in b.columns[5:]]
+        if held and all(held[-1][k][-1] == cols[k][0] == cols[k][-1] for k in range(4)):
+            held.append(cols)
+            continue
+        held.append(cols)
+        cols = [np.concatenate(x) for x in zip(*held)]
+        same = np.all([c == c[-1] for c in cols[:4]], axis=0)
+        upto = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+        if upto:
+            yield from split(cols, upto)
+        held = [[c[upto:] for c in cols]]
+    if held:
+        cols = [np.concatenate(x) for x in zip(*held)]
+        yield from split(cols, len(cols[0]))
+
+
+def _edges(parts: Iterator[tuple[np.ndarray, np.ndarray]], names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
+    """Edges as batches of some size."""
+    held, n = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64, copy=False)) for x in zip(*held)], names=list(names))
+
+    for src, dst in parts:
+        if len(src):
+            held.append((src, dst))
+            n += len(src)
+        if n > 50_000:
+            yield batch()
+            held, n = [], 0
+    if held:
+        yield batch()
+
+
+def link(fps: DataFrame, bits: int = 4) -> DataFrame:
+    """(src, dst) edges spanning all links between the distinct values of ``fps.fp``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def emit(cols: list[np.ndarray], upto: int) -> pa.RecordBatch | None:
-            block, key, i, j, first, fp = (c[:upto] for c in cols)
-            cut = np.flatnonzero((np.diff(block) != 0) | (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            bounds = np.concatenate([[0], cut, [upto]])
-            src, dst = [], []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                if b - a < 2:
-                    continue
-                if b - a == 2:
-                    if np.bitwise_count(fp[a] ^ fp[a + 1]) <= bits:
-                        src.append(fp[a : a + 1]), dst.append(fp[a + 1 : b])
-                    continue
-                f = first[a:b]
-                if i[a] == j[a]:
-                    s, d = connect(fp[a:b], None, bits)
-                elif f.any() and not f.all():
-                    s, d = connect(fp[a:b][f], fp[a:b][~f], bits)
-                else:
+        def edges() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for first, fp in _buckets(batches):
+                fp = fp.view(np.uint64)
+                if len(fp) == 2:
+                    if np.bitwise_count(fp[0] ^ fp[1]) <= bits:
+                        yield fp[:1].view(np.int64), fp[1:].view(np.int64)
                     continue
-                src.append(s), dst.append(d)
-            if not src:
-                return None
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (src, dst)], names=["src", "dst"])
+                s, d = bucket_edges(fp, None, bits) if first is None else bucket_edges(fp[first], fp[~first], bits)
+                yield s.view(np.int64), d.view(np.int64)
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [np.asarray(b.column(k)) for k in range(4)] + [b.column(4).to_numpy(zero_copy_only=False), np.asarray(b.column(5)).view(np.uint64)]
-            if held:
-                last = [held[-1][k][-1] for k in range(4)]
-                if all(last[k] == cols[k][0] == cols[k][-1] for k in range(4)):
-                    held.append(cols)
-                    continue
-            held.append(cols)
-            cols = [np.concatenate(x) for x in zip(*held)]
-            same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1]) & (cols[2] == cols[2][-1]) & (cols[3] == cols[3][-1])
-            upto = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if upto and (out := emit(cols, upto)) is not None:
-                yield out
-            held = [[c[upto:] for c in cols]]
-        if held:
-            cols = [np.concatenate(x) for x in zip(*held)]
-            if (out := emit(cols, len(cols[0]))) is not None:
-                yield out
+        yield from _edges(edges(), ("src", "dst"))
+
+    return _dealt(fps, bits).mapInArrow(run, "src long, dst long")
+
+
+def link_nodes(nodes: DataFrame, bits: int, wide: int) -> DataFrame:
+    """(a, b) pairs of nodes (node, fp, also) whose fp differ in at most ``bits`` and whose also in at most ``wide`` bits.
+
+    Each node with such a pair in a bucket gives two: with the nearest, and with the first in Gray order.
+    """
+
+    def chosen(first, fp, also, node) -> tuple[np.ndarray, np.ndarray]:
+        fp, also = fp.view(np.uint64), also.view(np.uint64)
+        order = np.argsort(gray_rank(fp), kind="stable") if first is None else np.concatenate([(k := np.flatnonzero(first))[np.argsort(gray_rank(fp[k]), kind="stable")], np.flatnonzero(~first)])
+        fp, also, node = fp[order], also[order], node[order]
+        own = len(fp) if first is None else int(first.sum())
+        index, n, none = GrayIndex(fp[:own]), len(fp), np.iinfo(np.int64).max
+        near, low = np.full(n, none), np.full(n, none)
+        for q, m in index.probe(fp if first is None else fp[own:], bits):
+            q = q if first is None else q + own
+            good = (q != m) & (np.bitwise_count(also[q] ^ also[m]) <= wide)
+            q, m = q[good], m[good]
+            apart = np.bitwise_count(also[q] ^ also[m]).astype(np.int64) << 32
+            for a, b in ((q, m),) if first is None else ((q, m), (m, q)):
+                np.minimum.at(near, a, apart + b)
+                np.minimum.at(low, a, b)
+        at = np.flatnonzero(near < none)
+        return np.concatenate([node[at], node[at]]), np.concatenate([node[near[at] & 0xFFFFFFFF], node[low[at]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _edges((chosen(*bucket) for bucket in _buckets(batches)), ("a", "b"))
 
-    dealt_out = rows.repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j")
-    return dealt_out.mapInArrow(run, "src long, dst long")
+    return _dealt(nodes, bits, ("also", "node")).mapInArrow(run, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, bits: int = 4) -> DataFrame:
@@ -267,6 +284,8 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 
 SEEDS = 3
 SKETCH = 256
+#: Shingle SimHashes of texts with 0.8 of their shingles in common differ in 10 bits on average, those of others in 32.
+WIDE = 20
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -278,8 +297,8 @@ def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))) * np.uint64(_ODD[0])
 
 
-def word_fingerprints(text: bytes) -> tuple[int, list[int]]:
-    """(hash of the words in order, ``SEEDS`` independent SimHashes of the words with repeats)."""
+def word_fingerprints(text: bytes, width: int) -> tuple[int, list[int]]:
+    """(hash of the words in order, ``SEEDS`` independent SimHashes of the words with repeats and one of the shingles)."""
     words = text.lower().split()
     digest = xxhash.xxh64_intdigest
     counts = np.zeros((SEEDS, 64), np.int64)
@@ -288,7 +307,7 @@ def word_fingerprints(text: bytes) -> tuple[int, list[int]]:
         for k in range(SEEDS):
             counts[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     bits = np.packbits(counts * 2 > len(words), axis=1, bitorder="little").view("<u8")
-    return digest(b" ".join(words), 7), bits[:, 0].tolist()
+    return digest(b" ".join(words), 7), [*bits[:, 0].tolist(), fingerprint(text, width)]
 
 
 def sketch(text: bytes, width: int) -> bytes:
@@ -314,29 +333,26 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Texts with at least ``least`` of their ``width``-word shingles in common differ in
     few words, so ``SEEDS`` SimHashes of single words put them within ``bits`` bits in
-    one at least.  The Gray-order index proposes links (equal texts stand once,
-    each fingerprint by one text), and sketches of the shingles confirm each.
+    one at least.  The Gray-order index proposes such links between different texts, a
+    SimHash of the shingles drops those that differ in over ``WIDE`` bits, and sketches
+    of the shingles confirm the rest.
     """
+    fps = [f"fp{k}" for k in range(SEEDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [word_fingerprints(t.as_py() or b"") for t in b.column(1)]
+            got = [word_fingerprints(t.as_py() or b"", width) for t in b.column(1)]
             same = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            fps = np.array([g[1] for g in got], np.uint64).reshape(-1, SEEDS).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), *(pa.array(fps[:, k].copy()) for k in range(SEEDS))], names=["id", "same", *(f"fp{k}" for k in range(SEEDS))])
+            found = np.array([g[1] for g in got], np.uint64).reshape(-1, SEEDS + 1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), *(pa.array(found[:, k].copy()) for k in range(SEEDS + 1))], names=["id", "same", *fps, "also"])
 
-    columns = ", ".join(f"fp{k} long" for k in range(SEEDS))
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
-    rows = materialize(source.mapInArrow(run, f"id long, same long, {columns}"), "near-rows")
-    names = ["same", *(f"fp{k}" for k in range(SEEDS))]
+    rows = materialize(source.mapInArrow(run, f"id long, same long, {', '.join(f'{f} long' for f in fps)}, also long"), "near-rows")
+    names = ["same", *fps, "also"]
     nodes = materialize(rows.groupBy(*names).agg(F.min("id").alias("node")), "near-nodes")
     proposed = None
-    for k in range(SEEDS):
-        of = materialize(nodes.groupBy(F.col(f"fp{k}").alias("fp")).agg(F.min("node").alias("rep")), "near-fps")
-        shared = nodes.join(of, F.col(f"fp{k}") == F.col("fp")).where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))
-        links = link(of.select("fp"), bits, direct=True).distinct()
-        ends = links.join(of.select(F.col("fp").alias("src"), F.col("rep").alias("a")), "src").join(of.select(F.col("fp").alias("dst"), F.col("rep").alias("b")), "dst").select("a", "b")
-        part = shared.union(ends)
+    for f in fps:
+        part = link_nodes(nodes.select(F.col(f).alias("fp"), "also", "node"), bits, WIDE)
         proposed = part if proposed is None else proposed.union(part)
     pairs = materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
@@ -345,8 +361,8 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t.as_py() or b"", width) for t in b.column(1)], pa.binary())], names=["id", "sketch"])
 
-    held = source.join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sketches, "id long, sketch binary")
-    held = materialize(held, "near-sketches")
+    held = source.join(small(wanted), "id", "left_semi").mapInArrow(sketches, "id long, sketch binary")
+    held = materialize(held.dropDuplicates(["id"]), "near-sketches")
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,5 +380,11 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     """One row of each group of near-duplicates: that with the least id; of repeated rows one.  Rows without an id stay."""
     with_id = docs.where(F.col(id_col).isNotNull())
     gone = materialize(near_components(with_id, text, id_col, width, least).select(id_col).distinct(), "near-gone")
-    kept = with_id.join(gone, id_col, "left_anti").withColumn("_same", F.xxhash64(text)).dropDuplicates([id_col, "_same"]).drop("_same")
+    kept = with_id.join(small(gone), id_col, "left_anti")
+    # Texts are shuffled only for ids that occur again.
+    again = with_id.groupBy(id_col, F.xxhash64(text).alias("_same")).count().where("count > 1").select(id_col).distinct()
+    again = materialize(again, "near-again")
+    if again.count():
+        once = kept.join(small(again), id_col, "left_anti")
+        kept = once.unionByName(kept.join(small(again), id_col, "left_semi").withColumn("_same", F.xxhash64(text)).dropDuplicates([id_col, "_same"]).drop("_same"))
     return kept.unionByName(docs.where(F.col(id_col).isNull()))
