@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.llm.common import connected_components, materialize
+from gumshoe.llm.simhash import _roots
 
 PIVOTS = 24
 SAMPLE_ROWS = 2048
@@ -80,28 +81,31 @@ def _links(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
 
 
 def _join_cell(cosine: float):
-    """Links of one chunk pair: counts for each vector, and an edge to the least linked one."""
+    """Links of one chunk pair: counts for each vector, and an edge to the least one reachable over them."""
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("first", ignore_index=True)
         x, ids, n = _unit(part["x"]), part["first"].to_numpy(), part["copies"].to_numpy()
         core = part["core"].to_numpy()
         own, peer = part["own"].to_numpy(), part["peer"].to_numpy()
-        counts, edge = np.zeros(len(x), np.int64), ids.copy()
+        counts = np.zeros(len(x), np.int64)
         left = np.flatnonzero(own <= peer)
         right = np.flatnonzero(own >= peer) if own[0] == peer[0] else np.flatnonzero(own > peer)
-        for at in range(0, len(left), 1024):
-            q = left[at : at + 1024]
-            near = _links(x[q], x[right], cosine) & (core[q][:, None] | core[right][None, :])
-            if own[0] == peer[0]:
-                near &= q[:, None] != right[None, :]
-            else:
-                counts[right] += near.T @ n[q]
-                back = np.where(near, ids[q][:, None], np.iinfo(np.int64).max).min(axis=0, initial=np.iinfo(np.int64).max)
-                edge[right] = np.minimum(edge[right], back)
-            counts[q] += near @ n[right]
-            ahead = np.where(near, ids[right][None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-            edge[q] = np.minimum(edge[q], ahead)
+
+        def links():
+            for at in range(0, len(left), 1024):
+                q = left[at : at + 1024]
+                near = _links(x[q], x[right], cosine) & (core[q][:, None] | core[right][None, :])
+                if own[0] == peer[0]:
+                    near &= q[:, None] != right[None, :]
+                else:
+                    counts[right] += near.T @ n[q]
+                counts[q] += near @ n[right]
+                for k in range(0, len(q), 128):  # bounds the pairs of a dense block
+                    i, j = np.nonzero(near[k : k + 128])
+                    yield q[k + i], right[j]
+
+        edge = ids[_roots(len(x), links())]  # rows are in order of id, so the least position holds the least id
         some = counts > 0
         return pd.DataFrame({"first": ids[some], "links": counts[some], "edge": edge[some]})
 

@@ -317,6 +317,17 @@ def test_range_join(spark):
     assert range_join.range_join(empty(df)).count() == 0
 
 
+def test_range_join_spans_chains(spark):
+    ids = list(range(300))
+    random.Random(8).shuffle(ids)
+    turn = np.radians(np.arange(300) * 0.3)  # the chain links over 60 steps, its ends don't
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))]) for i, a in zip(ids, turn)]
+    small = [(1000 + i, [0.0, 0.0, float(np.cos(a)), float(np.sin(a))]) for i, a in zip((1, 3, 4, 2), np.radians([0, 18, 36, 54]))]
+    got = range_join.range_join(spark.createDataFrame(rows + small, "vec_id long, embedding array<float>"), 0.95, pivots=1).collect()
+    assert {r.vec_id: r.component_id for r in got} == {i: 0 for i in ids} | {i: 1001 for i, _ in small}
+    assert sorted(r.vec_id for r in got if r.kept) == [0, 1001]
+
+
 # --- op 9 ----------------------------------------------------------------------------------------------------------
 
 
