@@ -149,22 +149,25 @@ def bucket_edges(own: np.ndarray, other: np.ndarray | None, bits: int) -> tuple[
     return everything[moved], everything[root[moved]]
 
 
-def _dealt(fps: DataFrame, bits: int, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows of all block tables, sorted by bucket in their partitions: block, key, i, j, first, fp and ``keep``."""
+def _dealt(fps: DataFrame, bits: int) -> DataFrame:
+    """Rows of all block tables, sorted by bucket in their partitions: block, key, i, j, first, fp."""
     blocks = bits + 1
     edges_at = [round(64 * b / blocks) for b in range(blocks + 1)]
     keys = F.array(*[F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges_at, edges_at[1:])])
-    dealt = fps.select("fp", *keep, F.posexplode(keys).alias("block", "key"))
+    return _by_bucket(fps.select("fp", F.posexplode(keys).alias("block", "key")), fps.count() * blocks, ("fp",))
+
+
+def _by_bucket(dealt: DataFrame, total: int, keep: tuple[str, ...]) -> DataFrame:
+    """Rows (block, key, ``keep``) of buckets of two or more, large ones in chunk pairs, sorted by bucket in their partitions."""
     sizes = dealt.groupBy("block", "key").count().where("count > 1")
-    total = fps.count() * blocks
-    parts = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     chunk = max(LEAST_CHUNK, total // max(1, parts))
     rows = (
         dealt.join(sizes, ["block", "key"])
         .withColumn("n", F.ceil(F.col("count") / chunk).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("fp", *keep, F.lit(7)), F.col("n")).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64(*keep, F.lit(7)), F.col("n")).cast("int"))
         .withColumn("peer", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("block", "key", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") <= F.col("peer")).alias("first"), "fp", *keep)
+        .select("block", "key", F.least("own", "peer").alias("i"), F.greatest("own", "peer").alias("j"), (F.col("own") <= F.col("peer")).alias("first"), *keep)
     )
     return rows.repartition("block", "key", "i", "j").sortWithinPartitions("block", "key", "i", "j")
 
@@ -239,36 +242,6 @@ def link(fps: DataFrame, bits: int = 4) -> DataFrame:
     return _dealt(fps, bits).mapInArrow(run, "src long, dst long")
 
 
-def link_nodes(nodes: DataFrame, bits: int, wide: int) -> DataFrame:
-    """(a, b) pairs of nodes (node, fp, also) whose fp differ in at most ``bits`` and whose also in at most ``wide`` bits.
-
-    Each node with such a pair in a bucket gives two: with the nearest, and with the first in Gray order.
-    """
-
-    def chosen(first, fp, also, node) -> tuple[np.ndarray, np.ndarray]:
-        fp, also = fp.view(np.uint64), also.view(np.uint64)
-        order = np.argsort(gray_rank(fp), kind="stable") if first is None else np.concatenate([(k := np.flatnonzero(first))[np.argsort(gray_rank(fp[k]), kind="stable")], np.flatnonzero(~first)])
-        fp, also, node = fp[order], also[order], node[order]
-        own = len(fp) if first is None else int(first.sum())
-        index, n, none = GrayIndex(fp[:own]), len(fp), np.iinfo(np.int64).max
-        near, low = np.full(n, none), np.full(n, none)
-        for q, m in index.probe(fp if first is None else fp[own:], bits):
-            q = q if first is None else q + own
-            good = (q != m) & (np.bitwise_count(also[q] ^ also[m]) <= wide)
-            q, m = q[good], m[good]
-            apart = np.bitwise_count(also[q] ^ also[m]).astype(np.int64) << 32
-            for a, b in ((q, m),) if first is None else ((q, m), (m, q)):
-                np.minimum.at(near, a, apart + b)
-                np.minimum.at(low, a, b)
-        at = np.flatnonzero(near < none)
-        return np.concatenate([node[at], node[at]]), np.concatenate([node[near[at] & 0xFFFFFFFF], node[low[at]]])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _edges((chosen(*bucket) for bucket in _buckets(batches)), ("a", "b"))
-
-    return _dealt(nodes, bits, ("also", "node")).mapInArrow(run, "a long, b long")
-
-
 def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 4, bits: int = 4) -> DataFrame:
     """(id, fp, component_id): least id whose fingerprint is reachable over links of at most ``bits`` bits."""
     rows = materialize(fingerprints(docs, text, id_col, width), "simhash")
@@ -282,97 +255,202 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 
 # --- near-duplicates by similarity -----------------------------------------------------------------------------------
 
-SEEDS = 3
-SKETCH = 256
-#: Shingle SimHashes of texts with 0.8 of their shingles in common differ in 10 bits on average, those of others in 32.
-WIDE = 20
-_ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-
-
-def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
-    """Another hash of each hash."""
-    if not seed:
-        return h
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(_ODD[seed])
-    return (h ^ (h >> np.uint64(29))) * np.uint64(_ODD[0])
+#: Documents in the sample that says which shingles are frequent, and most of these that are listed.
+SAMPLE_DOCS = 10_000
+FREQUENT = 200_000
+PAIRS_AT_ONCE = 1_000_000
 
 
-def word_fingerprints(text: bytes, width: int) -> tuple[int, list[int]]:
-    """(hash of the words in order, ``SEEDS`` independent SimHashes of the words with repeats and one of the shingles)."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the word shingles, repeats included; a text of fewer words is one shingle."""
     words = text.lower().split()
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate([[0], ends[:-1]]).tolist()[: max(1, len(words) - width + 1)]
+    stops = (ends[min(width, len(words)) - 1 :] - 1).tolist() if words else [0]
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros((SEEDS, 64), np.int64)
-    for at in range(0, len(words), SHINGLES_AT_ONCE):
-        h = np.array([digest(w, 42) for w in words[at : at + SHINGLES_AT_ONCE]], "<u8")
-        for k in range(SEEDS):
-            counts[k] += np.unpackbits(_mixed(h, k).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(counts * 2 > len(words), axis=1, bitorder="little").view("<u8")
-    return digest(b" ".join(words), 7), [*bits[:, 0].tolist(), fingerprint(text, width)]
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops)), "<u8", len(starts))
 
 
-def sketch(text: bytes, width: int) -> bytes:
-    """The ``SKETCH`` least hashes of the distinct word shingles, sorted: all of them for most texts."""
-    words = text.lower().split()
-    joined = [b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-    h = np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in joined), "<u8", len(joined)))
-    return h[:SKETCH].tobytes()
+def overlap(n: np.ndarray, m: np.ndarray, least: float) -> np.ndarray:
+    """Least number of shingles that sets of ``n`` and ``m`` with a Jaccard similarity of ``least`` share."""
+    return np.ceil(least / (1 + least) * (n + m) - 1e-9).astype(np.int64)
+
+
+def prefix(h: np.ndarray, least: float, frequent: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The rarest shingles of a set, of which two sets with a similarity of ``least`` share one at least."""
+    names, counts = frequent
+    at = np.minimum(np.searchsorted(names, h), max(0, len(names) - 1))
+    seen = np.where(names[at] == h, counts[at], 0) if len(names) else np.zeros(len(h), np.int64)
+    return h[np.lexsort((h, seen))[: len(h) - int(np.ceil(least * len(h) - 1e-9)) + 1]]
 
 
 def similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two shingle sets by their sketches; exact for sets no larger than a sketch."""
+    """Jaccard similarity of two sorted sets of distinct shingle hashes."""
     x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
-    least = np.union1d(x, y)
-    if len(x) == SKETCH or len(y) == SKETCH:
-        least = least[:SKETCH]
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, least, assume_unique=True).sum() / len(least))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
+
+def _frequent(source: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, count) of shingles of several sampled texts, by hash.  They only set the order of shingles, so any sample is right."""
+    part = max(1, source.count() // SAMPLE_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                h = [np.unique(shingles(t.as_py() or b"", width)) for t in b.column(0).slice(at, 500)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h).view(np.int64))], names=["h"])
+
+    texts = source.where(F.pmod(F.xxhash64("id"), F.lit(part)) == 0).select("_text")
+    found = texts.mapInArrow(run, "h long").groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(FREQUENT).toPandas()
+    names, counts = found["h"].to_numpy(np.int64).view(np.uint64), found["count"].to_numpy(np.int64)
+    order = np.argsort(names)
+    return names[order], counts[order]
+
+
+def _possible(size_a, at_a, size_b, at_b, least: float) -> np.ndarray:
+    """True where two sets that share the shingles at these positions may be similar enough."""
+    return np.minimum(size_a - at_a, size_b - at_b) >= overlap(size_a, size_b, least)
+
+
+def _first_pairs(node: np.ndarray, size: np.ndarray, at: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each row of a bucket with the one before it in order of size."""
+    order = np.lexsort((node, size))
+    a, b = order[:-1], order[1:]
+    good = _possible(size[a], at[a], size[b], at[b], least)
+    return node[a[good]], node[b[good]]
+
+
+def _open_pairs(first, node, size, at, group, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a bucket that may be similar enough and aren't in one group yet."""
+    left, right = (np.arange(len(node)),) * 2 if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
+    right = right[np.argsort(size[right], kind="stable")]
+    low = np.searchsorted(size[right], np.ceil(least * size[left] - 1e-9), "left")
+    high = np.searchsorted(size[right], np.floor(size[left] / least + 1e-9), "right")
+    many = np.cumsum(np.maximum(high - low, 0))
+    for part in np.split(np.arange(len(left)), np.flatnonzero(np.diff(many // PAIRS_AT_ONCE)) + 1):
+        n = np.maximum(high[part] - low[part], 0)
+        a = np.repeat(left[part], n)
+        b = right[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[part], n)]
+        good = (group[a] != group[b]) & _possible(size[a], at[a], size[b], at[b], least)
+        if first is None:
+            good &= node[a] < node[b]
+        yield node[a[good]], node[b[good]]
 
 
 def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, least: float = 0.8, bits: int = 4) -> DataFrame:
     """(id, component_id) of the rows that aren't the least of their group of near-duplicates.
 
-    Texts with at least ``least`` of their ``width``-word shingles in common differ in
-    few words, so ``SEEDS`` SimHashes of single words put them within ``bits`` bits in
-    one at least.  The Gray-order index proposes such links between different texts, a
-    SimHash of the shingles drops those that differ in over ``WIDE`` bits, and sketches
-    of the shingles confirm the rest.
+    Links are all pairs of texts with at least ``least`` of their distinct ``width``-word
+    shingles in common, counted exactly.  The Gray-order index on SimHashes of the shingles
+    and neighbours in the postings of rare shingles propose first pairs, which join most
+    groups.  Two sets that similar share one of their rarest shingles (``prefix``), so all
+    pairs in one posting whose texts aren't in one group yet are counted next, and no link is left.
     """
-    fps = [f"fp{k}" for k in range(SEEDS)]
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(source, width))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [word_fingerprints(t.as_py() or b"", width) for t in b.column(1)]
-            same = np.array([g[0] for g in got], np.uint64).view(np.int64)
-            found = np.array([g[1] for g in got], np.uint64).reshape(-1, SEEDS + 1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same), *(pa.array(found[:, k].copy()) for k in range(SEEDS + 1))], names=["id", "same", *fps, "also"])
-
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
-    rows = materialize(source.mapInArrow(run, f"id long, same long, {', '.join(f'{f} long' for f in fps)}, also long"), "near-rows")
-    names = ["same", *fps, "also"]
-    nodes = materialize(rows.groupBy(*names).agg(F.min("id").alias("node")), "near-nodes")
-    proposed = None
-    for f in fps:
-        part = link_nodes(nodes.select(F.col(f).alias("fp"), "also", "node"), bits, WIDE)
-        proposed = part if proposed is None else proposed.union(part)
-    pairs = materialize(proposed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    wanted = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "near-ids")
-
-    def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            same, fp, size, rare = [], [], [], []
+            for t in b.column(1):
+                t = t.as_py() or b""
+                every = shingles(t, width)
+                h = np.unique(every)
+                bits_set = np.zeros(64, np.int64)
+                for at in range(0, len(every), SHINGLES_AT_ONCE):
+                    bits_set += np.unpackbits(every[at : at + SHINGLES_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                fp.append(np.packbits(bits_set * 2 > len(every), bitorder="little").view("<u8")[0])
+                same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7))
+                size.append(len(h))
+                rare.append(prefix(h, least, frequent.value).tobytes())
+            cols = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (same, fp, size)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(rare, pa.binary())], names=["id", "same", "fp", "size", "rare"])
+
+    rows = materialize(source.mapInArrow(described, "id long, same long, fp long, size long, rare binary"), "near-rows")
+    # A node is a text, named by the hash of its words; one of its ids leads to the text.
+    nodes = materialize(rows.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("rare").alias("rare")), "near-nodes")
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t.as_py() or b"", width) for t in b.column(1)], pa.binary())], names=["id", "sketch"])
-
-    held = source.join(small(wanted), "id", "left_semi").mapInArrow(sketches, "id long, sketch binary")
-    held = materialize(held.dropDuplicates(["id"]), "near-sketches")
-    both = pairs.join(held.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").join(held.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
+            for at in range(0, b.num_rows, 1000):
+                c = b.slice(at, 1000)
+                keys = [np.frombuffer(r.as_py(), "<i8") for r in c.column(2)]
+                n = np.array([len(k) for k in keys])
+                place = np.concatenate([np.arange(k) for k in n])
+                cols = [np.concatenate(keys), np.repeat(np.asarray(c.column(0)), n), np.repeat(np.asarray(c.column(1)), n), place]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names=["key", "node", "size", "at"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, waited = None, False
+        for b in batches:  # rows of a key follow each other; the last row of a batch waits for the next
+            if not b.num_rows:
+                continue
+            b = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
+            key = np.asarray(b.column(0))
+            again = np.flatnonzero(key[1:] == key[:-1])
+            keep = np.zeros(len(key), bool)
+            keep[again], keep[again + 1] = True, True
+            keep[0] |= waited
+            waited, last = bool(keep[-1]), b.slice(len(key) - 1)
+            yield b.slice(0, len(key) - 1).filter(pa.array(keep[:-1]))
+        if last is not None and waited:
+            yield last
+
+    posts = nodes.select("same", "size", "rare").mapInArrow(posted, "key long, node long, size long, at long")
+    posts = posts.repartition("key").sortWithinPartitions("key")
+    posts = materialize(posts.mapInArrow(shared, "key long, node long, size long, at long"), "near-posts")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or b"" for t in b.column(1)]
+            same = np.array([xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7) for t in texts], np.uint64).view(np.int64)
+            for at in range(0, len(texts), 500):
+                part = [np.unique(shingles(t, width)).tobytes() for t in texts[at : at + 500]]
+                yield pa.RecordBatch.from_arrays([pa.array(same[at : at + 500]), pa.array(part, pa.binary())], names=["node", "held"])
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = pa.array([similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column(2), b.column(3))], pa.bool_())
-            yield b.select(["a", "b"]).filter(good)
-
-    real = both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
-    groups = connected_components(real.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    found = rows.join(nodes, names).join(groups, "node", "left").select("id", F.coalesce("component", "node").alias("component_id"))
+            yield b.select(["src", "dst"]).filter(good)
+
+    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
+        """The pairs (src, dst) of texts that are similar enough, by their whole shingle sets."""
+        pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
+        pairs = materialize(pairs, f"near-pairs-{tag}")
+        wanted = pairs.select(F.col("src").alias("same")).union(pairs.select("dst")).distinct().join(nodes.select("same", "id"), "same").select("id").distinct()
+        held = source.join(small(materialize(wanted, f"near-ids-{tag}")), "id", "left_semi").mapInArrow(sets, "node long, held binary")
+        held = materialize(held.dropDuplicates(["node"]), f"near-sets-{tag}")
+        both = pairs.join(held.toDF("src", "x"), "src").join(held.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
+        return materialize(both.mapInArrow(confirm, "src long, dst long"), f"near-links-{tag}")
+
+    def grouped(keep: tuple[str, ...], df: DataFrame) -> DataFrame:
+        return _by_bucket(df.withColumn("block", F.lit(0)), df.count(), keep)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _edges((_first_pairs(node, size, at, least) for first, node, size, at in _buckets(batches) if first is None), ("src", "dst"))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _edges((pair for bucket in _buckets(batches) for pair in _open_pairs(*bucket, least)), ("src", "dst"))
+
+    # Nodes of one fingerprint hang on their least node, fingerprints on each other by the index.
+    by_fp = nodes.groupBy("fp").agg(F.min("same").alias("head"))
+    heads = materialize(by_fp, "near-heads")
+    alike = nodes.join(heads, "fp").select(F.col("same").alias("src"), F.col("head").alias("dst"))
+    near = link(heads.select("fp"), bits).join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
+    first = grouped(("node", "size", "at"), posts).mapInArrow(neighbours, "src long, dst long")
+    real = confirmed(alike.union(near.select("a", "b")).union(first), "first")
+    groups = materialize(connected_components(real), "near-groups")
+    rest = posts.join(groups, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("group"))
+    # Postings whose texts are all in one group have no open pair.
+    mixed = rest.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
+    rest = materialize(rest.join(mixed, "key", "left_semi"), "near-open")
+    more = grouped(("node", "size", "at", "group"), rest).mapInArrow(opened, "src long, dst long")
+    groups = connected_components(real.union(confirmed(more, "rest")))
+    of = nodes.select("same", "id").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
+    of = of.select("same", "component").join(of.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("same", "component_id")
+    found = rows.select("id", "same").join(of, "same")
     return found.where("id <> component_id").select(F.col("id").alias(id_col), "component_id")
 
 

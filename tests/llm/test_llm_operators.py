@@ -378,6 +378,57 @@ def test_keep_one_of_near_duplicates(spark, words):
     assert {x.doc_id for x in kept.collect()} == set(want.values()) and kept.columns == df.columns
 
 
+def check_kept(spark, texts):
+    shingles = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    similar = np.array([[len(a & b) >= 0.8 * len(a | b) for b in shingles] for a in shingles])
+    want = set(brute_components(similar, list(range(len(texts)))).values())
+    assert {x.doc_id for x in simhash.keep_one(frame(spark, texts)).collect()} == want
+    return len(want)
+
+
+def test_near_copies_among_forms(spark, words):
+    r = random.Random(12)
+    form, texts = words(300, 50).split(), []
+    for i in range(60):  # forms with own fields are below 0.8 among themselves
+        w = list(form)
+        for k in range(10):
+            w[r.randrange(30 * k, 30 * k + 30)] = f"field{i}x{k}"
+        texts.append(" ".join(w))
+    for i in range(20):
+        w = texts[i].split()
+        for _ in range(4):
+            w[r.randrange(300)] = "changed"
+        texts.append(" ".join(w))
+    chain = words(300, 51).split()
+    for i in range(20):
+        chain[r.randrange(300)], chain[r.randrange(300)] = f"new{i}", f"more{i}"
+        texts.append(" ".join(chain))
+    r.shuffle(texts)
+    assert 41 <= check_kept(spark, texts) <= 65
+
+
+def test_near_copies_of_every_kind_of_edit(spark, words):
+    texts = []
+    for i in range(15):
+        w, other = words(300, 200 + i).split(), words(300, 300 + i).split()
+        texts += [" ".join(x) for x in (w, w + other[:60], w[:250], w[:100] + other[:20] + w[120:], w + "one two three".split() * 60)]
+        long = words(900, 400 + i).split()  # near the threshold, where a sample of the shingles errs
+        for n in (34, 36, 38, 40, 42):
+            e = list(long)
+            for k in range(n):
+                e[20 * k + i] = f"e{n}"
+            texts.append(" ".join(e))
+    check_kept(spark, texts)
+
+
+def test_similarity_counts_whole_sets():
+    g = np.random.default_rng(3)
+    for least in (799, 801):
+        h = np.unique(g.integers(0, 2**63, 2000, dtype=np.uint64))[:1000]
+        part = np.sort(g.permutation(h)[:least])
+        assert simhash.similarity(h.tobytes(), part.tobytes()) == least / 1000
+
+
 @pytest.mark.parametrize("chunk", [1024, 50])
 def test_hot_buckets_lose_no_link(spark, monkeypatch, chunk):
     monkeypatch.setattr(simhash, "LEAST_CHUNK", chunk)
