@@ -2,7 +2,7 @@
 
 The three base kinds find credential shapes by pattern.  The method adds values
 that stand in a credential context (``password is ...``, ``pwd: ...``,
-``login with ... / ...``) and would be hard to guess: the value is cut into
+``login with user / password``) and would be hard to guess: the value is cut into
 dictionary words, dates, repeats, keyboard walks, sequences and brute-force
 spans so that the summed log-cost is least, and values whose least cost reaches
 ``MIN_LOG10`` are reported as kind ``password``.
@@ -15,6 +15,7 @@ no rows; extra columns are ignored by ``scan_secrets`` and kept by ``redact``.
 from __future__ import annotations
 
 import hashlib
+import json
 import math
 import re
 from collections.abc import Iterator
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gumshoe.llm.tokenize import vocabulary_path
+
 KINDS = ("assign", "access", "hex", "password")
 # The three base shapes and the least length of what they match.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -34,8 +37,9 @@ _HEX_RUN = re.compile(r"[0-9a-f]{24}")
 
 # Ways to name a credential whose value the base shapes miss.
 CONTEXT = re.compile(
-    r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|credentials?|secret|login)\b)[\"']?(?:\x20{0,3}(?:is|was|=>|->|:=|[:=])\x20{0,3}|\x20\()[\"'`]?([^\s\"'`<>(){}]{6,128})"
+    r"(?ai:\b(?:pass(?:word|wd|phrase|code)?|pwd|pin|credentials?|secret|login)\b)[\"']?(?:\x20{0,3}(?:is|was|=>|->|:=|[:=])\x20{0,3}|\x20\()[\"'`]?([^\s\"'`<>(){}]{6,})"
 )
+LOGIN = re.compile(r"(?ai:\blog[\x20-]?in\x20{1,3}with)\x20{1,3}[\"'`]?[^\s\"'`<>(){}/]+[\"'`]?\x20{0,3}/\x20{0,3}[\"'`]?([^\s\"'`<>(){}]{6,})")
 MIN_LOG10 = 8.0
 LONGEST = 128
 
@@ -52,7 +56,24 @@ ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 NEXT_KEY = {a + b for row in ROWS for a, b in zip(row, row[1:])} | {b + a for row in ROWS for a, b in zip(row, row[1:])}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01]))?|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)?\d\d")
 RANK = {w: n for n, w in enumerate(WORDS, 1)}
-LONGEST_WORD = max(map(len, WORDS))
+
+
+@lru_cache(maxsize=1)
+def _prose() -> dict[str, int]:
+    """Ranks of words and word parts of a public vocabulary, most frequent first."""
+    with open(vocabulary_path("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocabulary = json.load(f)["model"]["vocab"]
+    ranks: dict[str, int] = {}
+    for unit, n in sorted(vocabulary.items(), key=lambda u: u[1]):
+        word = unit.removesuffix("</w>")
+        if len(word) >= 3 and word.isalpha():
+            ranks.setdefault(word, n + 1)
+    return ranks
+
+
+@lru_cache(maxsize=1)
+def _longest_word() -> int:
+    return max(map(len, [*WORDS, *_prose()]))
 
 
 def _alphabet(span: str) -> int:
@@ -67,17 +88,18 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     best: list[float] = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
     low = text.lower().translate(LEET)
+    prose, longest = _prose(), _longest_word()
     runs: dict[int, list[tuple[int, str, float]]] = {}
 
     def offer(i: int, j: int, kind: str, cost: float) -> None:
         runs.setdefault(j, []).append((i, kind, cost))
 
     for i in range(n):
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            rank = RANK.get(low[i:j])
+        for j in range(i + 3, min(n, i + longest) + 1):
+            span = text[i:j]
+            rank = RANK.get(low[i:j]) or prose.get(span.lower())
             if rank:
-                span = text[i:j]
-                varied = (span != span.lower()) + (span.lower() != low[i:j])
+                varied = (span != span.lower()) + (low[i:j] in RANK and span.lower() != low[i:j])
                 offer(i, j, "word", math.log10(rank + 1) + 0.7 * varied)
         m = DATE.match(text, i)
         if m:
@@ -135,13 +157,13 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def guessed_spans(text: str, taken: list[tuple[str, int, int]], least: float = MIN_LOG10) -> list[tuple[str, int, int]]:
     """Hard-to-guess values in a credential context, outside the base spans."""
     found = []
-    for m in CONTEXT.finditer(text):
+    for m in sorted([*CONTEXT.finditer(text), *LOGIN.finditer(text)], key=lambda m: m.start(1)):
         value = m[1].rstrip(".,;:!?")
         a = m.start(1)
         b = a + len(value)
-        if len(value) < 6 or any(s < b and a < e for _, s, e in taken) or value.isalpha() and (value.islower() or value.istitle()):
+        if len(value) < 6 or any(s < b and a < e for _, s, e in taken + found[-1:]):
             continue
-        if guess_cost(value)[0] >= least:
+        if guess_cost(value[:LONGEST])[0] >= least:
             found.append(("password", a, b))
     return found
 

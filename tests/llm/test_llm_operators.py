@@ -219,6 +219,15 @@ def test_guessed_values_need_context():
     assert not secrets.guessed_spans(f"the weather is {secret}.", []) and not secrets.guessed_spans("the password is password1", [])
 
 
+def test_guessed_values_are_covered_whole():
+    r = random.Random(6)
+    long = "".join(r.choices("abcdefghXYZ0123456789", k=240))
+    for text, value in ((f"the secret is {long} here", long), ("password is hxkqzvbnwtrplsd", "hxkqzvbnwtrplsd"), ("pwd: Hxkqzvbnwtrplsd", "Hxkqzvbnwtrplsd"), ("login with alice / kX9mQ2vL7p!z ok", "kX9mQ2vL7p!z")):
+        assert secrets.mask(text) == text.replace(value.rstrip("!"), "[SECRET]"), text
+    for word in ("required", "Important", "something", "different", "stored", "straightforward", "necessary"):
+        assert not secrets.guessed_spans(f"the password is {word} for that, the secret was {word}.", []), word
+
+
 def test_redaction_removes_every_secret(spark):
     text = "x api_key = abcdef123456 y 0123456789abcdef01234567 z"
     row = secrets.redact(frame(spark, [text, None, "clean"])).orderBy("doc_id").collect()
