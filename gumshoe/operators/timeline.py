@@ -41,7 +41,7 @@ def log_events(lines: DataFrame, default_year: int = 2025) -> DataFrame:
 
 def config_events(files: DataFrame) -> DataFrame:
     """One event per configuration file."""
-    return _events(files, F.col("modified_at"), F.lit("config"), F.concat(F.lit("Configuration "), "source_file"), X.infer_severity(X.bounded_text(F.col("content"))), F.col("source_file"), False, X.preview(F.col("content")), F.concat(F.lit("3:"), "source_file"))
+    return _events(files, F.col("modified_at"), F.lit("config"), F.concat(F.lit("Configuration "), "source_file"), X.infer_severity(F.col("content")), F.col("source_file"), False, X.preview(F.col("content")), F.concat(F.lit("3:"), "source_file"))
 
 
 def indicator_events(indicators: DataFrame, time: str = "event_time") -> DataFrame:
