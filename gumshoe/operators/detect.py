@@ -332,10 +332,10 @@ def gateway_log_stats(df: DataFrame, text_col: str = "content", id_cols: tuple[s
     )
 
 
-def session_log_commands(df: DataFrame, text_col: str = "content", id_cols: tuple[str, ...] = EVIDENCE, most: int = 100) -> DataFrame:
-    """Command lines of a session log, sensitive ones flagged."""
+def session_log_commands(df: DataFrame, text_col: str = "content", id_cols: tuple[str, ...] = EVIDENCE, most: int | None = None) -> DataFrame:
+    """Command lines of a session log, sensitive ones flagged; the first ``most`` of a text for a display."""
     lines = F.filter(F.split(text_col, "\n"), lambda x: x.rlike(r"^[ \t]*(?:\$|>|#|%)[ \t]+[^ \t]"))
-    rows = df.select(*id_cols, F.posexplode(F.slice(lines, 1, most)).alias("seq", "line"))
+    rows = df.select(*id_cols, F.posexplode(lines if most is None else F.slice(lines, 1, most)).alias("seq", "line"))
     command = F.left(F.regexp_replace("line", r"^[ \t]*(?:\$|>|#|%)[ \t]+", ""), F.lit(500))
     return rows.select(*id_cols, "seq", command.alias("command"), F.lower("line").rlike("password|secret|token|credential|api_key").alias("sensitive"))
 

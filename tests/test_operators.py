@@ -180,3 +180,9 @@ def test_config_severity_reads_whole_texts(spark):
     files = spark.createDataFrame([("a", "p", "x " * 40_000 + bad, "2025-01-01"), ("b", "p", bad, "2025-01-01")], "source_file string, platform string, content string, modified_at string")
     got = {r.source_path: r.severity for r in timeline.config_events(files).collect()}
     assert got["a"] == got["b"] != "info"
+
+
+def test_log_commands_have_no_cap(spark):
+    df = spark.createDataFrame([("a", "p", "$ ls\n" * 150 + "$ echo secret\n")], EV)
+    got = detect.session_log_commands(df)
+    assert got.count() == 151 and got.where("sensitive").count() == 1 and detect.session_log_commands(df, most=100).count() == 100
