@@ -72,21 +72,23 @@ class UnitCodec:
         ]
         self.alphabet = byte_letters()
         self.model = self.tokenizer.model
-        self.cache: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        # Words and other pieces are kept apart: a spaced word's name in the byte alphabet may be another piece's text.
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def _pack(self, ids) -> bytes:
         return array(self.dtype.char, ids).tobytes()
 
     def _room(self) -> None:
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
+        if len(self.words) + len(self.pieces) > CACHE_UNITS:
+            self.words.clear()
+            self.pieces.clear()
 
     def _words(self, words: list[str], spaced: bool) -> list[bytes]:
         """Packed ids of words of Latin letters; ``spaced`` if a space stands before them."""
         self._room()
         lead = "Ġ" if spaced and self.keeps_space else ""
-        cache, get, tokenize, kind, found = self.cache, self.cache.get, self.model.tokenize, self.dtype.char, []
+        cache, get, tokenize, kind, found = self.words, self.words.get, self.model.tokenize, self.dtype.char, []
         for word in words:
             got = get(key := lead + word)
             if got is None:
@@ -100,12 +102,12 @@ class UnitCodec:
     def _others(self, units: list[str]) -> list[bytes]:
         """Packed ids of any other pieces, by the library's whole pipeline."""
         self._room()
-        found = [self.cache.get(u) for u in units]
+        found = [self.pieces.get(u) for u in units]
         rest = [n for n, got in enumerate(found) if got is None]
         for n, e in zip(rest, self.tokenizer.encode_batch([units[n] for n in rest], add_special_tokens=False)):
             found[n] = self._pack(e.ids)
             if len(units[n]) < 64:
-                self.cache[units[n]] = found[n]
+                self.pieces[units[n]] = found[n]
         return found
 
     def _units(self, units: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

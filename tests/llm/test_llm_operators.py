@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.llm import mixing, packing, quality_rules, range_join, rule_ensemble, secrets, simhash, token_store, toxicity, warc
 from gumshoe.llm.common import connected_components
-from gumshoe.llm.tokenize import codec, vocabulary_path
+from gumshoe.llm.tokenize import UnitCodec, codec, vocabulary_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _text string, fp long, size long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,6 +57,22 @@ def test_unit_codec_equals_whole_text_encoding(name, words):
         assert ids[offsets[n] : offsets[n + 1]].tolist() == e.ids, texts[n : n + 1]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_unit_codec_is_independent_of_what_came_before(name):
+    r = random.Random(8)
+    units = ["the", "Ġthe", "Ċthe", "Ġ", "Ċ", "house", "Ġhouse", "in", ".", "a1", "Ã©", "é", "x\u00a0y", "don't", "THE", "</w>", "the</w>", "12", "\u2028", "ġ"]
+    blanks = [" ", " ", " ", "\n", "  ", "\t", "\r\n", ""]
+    texts = ["".join(r.choice(units) + r.choice(blanks) for _ in range(r.randint(1, 9))) for _ in range(20_000)]
+    c = UnitCodec(vocabulary_path(name))
+    want = [e.ids for e in c.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for order in (range(len(texts)), range(len(texts) - 1, -1, -1)):
+        c = UnitCodec(vocabulary_path(name))
+        for at in range(0, len(texts), 1000):
+            some = [order[k] for k in range(at, at + 1000)]
+            ids, offsets = c.encode(pa.array([texts[k] for k in some]))
+            assert [ids[a:b].tolist() for a, b in zip(offsets, offsets[1:])] == [want[k] for k in some]
+
+
 def whole_ids(name, text):
     return np.array(codec(vocabulary_path(name)).tokenizer.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
 
