@@ -76,7 +76,7 @@ QUERIES = {
 _MIX = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) AS h
+         CAST('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || coalesce(text, '')), 1, 12) AS BIGINT) AS h
   FROM documents),
 t AS (SELECT source, sum(size) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS n FROM d GROUP BY source),
 w AS (SELECT source, s, 2 * s AS cap, [3, 1, 2][n % 3 + 1] AS weight FROM t),

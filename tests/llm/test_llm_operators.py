@@ -196,7 +196,34 @@ def test_mixing_odd_rows(spark, odd):
     rows = mixing.mix(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in rows)
     assert mixing.mix(empty(odd)).count() == 0
-    assert mixing.apply_mix(odd).columns == odd.columns
+    assert mixing.apply_mix(odd).columns == odd.columns and mixing.apply_mix(odd).count() > 0
+    assert mixing.apply_mix(empty(odd)).count() == 0
+
+
+@pytest.mark.parametrize("ids", ["none", "one", "copies"])
+def test_mixing_meets_targets_on_ties(spark, words, ids):
+    n = 90
+    texts = [words(7 + i % 5, i) if ids != "copies" else words(9, 1) for i in range(n)]
+    rows = [(None if ids == "none" else 4, t, "en", "ab"[i % 3 > 0], len(t), "clash", 7, 9) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len(r[1].split())
+    want, taken = brute_targets(dict(sizes)), collections.Counter()
+    for x in mixing.mix(df).collect():
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - want[s]) <= 1 for s in want)
+    applied = collections.Counter()
+    for x in mixing.apply_mix(df).collect():
+        applied[x.source] += len(x.text.split())
+    assert all(abs(applied[s] - want[s]) <= 12 for s in want)
+
+
+def test_applied_mix_agrees_with_mix(spark, words):
+    df = frame(spark, [words(5 + i % 60, i) for i in range(200)] + [None, "", " "]).repartition(3)
+    copies = collections.Counter(r.doc_id for r in mixing.apply_mix(df).collect())
+    for x in mixing.mix(df).collect():
+        assert abs(copies[x.doc_id] - (x.taken / x["size"] if x["size"] else 1)) <= 0.5
 
 
 # --- op 4 ----------------------------------------------------------------------------------------------------------
