@@ -5,7 +5,9 @@ that stand in a credential context (``password is ...``, ``pwd: ...``,
 ``login with user / password``) and would be hard to guess: the value is cut into
 dictionary words, dates, repeats, keyboard walks, sequences and brute-force
 spans so that the summed log-cost is least, and values whose least cost reaches
-``MIN_LOG10`` are reported as kind ``password``.
+``MIN_LOG10`` are reported as kind ``password``.  Whole values are weighed, in
+time linear in their length: repeats, walks and sequences are taken as maximal
+runs, and the cut ends once every way on already costs enough.
 
 Null text counts as empty; offsets are code points, ends exclusive; texts of any
 length are scanned whole; repeated rows give equal results; an empty table gives
@@ -41,7 +43,6 @@ CONTEXT = re.compile(
 )
 LOGIN = re.compile(r"(?ai:\blog[\x20-]?in\x20{1,3}with)\x20{1,3}[\"'`]?[^\s\"'`<>(){}/]+[\"'`]?\x20{0,3}/\x20{0,3}[\"'`]?([^\s\"'`<>(){}]{6,})")
 MIN_LOG10 = 8.0
-LONGEST = 128
 
 # Common words of passwords, most frequent first.
 WORDS = """password the and qwerty admin letmein welcome monkey dragon login master hello shadow sunshine princess football
@@ -80,56 +81,81 @@ def _alphabet(span: str) -> int:
     return max(1, 10 * any(c.isdigit() for c in span) + 26 * any("a" <= c <= "z" for c in span) + 26 * any("A" <= c <= "Z" for c in span) + 33 * any(not c.isalnum() for c in span))
 
 
-@lru_cache(maxsize=65_536)
-def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
-    """(log10 guesses, segments) of the cheapest cut of ``value``, whose first ``LONGEST`` characters are weighed one by one."""
-    text, n = value[:LONGEST], min(len(value), LONGEST)
-    brute = math.log10(max(10, _alphabet(text)))
+def _runs(text: str) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, kind, log10 guesses) of every maximal repeat, keyboard walk and sequence."""
+    n, brute = len(text), math.log10(max(10, _alphabet(text)))
+    for size in (1, 2, 3, 4):  # text[i] == text[i - size] over a whole run repeats its first ``size`` letters
+        a = 0
+        for i in range(size, n + 1):
+            if i < n and text[i] == text[i - size]:
+                continue
+            times = (i - a) // size
+            if times >= (3 if size == 1 else 2):
+                unit = math.log10(_alphabet(text[a])) if size == 1 else size * brute
+                yield a, a + times * size, "repeat", unit + math.log10(times)
+            a = i - size + 1
+    low = text.lower()
+    a = 0
+    for i in range(1, n + 1):
+        if i == n or low[i - 1 : i + 1] not in NEXT_KEY:
+            if i - a >= 4:
+                yield a, i, "walk", math.log10(47 * 4 * (i - a))
+            a = i
+    a, step = 0, 0
+    for i in range(1, n + 1):
+        by = ord(text[i]) - ord(text[i - 1]) if i < n and text[i].isalnum() and text[i - 1].isalnum() else 0
+        if by != step or abs(by) != 1:
+            if abs(step) == 1 and i - a >= 3:
+                yield a, i, "sequence", math.log10(26 * (i - a))
+            a, step = i - 1, by
+
+
+def segments_at(text: str, i: int, low: str) -> Iterator[tuple[int, str, float]]:
+    """(end, kind, log10 guesses) of every word and date that begins at ``i``."""
+    prose = _prose()
+    for j in range(i + 3, min(len(text), i + _longest_word()) + 1):
+        span = text[i:j]
+        rank = RANK.get(low[i:j]) or prose.get(span.lower())
+        if rank:
+            varied = (span != span.lower()) + (low[i:j] in RANK and span.lower() != low[i:j])
+            yield j, "word", math.log10(rank + 1) + 0.7 * varied
+    m = DATE.match(text, i)
+    if m:
+        yield m.end(), "date", math.log10(365 * 120) if m.end() - i > 4 else 2.1
+
+
+#: What each pattern adds to the cost of its parts: patterns may stand in any order.
+PATTERN = 0.3
+
+
+def guess_cost(value: str, enough: float = math.inf) -> tuple[float, tuple[tuple[str, int, int], ...]]:
+    """(log10 guesses, segments) of the cheapest cut of ``value``.
+
+    Once every cut costs at least ``enough``, that least cost so far is returned without segments.
+    """
+    n, brute = len(value), math.log10(max(10, _alphabet(value)))
     best: list[float] = [0.0] + [math.inf] * n
     back: list[tuple[str, int]] = [("", 0)] * (n + 1)
-    low = text.lower().translate(LEET)
-    prose, longest = _prose(), _longest_word()
+    low, reach, check = value.lower().translate(LEET), 0, 0
+    if len(low) != n:  # a few letters grow when lowered
+        low = "".join(c.lower()[:1] for c in value).translate(LEET)
     runs: dict[int, list[tuple[int, str, float]]] = {}
-
-    def offer(i: int, j: int, kind: str, cost: float) -> None:
-        runs.setdefault(j, []).append((i, kind, cost))
-
+    for a, b, kind, cost in _runs(value):
+        runs.setdefault(a, []).append((b, kind, cost))
     for i in range(n):
-        for j in range(i + 3, min(n, i + longest) + 1):
-            span = text[i:j]
-            rank = RANK.get(low[i:j]) or prose.get(span.lower())
-            if rank:
-                varied = (span != span.lower()) + (low[i:j] in RANK and span.lower() != low[i:j])
-                offer(i, j, "word", math.log10(rank + 1) + 0.7 * varied)
-        m = DATE.match(text, i)
-        if m:
-            offer(i, m.end(), "date", math.log10(365 * 120) if m.end() - i > 4 else 2.1)
-        j = i + 1
-        while j < n and text[j] == text[i]:
-            j += 1
-            if j - i >= 3:
-                offer(i, j, "repeat", math.log10(_alphabet(text[i]) * (j - i)))
-        for size in (2, 3, 4):
-            j = i + size
-            while text[j : j + size] == text[i : i + size] and j + size <= n:
-                j += size
-                offer(i, j, "repeat", size * brute + math.log10((j - i) // size))
-        j = i + 1
-        while j < n and (text[j - 1] + text[j]).lower() in NEXT_KEY:
-            j += 1
-            if j - i >= 4:
-                offer(i, j, "walk", math.log10(47 * 4 * (j - i)))
-        j = i + 1
-        while j < n and text[j - 1].isalnum() and text[j].isalnum() and abs(step := ord(text[j]) - ord(text[j - 1])) == 1 and step == ord(text[i + 1]) - ord(text[i]):
-            j += 1
-            if j - i >= 3:
-                offer(i, j, "sequence", math.log10(26 * (j - i)))
-    for j in range(1, n + 1):
-        best[j], back[j] = best[j - 1] + brute, ("brute", j - 1)
-        for i, kind, cost in runs.get(j, ()):
-            # Each further pattern multiplies the ways to order them.
-            if best[i] + cost + 0.3 < best[j]:
-                best[j], back[j] = best[i] + cost + 0.3, (kind, i)
+        here = best[i]
+        if here + brute < best[i + 1]:
+            best[i + 1], back[i + 1] = here + brute, ("brute", i)
+        for j, kind, cost in (*segments_at(value, i, low), *runs.get(i, ())):
+            reach = max(reach, j)
+            if here + cost + PATTERN < best[j]:
+                best[j], back[j] = here + cost + PATTERN, (kind, i)
+        if i >= check and here >= enough:
+            # Every cut passes one of the places from here to the farthest reached; a cheap one among them settles nothing until it is passed.
+            least = min(range(i, max(reach, i) + 1), key=best.__getitem__)
+            if best[least] >= enough:
+                return best[least], ()
+            check = least + 1
     segments, j = [], n
     while j:
         kind, i = back[j]
@@ -141,6 +167,11 @@ def guess_cost(value: str) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     return best[n], tuple(reversed(segments))
 
 
+@lru_cache(maxsize=65_536)
+def hard_to_guess(value: str, least: float) -> bool:
+    return guess_cost(value, least)[0] >= least
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """Fixed shapes of each kind, leftmost and not overlapping within a kind."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST["assign"]]
@@ -163,7 +194,7 @@ def guessed_spans(text: str, taken: list[tuple[str, int, int]], least: float = M
         b = a + len(value)
         if len(value) < 6 or any(s < b and a < e for _, s, e in taken + found[-1:]):
             continue
-        if guess_cost(value[:LONGEST])[0] >= least:
+        if (hard_to_guess if len(value) <= 256 else hard_to_guess.__wrapped__)(value, least):
             found.append(("password", a, b))
     return found
 

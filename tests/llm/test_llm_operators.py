@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -256,6 +257,57 @@ def test_guess_cost_orders_passwords():
     assert "".join(value[a:b] for _, a, b in segments) == value and {k for k, _, _ in segments} >= {"word", "date"}
 
 
+def brute_guess_cost(value):
+    """Least cost over all cuts, every kind of segment looked for on its own."""
+    n, parts = len(value), []
+    size = lambda c: 10 * c.isdigit() + 26 * ("a" <= c <= "z") + 26 * ("A" <= c <= "Z") + 33 * (not c.isalnum())
+    brute = math.log10(max(10, sum(size(c) for c in {next((k for k in ("0", "a", "A", "-") if size(k) == size(c) and k.islower() == c.islower()), c) for c in value})))
+    walk = lambda a, b: all((x + y).lower() in secrets.NEXT_KEY for x, y in zip(value[a:b], value[a + 1 : b]))
+    step = lambda a, b: b - a > 1 and value[a:b].isalnum() and any(all(ord(y) - ord(x) == d for x, y in zip(value[a:b], value[a + 1 : b])) for d in (1, -1))
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            span, maximal = value[a:b], lambda holds: holds(a, b) and not (a and holds(a - 1, b)) and not (b < n and holds(a, b + 1))
+            unleet = span.lower().translate(secrets.LEET)
+            rank = secrets.RANK.get(unleet) or secrets._prose().get(span.lower())
+            if b - a >= 3 and rank:
+                parts.append((a, b, math.log10(rank + 1) + 0.7 * ((span != span.lower()) + (unleet in secrets.RANK and span.lower() != unleet))))
+            m = secrets.DATE.match(value, a)
+            if m and m.end() == b:
+                parts.append((a, b, math.log10(365 * 120) if b - a > 4 else 2.1))
+            if b - a >= 4 and maximal(walk):
+                parts.append((a, b, math.log10(188 * (b - a))))
+            if b - a >= 3 and maximal(step):
+                parts.append((a, b, math.log10(26 * (b - a))))
+            for w in (1, 2, 3, 4):
+                if b - a >= w and maximal(lambda x, y: y - x >= w and value[x + w : y] == value[x : y - w]) and (times := (b - a) // w) >= (3 if w == 1 else 2):
+                    parts.append((a, a + times * w, math.log10(times) + (math.log10(max(1, size(value[a]))) if w == 1 else w * brute)))
+
+    def least(at):
+        if at == n:
+            return 0.0
+        return min([brute + least(at + 1)] + [c + 0.3 + least(b) for a, b, c in parts if a == at])
+
+    return least(0)
+
+
+def test_guess_cost_is_the_least_of_all_cuts():
+    r = random.Random(12)
+    bits = ["pass", "p4ss", "word", "Dragon", "abab", "xyzxyz", "1999", "0412", "qwer", "dsa", "aaa", "cba", "123", "7", "!", "zQ", "love", "l0ve", "the"]
+    for _ in range(300):
+        value = "".join(r.choices(bits, k=r.randint(1, 3)))[:10]
+        total, segments = secrets.guess_cost(value)
+        assert total == pytest.approx(brute_guess_cost(value)), value
+        assert "".join(value[a:b] for _, a, b in segments) == value
+        for least in (3.0, 6.0, 8.0):
+            assert secrets.hard_to_guess(value, least) == (total >= least)
+
+
+def test_long_values_are_weighed_whole():
+    tail = "".join(random.Random(4).choices("abcdefghXYZ0123456789", k=30))
+    assert secrets.hard_to_guess("a" * 5000 + tail, 8.0) and not secrets.hard_to_guess("a" * 200_000, 8.0) and not secrets.hard_to_guess("password" + "ab" * 50_000, 12.0)
+    assert secrets.guessed_spans("password is " + "a" * 300 + tail + " ok", []) == [("password", 12, 342)]
+
+
 def test_guessed_values_need_context():
     secret = "kX9" + "#mQ2$vL7p"
     assert secrets.guessed_spans(f"the password is {secret}.", []) == [("password", 16, 28)]
