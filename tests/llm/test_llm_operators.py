@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import gzip
 import hashlib
 import math
 import random
@@ -356,6 +357,24 @@ def test_warc_round_trip(spark):
     assert warc.archive_table(pages.where(F.lit(False))).count() == 0
 
 
+def test_warc_files(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i if i % 7 else None, f"http://x/{i}", "".join(r.choices("abcdefgh <>", k=2000))) for i in range(60)] + [(3, "http://x/r", "same")] * 5 + [(None, None, "same")] * 5 + [(2, None, "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=8000)
+    files = [p.read_bytes() for p in (tmp_path / "w").glob("part-*") if p.stat().st_size]
+    assert len(files) > 5 and all(len(f) <= 8000 + len(warc.EMPTY_MEMBER) for f in files)
+    heads = [warc.parse(m)[0] for f in files for m in warc.members(f)]
+    assert [gzip.decompress(f) for f in files] == [b"".join(warc.members(f)) for f in files]
+    assert len(heads) == len({h["WARC-Record-ID"] for h in heads}) == len(rows)
+    responses = {h["WARC-Record-ID"]: h for h in heads if h["WARC-Type"] == "response"}
+    for h in heads:
+        assert re.fullmatch(r"20\d\d-\d\d-\d\dT\d\d:\d\d:\d\dZ", h["WARC-Date"])
+        if h["WARC-Type"] == "revisit":
+            assert responses[h["WARC-Refers-To"]]["WARC-Payload-Digest"] == h["WARC-Payload-Digest"] and h["X-Refers-To-Page"] == "3"
+    assert len(responses) == 61
+
+
 # --- op 6 ----------------------------------------------------------------------------------------------------------
 
 
