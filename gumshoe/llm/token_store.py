@@ -1,9 +1,11 @@
 """Token-id files in patched frame-of-reference blocks.
 
-One file holds a run of documents in ascending id order::
+A file holds a run of documents in ascending id order as a row of groups::
 
-    "PFOR" | version u32 | documents u64 | tokens u64 | blocks u64     header, 32 bytes
+    "PFOR" | version u32 | bytes u64 | part u32 | group u32
+           | documents u64 | tokens u64 | blocks u64                        header, 48 bytes
     document ids        i64 * documents
+    null marks          u8 * documents    1 where the document has no id
     document lengths    u32 * documents
     block starts        u64 * blocks      byte offset of each block from the first
     blocks              each BLOCK ids but the last
@@ -14,14 +16,17 @@ bits of every id less the minimum (bit-packed, little-endian), then the
 exceptions' places (u16) and high parts (u32).  The width is that which holds
 the ``PERCENTILE`` lowest values, so a few large ids don't widen a block.
 
-Documents are range-partitioned by id; a partition's file is one value of
-Spark's text sink, whose commit protocol makes the write safe when an executor
-is lost.  A file is kept below ``FILE_TOKENS`` tokens by choosing the number of
-ranges.  Starts come from per-file totals, summed over files, not rows.
-
-Null and empty texts hold only the end id; repeated ids keep all their rows
-(ordered by text digest); an empty table writes no document; null ids sort
-first.
+Documents are range-partitioned by id, then by a hash of the text and a number
+from the scan, so one hot or missing id spreads over ranges; (part, group) in the
+headers gives the order over all files.  A range of about ``RANGE_BYTES`` of text
+is a file, and a group is closed at ``GROUP_TOKENS`` tokens (or one document), so
+tasks hold a group at a time.  A group is one value of Spark's text sink, whose
+commit protocol makes the write safe when an executor is lost.  Starts come from
+totals: groups are summed inside their file and files, a row each, in one window.
+
+Null and empty texts hold only the end id; repeated ids keep all their rows; ids
+are integers of up to 64 bits (others are refused); null ids sort first; an empty
+table writes no document.
 """
 
 from __future__ import annotations
@@ -36,15 +41,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import materialize, new_path
+from gumshoe.llm.common import materialize, new_path, small
 from gumshoe.llm.tokenize import codec, with_end
 
 BLOCK = 1024
 PERCENTILE = 90
 END = "\nPFE\n"
-NULL_ID = -(1 << 63)
-TARGET_BYTES = 8 << 20
-_HEAD = struct.Struct("<4sIQQQ")
+RANGE_BYTES = 128 << 20
+GROUP_TOKENS = 2 << 20
+ROWS_AT_ONCE = 1000
+_HEAD = struct.Struct("<4sIQIIQQQ")
 _BLOCK = struct.Struct("<IBHB")
 
 
@@ -84,80 +90,99 @@ def decode_block(raw: memoryview, n: int) -> np.ndarray:
     return out + np.uint32(least)
 
 
-def encode_file(doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+def encode_group(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray, part: int = 0, group: int = 0) -> bytes:
     blocks = [encode_block(ids[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
     starts = np.cumsum([0, *map(len, blocks)])[:-1]
-    head = _HEAD.pack(b"PFOR", 1, len(doc_ids), len(ids), len(blocks))
-    return b"".join([head, doc_ids.astype("<i8").tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *blocks])
-
-
-def decode_file(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc ids, lengths, ids) of a file, with or without its end mark."""
-    kind, version, docs, tokens, blocks = _HEAD.unpack_from(raw)
-    if kind != b"PFOR" or version != 1:
-        raise ValueError("not a token file")
-    at = _HEAD.size
-    doc_ids = np.frombuffer(raw, "<i8", docs, at)
-    at += 8 * docs
-    lengths = np.frombuffer(raw, "<u4", docs, at)
-    at += 4 * docs
-    starts = np.frombuffer(raw, "<u8", blocks, at)
-    body = memoryview(raw)[at + 8 * blocks :]
-    parts = [decode_block(body[int(s) :], min(BLOCK, tokens - k * BLOCK)) for k, s in enumerate(starts)]
-    return doc_ids, lengths, np.concatenate(parts) if parts else np.zeros(0, np.uint32)
-
-
-def read_ids(raw: bytes, start: int, stop: int) -> np.ndarray:
-    """Ids ``start`` to ``stop`` of one file, decoding only the blocks that hold them."""
-    _, _, docs, tokens, blocks = _HEAD.unpack_from(raw)
-    at = _HEAD.size + 12 * docs
-    starts = np.frombuffer(raw, "<u8", blocks, at)
-    body = memoryview(raw)[at + 8 * blocks :]
-    stop = min(stop, tokens)
-    if start >= stop:
-        return np.zeros(0, np.uint32)
-    first, last = start // BLOCK, (stop - 1) // BLOCK
-    got = [decode_block(body[int(starts[k]) :], min(BLOCK, tokens - k * BLOCK)) for k in range(first, last + 1)]
-    return np.concatenate(got)[start - first * BLOCK : stop - first * BLOCK]
+    body = b"".join([doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *blocks])
+    return _HEAD.pack(b"PFOR", 2, _HEAD.size + len(body), part, group, len(doc_ids), len(ids), len(blocks)) + body
+
+
+class Group:
+    """One group of a token file, read in place: only blocks that are asked for are decoded."""
+
+    def __init__(self, raw: memoryview):
+        kind, version, self.bytes, self.part, self.group, docs, self.tokens, blocks = _HEAD.unpack_from(raw)
+        if kind != b"PFOR" or version != 2:
+            raise ValueError("not a token file")
+        at = _HEAD.size
+        self.doc_ids = np.frombuffer(raw, "<i8", docs, at)
+        self.nulls = np.frombuffer(raw, np.uint8, docs, at + 8 * docs).astype(bool)
+        self.lengths = np.frombuffer(raw, "<u4", docs, at + 9 * docs)
+        at += 13 * docs
+        self.starts = np.frombuffer(raw, "<u8", blocks, at)
+        self.blocks = raw[at + 8 * blocks : self.bytes]
+
+    def ids(self, start: int = 0, stop: int | None = None) -> np.ndarray:
+        """Ids ``start`` to ``stop`` of the group, decoding only the blocks that hold them."""
+        stop = self.tokens if stop is None else min(stop, self.tokens)
+        if start >= stop:
+            return np.zeros(0, np.uint32)
+        first, last = start // BLOCK, (stop - 1) // BLOCK
+        got = [decode_block(self.blocks[int(self.starts[k]) :], min(BLOCK, self.tokens - k * BLOCK)) for k in range(first, last + 1)]
+        return np.concatenate(got)[start - first * BLOCK : stop - first * BLOCK]
+
+
+def groups(raw: bytes) -> Iterator[Group]:
+    """The groups of a file."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        group = Group(view[at:])
+        yield group
+        at += group.bytes + len(END)
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str = "text", id_col: str = "doc_id") -> None:
     """Tokenize ``docs`` and write token files below ``path``, in ascending id order of files and rows."""
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"{id_col} isn't an integer column")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, -(-total // TARGET_BYTES), min(12, total >> 16))
-    ordered = source.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # Files follow from RANGE_BYTES; a small corpus has a dozen of a megabyte or more, so that it keeps a dozen cores busy.
+    ranges = max(1, -(-total // RANGE_BYTES), min(12, total >> 20))
+    order = ["doc_id", "by_text", "by_place"]
+    keyed = source.withColumn("by_text", F.xxhash64("text")).withColumn("by_place", F.xxhash64(F.monotonically_increasing_id()))
+    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc_ids, lengths, ids = [], [], []
-        for batch in batches:
-            got, offsets = with_end(*codec(vocabulary).encode(batch.column(1)), end_id)
-            doc_ids.append(np.asarray(batch.column(0))), lengths.append(np.diff(offsets)), ids.append(got)
-        if doc_ids:
-            file = encode_file(np.concatenate(doc_ids), np.concatenate(lengths), np.concatenate(ids))
-            yield pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], names=["file"])
+        part, number, held, tokens = TaskContext.get().partitionId(), 0, [], 0
 
-    files = ordered.mapInArrow(run, "file binary")
-    files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", END).text(path)
+        def group() -> pa.RecordBatch:
+            doc_ids, nulls, lengths, ids = (np.concatenate(c) for c in zip(*held))
+            return pa.RecordBatch.from_arrays([pa.array([encode_group(doc_ids, nulls, lengths, ids, part, number)], pa.binary())], names=["group"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                ids, offsets = with_end(*codec(vocabulary).encode(some.column(1)), end_id)
+                nulls = np.asarray(some.column(0).is_null())
+                held.append((some.column(0).fill_null(0).to_numpy(), nulls, np.diff(offsets), ids))
+                tokens += len(ids)
+                if tokens >= GROUP_TOKENS:
+                    yield group()
+                    number, held, tokens = number + 1, [], 0
+        if held:
+            yield group()
+
+    written = ordered.mapInArrow(run, "group binary")
+    written.select(F.col("group").cast("string").alias("value")).write.option("lineSep", END).text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the files."""
+    """(doc_id, part, group, within, n_tokens, ids_crc32) of every document, decoded from the files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                doc_ids, lengths, ids = decode_file(raw.as_py())
-                ends = np.cumsum(lengths, dtype=np.int64)
-                wide = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                first = int(doc_ids[0]) if len(doc_ids) else 0
-                cols = [doc_ids, ends - lengths, lengths.astype(np.int64), np.array(crc, np.int64), np.full(len(crc), first), np.full(len(crc), TaskContext.get().partitionId())]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "within", "n_tokens", "ids_crc32", "first", "task"])
+                for g in groups(raw.as_py()):
+                    ends = np.cumsum(g.lengths, dtype=np.int64)
+                    wide = memoryview(g.ids().astype("<u4").tobytes())
+                    crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), g.lengths.tolist())]
+                    doc_ids = pa.array(g.doc_ids.astype(np.int64), mask=g.nulls)
+                    cols = [np.full(len(crc), g.part, np.int64), np.full(len(crc), g.group, np.int64), ends - g.lengths, g.lengths.astype(np.int64), np.array(crc, np.int64)]
+                    yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, cols)], names=["doc_id", "part", "group", "within", "n_tokens", "ids_crc32"])
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    rows = raw.where("length > 0").select("content", "path").select("content")
-    return rows.mapInArrow(run, "doc_id long, within long, n_tokens long, ids_crc32 long, first long, task long")
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
+    return raw.mapInArrow(run, "doc_id long, part long, group long, within long, n_tokens long, ids_crc32 long")
 
 
 def token_table(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text", id_col: str = "doc_id", path: str | None = None) -> DataFrame:
@@ -166,8 +191,10 @@ def token_table(docs: DataFrame, vocabulary: str, end_id: int, text: str = "text
     path = path or new_path(spark, "tokens")
     write_tokens(docs, path, vocabulary, end_id, text, id_col)
     rows = materialize(read_tokens(spark, path), "token-rows")
-    files = rows.groupBy("first").agg(F.sum("n_tokens").alias("tokens"))
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = files.select("first", before.alias("before"))
-    out = rows.join(starts, "first").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
+    per_group = rows.groupBy("part", "group").agg(F.sum("n_tokens").alias("tokens"))
+    earlier = lambda w: F.coalesce(F.sum("tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = per_group.select("part", "group", earlier(Window.partitionBy("part").orderBy("group")).alias("inside"))
+    files = per_group.groupBy("part").agg(F.sum("tokens").alias("tokens"))  # a row per RANGE_BYTES of text
+    files = files.select("part", earlier(Window.orderBy("part")).alias("before"))
+    starts = materialize(inside.join(files, "part").select("part", "group", (F.col("before") + F.col("inside")).alias("first")), "token-starts")
+    return rows.join(small(starts), ["part", "group"]).select("doc_id", (F.col("first") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")

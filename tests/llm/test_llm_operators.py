@@ -129,11 +129,14 @@ def test_best_fit_bound():
 @pytest.mark.parametrize("ids", [[5], [7] * 3000, list(range(3000)), [1, 2, 60000] * 900, [0, 2**20, 3] * 700])
 def test_block_round_trip(ids):
     ids = np.array(ids, np.uint32)
-    raw = token_store.encode_file(np.array([4], np.int64), np.array([len(ids)]), ids)
-    doc, n, back = token_store.decode_file(raw + token_store.END.encode())
-    assert doc.tolist() == [4] and n.tolist() == [len(ids)] and np.array_equal(back, ids)
-    for a, b in ((0, 1), (1000, 1100), (len(ids) - 1, len(ids)), (0, len(ids)), (5, 5)):
-        assert np.array_equal(token_store.read_ids(raw, a, b), ids[a:b])
+    raw = token_store.encode_group(np.array([4, 0], np.int64), np.array([False, True]), np.array([len(ids), 0]), ids, 3, 9)
+    end = token_store.END.encode()
+    two = list(token_store.groups(raw + end + raw + end))
+    assert len(two) == 2
+    for g in two:
+        assert g.doc_ids.tolist() == [4, 0] and g.nulls.tolist() == [False, True] and g.lengths.tolist() == [len(ids), 0] and (g.part, g.group) == (3, 9)
+        for a, b in ((0, None), (0, 1), (1000, 1100), (len(ids) - 1, len(ids)), (0, len(ids)), (5, 5)):
+            assert np.array_equal(g.ids(a, b), ids[a:b])
 
 
 def test_outliers_do_not_widen_blocks():
@@ -152,6 +155,24 @@ def test_token_table(spark, odd):
         assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     assert token_store.token_table(empty(odd), vocabulary_path("byte_bpe_50k.json"), 2).count() == 0
+    with pytest.raises(TypeError):
+        token_store.token_table(odd.withColumn("doc_id", F.lit("a")), vocabulary_path("byte_bpe_50k.json"), 2)
+
+
+def test_token_files_split_hot_ids(spark, words, tmp_path):
+    texts = [words(1500, i) for i in range(700)]
+    rows = [(None if i % 3 == 0 else -(1 << 63) if i % 3 == 1 else 5, t, "en", "a", 0, "", 0, 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = sorted(token_store.token_table(df, vocabulary_path("byte_bpe_50k.json"), 2, path=str(tmp_path / "t")).collect(), key=lambda r: r.start)
+    want = collections.Counter((r[0], zlib.crc32(ids.tobytes()), len(ids)) for r in rows for ids in [whole_ids("byte_bpe_50k.json", r[1])])
+    assert collections.Counter((r.doc_id, r.ids_crc32, r.n_tokens) for r in got) == want
+    assert [r.doc_id is not None for r in got] == sorted(r.doc_id is not None for r in got) and [r.doc_id or 0 for r in got if r.doc_id is not None] == sorted(r.doc_id for r in got if r.doc_id is not None)
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    files = [p.read_bytes() for p in (tmp_path / "t").glob("part-*") if p.stat().st_size]
+    assert len(files) >= 4
 
 
 # --- op 3 ----------------------------------------------------------------------------------------------------------
