@@ -43,7 +43,7 @@ def words_of(text: Column) -> Column:
 
 def count_in(text: Column, characters: str) -> Column:
     """How many characters of ``text`` are among ``characters``."""
-    return (F.length(text) - F.length(F.translate(text, characters, ""))).cast("long")
+    return F.regexp_count(text, F.lit("[" + "".join(f"\\x{ord(c):02x}" for c in characters) + "]")).cast("long")
 
 
 def repeat_words(words: Column) -> Column:
@@ -88,7 +88,7 @@ def duplicate_lines(text: Column) -> Column:
 def measures(text: Column) -> Column:
     """Struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     whole = F.coalesce(text, F.lit(""))
-    chars = F.length(F.translate(whole, " \t\n\x0b\x0c\r", "")).cast("long")
+    chars = F.length(whole).cast("long") - F.regexp_count(whole, F.lit(r"[\x20\x09-\x0D]"))
     return let(
         words_of(text),
         lambda w: F.struct(
@@ -114,7 +114,7 @@ def rules(text: Column, m: Column) -> dict[str, Column]:
         "many_symbols": m["n_symbols"] > 0.2 * n,
         "repeated_lines": (m["n_dup_lines"] > 2) & (m["n_dup_lines"] > 0.3 * F.size(F.split(text, "\n"))),
         "shouting": F.regexp_count(text, F.lit(r"\p{Lu}")) > 0.5 * size,
-        "few_letters": F.regexp_count(text, F.lit(r"\p{L}")) < 0.5 * size,
+        "few_letters": F.regexp_count(text, F.lit(r"\P{L}")) > F.length(text) - 0.5 * size,
         "many_bullets": F.regexp_count(text, F.lit(r"(?m)^[ \t]*[-*•]")) > 0.9 * F.size(F.split(text, "\n")),
         "long_run": text.rlike(r"(\S)\1{29}"),
     }
