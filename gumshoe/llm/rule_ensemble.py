@@ -19,12 +19,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import materialize
+from gumshoe.llm.common import materialize, small
 from gumshoe.llm.labels import training_ids
 
 #: Most labelled rows that a classifier is fitted on.
 TRAIN_ROWS = 20_000
-TREES, DEPTH, RULES, LASSO = 16, 3, 160, 0.002
+TREES, DEPTH, LASSO = 16, 3, 0.002
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -33,20 +33,20 @@ def statistics(text: Column) -> dict[str, Column]:
     n = F.greatest(F.length(t), F.lit(1))
     words = F.split(F.trim(t), r"\s+")
     share = lambda pattern: F.regexp_count(t, F.lit(pattern)) / n
-    kept = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))) / n
+    found = lambda part: (F.length(t) - F.length(F.replace(t, F.lit(part), F.lit("")))) / len(part) / n
     return {
         "log_length": F.log1p(F.length(t)),
         "upper_share": share(r"\p{Lu}"),
-        "space_share": kept(" \t\n"),
-        "line_share": kept("\n"),
-        "digit_share": kept("0123456789"),
-        "symbol_share": kept("#*$%&@^~=+_"),
-        "pipe_share": kept("|<>{}[]\\"),
-        "shout_share": kept("!?"),
-        "stop_share": kept(".,;:"),
-        "repeat_share": share(r"(?:^|\s)(\S{2,40})(?=\s+\1(?:\s|$))") * 8,
+        "space_share": found(" "),
+        "line_share": found("\n"),
+        "digit_share": share("[0-9]"),
+        "symbol_share": share(r"[#*$%&@^~=+_]"),
+        "pipe_share": share(r"[|<>{}\[\]\\]"),
+        "shout_share": share("[!?]"),
+        "stop_share": share("[.,;:]"),
+        "repeat_share": share(r"(?<!\S)(\S{2,40}+)\s++\1(?!\S)") * 8,
         "distinct_share": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1)),
-        "markup_share": share(r"https?:|www\.|©|\bcookie|\blicen[sc]e"),
+        "markup_share": found("http") + found("www.") + found("©") + found("ookie") + found("icen"),
     }
 
 
@@ -58,8 +58,13 @@ class RuleModel:
     rules: tuple[tuple[tuple[tuple[str, str, float], ...], float], ...]
     bias: float
 
-    def score(self, stats: Column) -> Column:
-        """Probability of label 1 from a struct of statistics."""
+    @property
+    def used(self) -> tuple[str, ...]:
+        """Statistics that a rule tests; no other is computed for scoring."""
+        return tuple(n for n in self.names if any(n == t[0] for tests, _ in self.rules for t in tests))
+
+    def score(self, stats: Column | dict[str, Column]) -> Column:
+        """Probability of label 1 from statistics by name."""
         margin = F.lit(float(self.bias))
         for tests, weight in self.rules:
             margin = margin + F.when(_all(tests, stats), F.lit(float(weight))).otherwise(F.lit(0.0))
@@ -95,8 +100,9 @@ def forest_rules(model, names: list[str]) -> list[tuple[tuple[str, str, float],
     return list(found)
 
 
-def stats_struct(text: Column) -> Column:
-    return F.struct(*[c.cast("double").alias(k) for k, c in statistics(text).items()])
+def stats_struct(text: Column, names: tuple[str, ...] | None = None) -> Column:
+    """All statistics, or those named, as doubles."""
+    return F.struct(*[c.cast("double").alias(k) for k, c in statistics(text).items() if names is None or k in names])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, text: str = "text", most: int = TRAIN_ROWS) -> RuleModel:
@@ -107,8 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
 
     names = list(statistics(F.lit("")))
     ids = training_ids(labels, label, folds, held, most)
-    rows = docs.select("doc_id", F.col(text).alias("_text")).join(ids, "doc_id").select(F.col("label").cast("double"), stats_struct(F.col("_text")).alias("s")).select("label", "s.*")
-    rows = materialize(rows, "quality-train").coalesce(6)
+    rows = docs.select("doc_id", F.col(text).alias("_text")).join(small(ids), "doc_id").select(F.col("label").cast("double"), stats_struct(F.col("_text")).alias("s")).select("label", "s.*")
+    rows = materialize(rows, "quality-train").coalesce(6)  # about ``most`` rows of numbers
     share = dict(rows.groupBy("label").count().collect())
     if len(share) < 2:
         n = sum(share.values())
@@ -121,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int =
     forest = RandomForestClassifier(
         featuresCol="x", labelCol="label", weightCol="w", numTrees=TREES, maxDepth=DEPTH, maxBins=64, seed=5, featureSubsetStrategy="onethird", subsamplingRate=0.8
     ).fit(vectors)
-    rules = forest_rules(forest, names)[:RULES]
+    rules = forest_rules(forest, names)  # at most 2^(DEPTH + 1) - 2 a tree
     if not rules:
         vectors.unpersist()
         return RuleModel(tuple(names), (), float(_logit(share[1.0] / total)))
@@ -140,14 +146,15 @@ def _logit(p: float) -> float:
 
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and ``score`` of every row; statistics are computed once a row."""
-    from gumshoe.llm.quality_rules import let
-
-    return docs.select(*keep, let(stats_struct(F.col(text)), model.score).alias("score"))
+    """``keep`` columns and ``score`` of every row; statistics are columns of a step of their own, computed once a row."""
+    every = statistics(F.col(text))
+    stats = docs.select(*keep, *[every[n].cast("double").alias(f"_stat_{n}") for n in model.used])
+    return stats.select(*keep, model.score({n: F.col(f"_stat_{n}") for n in model.used}).alias("score"))
 
 
 def filter_quality(docs: DataFrame, model: RuleModel, text: str = "text", least: float = 0.5) -> DataFrame:
     """Rows of ``docs`` that score at least ``least``."""
     from gumshoe.llm.quality_rules import let
 
-    return docs.where(let(stats_struct(F.col(text)), model.score) >= least)
+    # A lambda variable: a filter on columns of an earlier step would be pushed below it, and every use computed again.
+    return docs.where(let(stats_struct(F.col(text), model.used), model.score) >= least) if model.used else docs.where(model.score({}) >= least)

@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -424,6 +425,29 @@ def test_cascade_order_changes_no_verdict(spark, words):
     assert sorted(order) == sorted(quality_rules.rules(F.lit(""), quality_rules.measures(F.lit(""))))
     kept = [df.where(quality_rules.verdict(F.col("text"), quality_rules.measures(F.col("text")), o).isNull()).count() for o in (order, order[::-1])]
     assert kept[0] == kept[1] == quality_rules.filter_quality(df).count()
+    assert quality_rules.filter_quality(empty(df)).count() == 0 and quality_rules.filter_quality(df).columns == df.columns
+
+
+def brute_rejects(t):
+    """Whether any rule of the cascade rejects a text, in Python."""
+    w = WORD.findall(t)
+    n, size, lines = max(1, len(w)), max(1, len(t)), t.split("\n")
+    with_word = [x for x in lines if WORD.search(x)]
+    again = len(with_word) - len(set(with_word))
+    letter, upper = (sum(unicodedata.category(c).startswith(k) for c in t) for k in ("L", "Lu"))
+    length = sum(map(len, w))
+    return any(
+        (length < 2 * n or length > 14 * n, sum(c in "#*$%&|<>" for c in t) > 0.2 * n, again > 2 and again > 0.3 * len(lines), upper > 0.5 * size, letter < 0.5 * size)
+        + (sum(bool(re.match(r"[ \t]*[-*•]", x)) for x in lines) > 0.9 * len(lines), bool(re.search(r"(\S)\1{29}", t, re.ASCII)))
+    )
+
+
+def test_cascade_equals_rules_in_python(spark, words):
+    plain = [words(60, i) for i in range(6)]
+    texts = plain + [t.upper() for t in plain] + [plain[0] + "z" * k for k in (20, 40)] + ["a " * 60 + plain[1], "1234 5678 " * 30 + plain[2], "\n".join("- " + x for x in plain), "\n".join([plain[3], *["same line"] * 9])]
+    texts += [plain[4] + " #" * k for k in (5, 20, 60)] + [" ".join("longlonglonglonglong" + str(i) for i in range(60)), "été " * 10 + plain[5]]
+    for r in quality_rules.quality_table(frame(spark, texts)).collect():
+        assert r.kept == (not r.base_failed and not brute_rejects(texts[r.doc_id])), texts[r.doc_id][:40]
 
 
 # --- op 7 ----------------------------------------------------------------------------------------------------------
@@ -659,11 +683,20 @@ def test_rule_ensemble(spark, words, odd):
     df = frame(spark, texts)
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(400)], "doc_id long, quality int, toxic int")
     model = rule_ensemble.fit(df, labels)
-    assert 0 < len(model.rules) <= rule_ensemble.RULES
+    assert 0 < len(model.rules) and set(model.used) <= set(model.names)
+    # The compiled columns equal the rules applied in Python to the same statistics.
+    for r in df.select("doc_id", rule_ensemble.stats_struct(F.col("text")).alias("s")).join(rule_ensemble.score(df, model), "doc_id").collect():
+        fires = lambda tests: all((r.s[n] <= at) if op == "<=" else (r.s[n] > at) for n, op, at in tests)
+        margin = model.bias + sum(w for tests, w in model.rules if fires(tests))
+        assert r.score == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-12)
     got = {r.doc_id: r.score for r in rule_ensemble.score(df, model).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 == 2]
     assert sum((got[i] >= 0.7) == (i % 3 > 0) for i in held) / len(held) > 0.97
     odd_scores = rule_ensemble.score(odd, model).collect()
     assert len(odd_scores) == odd.count() and all(0 <= r.score <= 1 for r in odd_scores)
     assert rule_ensemble.score(empty(odd), model).count() == 0
-    assert rule_ensemble.fit(df, labels.where("quality = 1")).rules == ()
+    one = rule_ensemble.fit(df, labels.where("quality = 1"))
+    assert one.rules == () and rule_ensemble.filter_quality(odd, one).count() == odd.count()
+    kept = rule_ensemble.filter_quality(odd, model)
+    assert kept.columns == odd.columns and kept.count() == sum(r.score >= 0.5 for r in odd_scores)
+    assert rule_ensemble.filter_quality(empty(odd), model).count() == 0
