@@ -8,14 +8,18 @@ with d the distances of x to the pivots and R_j the radius of cell j, that needs
 
     d_j - d_i <= 2 r,   d_j <= R_j + r,   and   (d_j^2 - d_i^2) / (2 |p_i p_j|) <= r,
 
-the last being the distance to the plane half-way between the pivots.  Cells
-are joined independently; a large cell is dealt into chunk pairs, so one dense
+the last being the distance to the plane half-way between the pivots.  How many
+pivots there are is chosen on a sample: the number with the least estimated work,
+pairs and copies together, so clustered data get many and data that the triangle
+inequality hardly prunes get few.  Cells are joined independently; a large cell is dealt into chunk pairs, so one dense
 cell needs no single task.  Equal vectors are joined once and counted by their
 number.  Tasks return link counts and spanning edges, never the pairs.
 
-Vectors that are null, empty, zero or hold a null or non-finite component, and
-vectors of another length than most, link with nothing of another length; equal
-ids are separate rows of one node; an empty table gives no rows.
+Vectors that are null, empty, zero or hold a null or non-finite component link
+with nothing; vectors of another length than most are joined in a cell of their
+length; equal ids are separate rows of one node; rows without an id link with
+nothing and have no component; an empty table gives no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import connected_components, materialize
+from gumshoe.llm.common import connected_components, materialize, small
 from gumshoe.llm.simhash import _roots
 
-PIVOTS = 24
+#: Most pivots.
+PIVOTS = 256
 SAMPLE_ROWS = 2048
+#: Seconds that comparing two vectors and sending one to a task take, roughly; they only steer the number of pivots.
+PAIR_S, COPY_S = 1e-8, 2e-5
 CHUNK = 4096
 OUTER_CHUNK = 8192
 
@@ -55,27 +62,53 @@ def _raw(batches):
     """Arrays to bytes, once: every later step reads them without building lists."""
     for b in batches:
         b["x"] = [(b"f" if v.dtype == np.float32 else b"d") + v.tobytes() for v in b["v"]]
-        yield b[["x", "first", "copies"]]
+        b["length"] = b["v"].map(len)
+        yield b[["x", "first", "copies", "length"]]
 
 
-def choose_pivots(vectors: DataFrame, count: int) -> np.ndarray:
-    """Spread-out pivots: farthest-first over a bounded sample in hash order."""
+def choose_pivots(vectors: DataFrame, total: int, r: float, most: int) -> np.ndarray:
+    """Spread-out pivots, farthest-first over a bounded sample in hash order, as many as make the least work for ``total`` vectors."""
     rows = vectors.orderBy(F.xxhash64("x"), "first").limit(SAMPLE_ROWS).select("x").toPandas()
     x = _unit(rows["x"])
     chosen, far = [0], 1 - x @ x[0]
-    while len(chosen) < min(count, len(x)):
+    while len(chosen) < min(most, len(x)):
         k = int(far.argmax())
         if far[k] <= 1e-9:
             break
         chosen.append(k)
         far = np.minimum(far, 1 - x @ x[k])
-    return x[chosen]
+    pivots = x[chosen]
+
+    def work(k: int) -> float:
+        d = _distances(x, pivots[:k])
+        cell = d.argmin(1)
+        own = np.bincount(cell, minlength=k) / len(x)
+        radius = np.array([d[cell == c, c].max(initial=-1.0) for c in range(k)])
+        sent = (_reach(d, cell, pivots[:k], radius, r).sum(0) - np.bincount(cell, minlength=k)) / len(x)
+        pairs = (own * (own / 2 + sent)).sum() * total * total
+        copies = (1 + sent.sum()) * total + (own * own + own * sent).sum() * total * total / CHUNK
+        return pairs * PAIR_S + copies * COPY_S
+
+    counts = [k for k in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024) if k < len(pivots)] + [len(pivots)]
+    return pivots[: min(counts, key=work)]
 
 
 def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ pivots.T)))
 
 
+def _reach(d: np.ndarray, cell: np.ndarray, pivots: np.ndarray, radius: np.ndarray, r: float) -> np.ndarray:
+    """Whether each vector is sent to each cell, by its distances ``d`` to the pivots and its own cell."""
+    apart = np.maximum(_distances(pivots, pivots), 1e-12)
+    cells = np.arange(len(pivots))
+    # The cell that joins a pair of cells: the larger number if their sum is even, else the smaller.
+    meets = ((cells[:, None] + cells) % 2 == 0) == (cells[None, :] > cells[:, None])
+    di = d[np.arange(len(d)), cell][:, None]
+    out = (d - di <= 2 * r) & (d <= radius + r) & ((d * d - di * di) / (2 * apart[cell]) <= r) & meets[cell]
+    out[np.arange(len(d)), cell] = True
+    return out
+
+
 def _links(a: np.ndarray, b: np.ndarray, cosine: float) -> np.ndarray:
     return a @ b.T >= cosine
 
@@ -118,30 +151,39 @@ def range_join(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     rows = rows.withColumn("v", F.when(valid(F.col("v")), F.col("v")))
     good = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull())
     distinct = materialize(good.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "vectors")
-    lengths = [r[0] for r in distinct.select(F.size("v").alias("n")).distinct().orderBy("n").collect()]
-    found = None
-    for length in lengths:  # vectors of different length have no cosine
-        raw = distinct.where(F.size("v") == length).mapInPandas(_raw, "x binary, first long, copies long")
-        part = _cells(materialize(raw, "vector-bytes"), cosine, pivots, chunk)
-        found = part if found is None else found.union(part)
-    spark = vectors.sparkSession
-    if found is None:
-        found = spark.createDataFrame([], "first long, links long, edge long")
+    sizes = distinct.groupBy(F.size("v").alias("n")).count()
+    main = sizes.orderBy(F.desc("count"), "n").first()
+    if main is None:
+        found = vectors.sparkSession.createDataFrame([], "first long, links long, edge long")
+    else:
+        raw = materialize(distinct.mapInPandas(_raw, "x binary, first long, copies long, length int"), "vector-bytes")
+        found = _main_cells(raw.where(F.col("length") == main[0]).drop("length"), main[1], cosine, pivots, chunk)
+        rest = raw.where(F.col("length") != main[0]).withColumnRenamed("length", "cell").withColumn("core", F.lit(True))
+        counts = sizes.where(F.col("n") != main[0]).select(F.col("n").alias("cell"), _chunks(F.col("count"), chunk).alias("n"), F.lit(1).alias("m"))
+        found = found.union(_join_cells(rest.select("x", "first", "copies", "cell", "core"), small(materialize(counts, "vector-cells")), cosine))
     found = materialize(found, "links")
     groups = connected_components(found.select(F.col("first").alias("src"), F.col("edge").alias("dst")))
     per = found.groupBy("first").agg(F.sum("links").alias("links"))
     # An id with several different vectors is one node: its links are those of all of them.
     of = distinct.join(per, "first", "left").join(groups.withColumnRenamed("node", "first"), "first", "left")
     of = of.select("v", F.coalesce("links", F.lit(0)).alias("links"), "copies", F.coalesce("component", "first").alias("component_id"))
+    named = F.col("id").isNotNull()
     out = rows.join(of, "v", "left").select(
-        F.col("id").alias(id_col), F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id")
+        F.col("id").alias(id_col),
+        F.when(named, F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(named, F.coalesce("component_id", "id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def _cells(distinct: DataFrame, cosine: float, pivots: int, chunk: int) -> DataFrame:
-    p = choose_pivots(distinct, pivots)
+def _chunks(n, of: int):
+    return F.greatest(F.lit(1), F.ceil(n / of)).cast("int")
+
+
+def _main_cells(distinct: DataFrame, total: int, cosine: float, pivots: int, chunk: int) -> DataFrame:
+    """Links of vectors of one length by pivot cells."""
     r = math.sqrt(2 - 2 * cosine) + 1e-9
+    p = choose_pivots(distinct, total, r, pivots)
 
     def nearest(batches):
         for b in batches:
@@ -152,32 +194,29 @@ def _cells(distinct: DataFrame, cosine: float, pivots: int, chunk: int) -> DataF
                 yield b
 
     placed = materialize(distinct.mapInPandas(nearest, "x binary, first long, copies long, cell int, d double"), "cells")
-    size = {c: (radius, n) for c, radius, n in placed.groupBy("cell").agg(F.max("d"), F.count("*")).collect()}  # a row per pivot
-    radius = np.array([size[c][0] if c in size else -1.0 for c in range(len(p))])
-    total = sum(n for _, n in size.values())
-    apart = np.maximum(_distances(p, p), 1e-12)
-    cells = np.arange(len(p))
-    # The cell that joins a pair of cells: the larger number if their sum is even, else the smaller.
-    meets = ((cells[:, None] + cells) % 2 == 0) == (cells[None, :] > cells[:, None])
+    per_cell = placed.groupBy("cell").agg(F.max("d").alias("radius"), F.count("*").alias("count"))  # a row per pivot
+    radius = np.full(len(p), -1.0)
+    for c, widest, _ in per_cell.collect():
+        radius[c] = widest
 
     def replicate(batches):
         for b in batches:
             if not len(b):
                 continue
-            x, i = _unit(b["x"]), b["cell"].to_numpy()
-            d = _distances(x, p)
-            di = d[np.arange(len(x)), i][:, None]
-            reach = (d - di <= 2 * r) & (d <= radius + r) & ((d * d - di * di) / (2 * apart[i]) <= r) & meets[i]
-            reach[np.arange(len(x)), i] = True
-            at, cell = np.nonzero(reach)
+            i = b["cell"].to_numpy()
+            at, cell = np.nonzero(_reach(_distances(_unit(b["x"]), p), i, p, radius, r))
             out = b[["x", "first", "copies"]].iloc[at].copy()
             out["cell"], out["core"] = cell.astype(np.int32), cell == i[at]
             yield out
 
     sent = placed.mapInPandas(replicate, "x binary, first long, copies long, cell int, core boolean")
-    chunks = lambda n, of: F.lit(max(1, -(-n // of)))
-    by_cell = lambda f: F.create_map(*[y for c, (_, n) in size.items() for y in (F.lit(c), f(n))])[F.col("cell")]
-    dealt = sent.withColumn("n", by_cell(lambda n: chunks(n, chunk))).withColumn("m", by_cell(lambda n: chunks((total - n) // 2, OUTER_CHUNK)))
+    counts = per_cell.select("cell", _chunks(F.col("count"), chunk).alias("n"), _chunks((F.lit(total) - F.col("count")) / 2, OUTER_CHUNK).alias("m"))
+    return _join_cells(sent, F.broadcast(materialize(counts, "vector-cells")), cosine)
+
+
+def _join_cells(sent: DataFrame, counts: DataFrame, cosine: float) -> DataFrame:
+    """Links inside cells, and between their core and outer vectors; ``counts`` says into how many chunks each cell's are dealt (n, m)."""
+    dealt = sent.join(counts, "cell")
     hashed = F.xxhash64("first")
     keep = ["x", "first", "copies", "cell", "core"]
     # Core chunks of a cell meet each other (i, j) and every chunk of its outer vectors (i, -1 - o).

@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import materialize
+from gumshoe.llm.common import materialize, small
 from gumshoe.llm.labels import training_ids
 
 TRAIN_ROWS = 16_000
@@ -288,7 +288,7 @@ def _cover(rows: pd.DataFrame, gain: dict[str, float]) -> dict[str, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3, held: int = 1, text: str = "text", most: int = TRAIN_ROWS) -> KernelModel | float:
     """Learn from labelled rows outside the held-out fold, about ``most`` at most."""
     ids = training_ids(labels, label, folds, held, most)
-    sample = docs.select("doc_id", F.col(text).alias("_text")).join(ids, "doc_id").select("doc_id", "label", "_text")
+    sample = docs.select("doc_id", F.col(text).alias("_text")).join(small(ids), "doc_id").select("doc_id", "label", "_text")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
