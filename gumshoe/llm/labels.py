@@ -14,10 +14,10 @@ def fold(id_col: Column, folds: int) -> Column:
 def training_ids(labels: DataFrame, label: str, folds: int, held: int, most: int) -> DataFrame:
     """(doc_id, label) of labelled rows outside the held-out fold: all, or about ``most`` of them by an id hash.
 
-    Rows with a null label or id are left out; an id labelled both ways counts as 1.
+    Rows with a null label or id are left out; labels other than 0 are 1; an id labelled both ways counts as 1.
     """
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(fold(F.col("doc_id"), folds) != held)
-    rows = rows.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("label"))
+    rows = rows.groupBy("doc_id").agg(F.max((F.col(label) != 0).cast("int")).alias("label"))
     n = rows.count()
     if n > most:
         rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * most / n))

@@ -15,10 +15,15 @@ the kernel is a dot product over subsequences, landmarks and weights fold into
 one table of 64^3 subsequence weights; that table (1 MB) is all that scoring
 ships, and a word costs table look-ups instead of a dynamic program a landmark.
 
-Null and empty texts have the least margin; long words are scored in overlapping
-windows, so no part of a text is skipped; repeated rows score alike; an empty
-table gives no rows; extra columns are ignored; with one class only, every
-text gets the share of label 1.
+Bounds of fitting: about ``TRAIN_ROWS`` texts, of whose distinct strings
+``CANDIDATES`` toxic and ``NEGATIVES`` clean ones (and the commonest clean ones) are
+weighed, ``SWAPS`` hard clean strings joining in each round.  Scoring has no bounds.
+
+Null and empty texts have the least margin; long words are fitted and scored in
+overlapping windows, so no part of a text is skipped; repeated rows score alike;
+an empty table gives no rows; extra columns are ignored; with one class only, or
+without a clean or a toxic word to learn from, every text gets the share of label 1;
+labels other than 0 count as 1.
 """
 
 from __future__ import annotations
@@ -116,9 +121,14 @@ class KernelModel:
     slope: float = 2.0
     offset: float = 0.0
 
+    @property
+    def floor(self) -> float:
+        """Least margin that is told apart: a string that resembles clean ones more than toxic ones has this or less."""
+        return max(FLOOR, self.bias)
+
     def margins(self, words: list[str]) -> np.ndarray:
-        """Margin of each word, at least ``FLOOR``."""
-        out = np.full(len(words), FLOOR)
+        """Margin of each word, at least ``floor``."""
+        out = np.full(len(words), self.floor)
         if not words:
             return out
         by_size = np.fromiter(map(len, words), np.int64, len(words)) > 12
@@ -132,8 +142,8 @@ class KernelModel:
                 for u, v, w in triples(codes):
                     dot += w * np.where(v, self.table[u], 0).sum(1)
                     own += w * w * v.sum(1)
-                # ``own`` is at most the squared norm, so this bounds the margin from above.
-                hope = np.flatnonzero((own > 0) & (dot / np.sqrt(np.maximum(own, 1e-12)) + self.bias > FLOOR) & (dot > 0))
+                # ``own`` is at most the squared norm, so this bounds a margin above the bias from above; others are at the floor.
+                hope = np.flatnonzero((own > 0) & (dot / np.sqrt(np.maximum(own, 1e-12)) + self.bias > self.floor) & (dot > 0))
                 for h in range(0, len(hope), EXACT_AT_ONCE):
                     near = hope[h : h + EXACT_AT_ONCE]
                     _, w = features(codes[near])
@@ -157,8 +167,8 @@ def text_margins(model: KernelModel, texts: pa.Array) -> np.ndarray:
     coded = cut.flatten().dictionary_encode()
     index = np.asarray(coded.indices)
     m = model.margins(coded.dictionary.to_pylist())[index] if len(index) else np.zeros(0)
-    out = np.maximum.reduceat(np.append(m, FLOOR), np.minimum(starts[:-1], len(m))) if len(texts) else np.zeros(0)
-    out[starts[1:] == starts[:-1]] = FLOOR
+    out = np.maximum.reduceat(np.append(m, model.floor), np.minimum(starts[:-1], len(m))) if len(texts) else np.zeros(0)
+    out[starts[1:] == starts[:-1]] = model.floor
     for k in np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _SPACED))):
         runs = spaced_runs(texts[int(k)].as_py())
         if runs:
@@ -187,15 +197,15 @@ def score(docs: DataFrame, model: KernelModel | float, text: str = "text", id_co
 
 
 def _strings(text: str | None) -> list[str]:
+    """Distinct strings of a text; one longer than WIDTH counts as its overlapping windows."""
     t = (text or "").lower()
-    return sorted({w.strip(".,;:!?\"'()[]{}") for w in [*t.split(), *spaced_runs(t)]} - {""})
+    words = {w.strip(".,;:!?\"'()[]{}") for w in [*t.split(), *spaced_runs(t)]}
+    return sorted({w[a : a + WIDTH] for w in words for a in range(0, max(1, len(w) - WIDTH + STEP), STEP)} - {""})
 
 
 def _matrix(words: list[str], columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Normalised feature rows of words over ``columns`` (all their own if None), as float32."""
-    codes, owner = windows(words)
-    codes = codes[: len(words)]  # a witness word's first window
-    u, w = features(codes)
+    u, w = features(windows(words)[0][: len(words)])  # strings of at most WIDTH letters: a row each
     norm = np.sqrt((w * w).sum(1))
     if columns is None:
         columns = np.unique(u[w > 0])
@@ -266,7 +276,7 @@ def _witnesses(model: KernelModel, part: pa.RecordBatch) -> pa.RecordBatch:
     starts -= starts[0]
     best = [int(a + m[a:b].argmax()) if b > a else -1 for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
     word = [words[index[k]] if k >= 0 else "" for k in best]
-    margin = [float(m[k]) if k >= 0 else FLOOR for k in best]
+    margin = [float(m[k]) if k >= 0 else model.floor for k in best]
     return pa.RecordBatch.from_arrays([part.column(0), pa.array(word, pa.string()), pa.array(margin, pa.float64())], names=["label", "word", "margin"])
 
 
@@ -319,6 +329,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     bad, model = list(dict.fromkeys(negative)), None
     for _ in range(3):
         bad = [w for w in bad if w not in positive]
+        if not bad:
+            return share[1] / (share[0] + share[1])
         model = fit_words(positive, bad)
 
         def top(batches: Iterator[pa.RecordBatch], m=model) -> Iterator[pa.RecordBatch]:

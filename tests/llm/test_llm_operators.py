@@ -470,9 +470,11 @@ def test_range_join(spark):
     x[450:460] = x[440]
     x = x.astype(np.float32)
     rows = [(i, v.tolist(), "clash") for i, v in enumerate(x)]
-    bad = [(600, None, ""), (601, [0.0] * 16, ""), (602, [float("nan")] + [1.0] * 15, ""), (603, [None] + [1.0] * 15, ""), (604, [], ""), (605, [1.0, 0.0], ""), (606, [2.0, 0.0], ""), (607, [float("inf")] * 16, "")]
+    bad = [(600, None, ""), (601, [0.0] * 16, ""), (602, [float("nan")] + [1.0] * 15, ""), (603, [None] + [1.0] * 15, ""), (604, [], ""), (605, [1.0, 0.0], ""), (606, [2.0, 0.0], ""), (607, [float("inf")] * 16, ""), (None, rows[455][1], ""), (None, None, "")]
     df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>, links string")
-    got = {r.vec_id: r for r in range_join.range_join(df, 0.95, pivots=7, chunk=40).collect()}
+    every = range_join.range_join(df, 0.95, pivots=7, chunk=40).collect()
+    assert [(r.n_links, r.component_id, r.kept) for r in every if r.vec_id is None] == [(0, None, False)] * 2
+    got = {r.vec_id: r for r in every}
     u = x.astype(float)
     u /= np.linalg.norm(u, axis=1, keepdims=True)
     links = u @ u.T >= 0.95
@@ -485,6 +487,22 @@ def test_range_join(spark):
     assert range_join.range_join(empty(df)).count() == 0
 
 
+def test_range_join_on_random_graphs(spark):
+    g = np.random.default_rng(4)
+    centres = g.normal(size=(12, 24))
+    x = np.concatenate([c + g.normal(scale=0.24, size=(30, 24)) for c in centres])  # pairs near 0.95: groups that aren't cliques
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    np.fill_diagonal(links, False)
+    ids = g.permutation(len(x)).tolist()
+    component = brute_components(links[np.argsort(ids)][:, np.argsort(ids)], list(range(len(x))))
+    assert len(set(component.values() if isinstance(component, dict) else component)) > 20
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    for pivots, chunk in ((1, 4096), (64, 25)):
+        for r in range_join.range_join(df, 0.95, pivots=pivots, chunk=chunk).collect():
+            assert (r.n_links, r.component_id) == (links[ids.index(r.vec_id)].sum(), component[r.vec_id])
+
+
 def test_range_join_spans_chains(spark):
     ids = list(range(300))
     random.Random(8).shuffle(ids)
@@ -653,10 +671,37 @@ def test_string_kernel_table_equals_direct_kernel():
         table = np.zeros(toxicity.LETTERS**3, np.float32)
         table[columns] = x[0]
         got = toxicity.KernelModel(table, 0.0).margins(strings)
-        assert got == pytest.approx([kernel(s, t) or toxicity.FLOOR for t in strings], abs=1e-5)
+        assert got == pytest.approx([kernel(s, t) for t in strings], abs=1e-5)  # a margin without bias is the kernel
     assert kernel("loser", "l0ser") == pytest.approx(1) and kernel("loser", "lo-ser") > 0.5 > kernel("loser", "banana")
 
 
+def test_whole_text_margins_equal_direct_kernels(words):
+    strings = ["loser", "idiotic"]
+    x, columns = toxicity._matrix(strings)
+    table = np.zeros(toxicity.LETTERS**3, np.float32)
+    table[columns] = x.sum(0)
+    r = random.Random(3)
+    texts = [words(20, i) + r.choice([" lo-ser", " l o s e r now", " idi*otic", " " + "qz" * 20 + "loser" + "zq" * 20, ""]) for i in range(40)] + ["", "x", None]
+    for bias in (-1.5, -0.6):
+        model = toxicity.KernelModel(table, bias)
+        got = toxicity.text_margins(model, pa.array(texts, pa.string()))
+        for t, m in zip(texts, got):
+            cut = [w[a : a + toxicity.WIDTH] for w in (t or "").split() for a in range(0, max(1, len(w) - toxicity.WIDTH + toxicity.STEP), toxicity.STEP)]
+            every = [max(bias, -1.0)] + [kernel(w, strings[0]) + kernel(w, strings[1]) + bias for w in [*cut, *toxicity.spaced_runs(t or "")]]
+            assert m == pytest.approx(max(every), abs=1e-5), t
+
+
+def test_toxicity_without_words_to_learn_from(spark, words):
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], "doc_id long, quality int, toxic int")
+    for clean, toxic in (("", "vexlor"), (None, "vexlor"), ("", None), ("vexlor", "vexlor"), ("!!", "??")):
+        df = frame(spark, [toxic if i % 2 else clean for i in range(40)])
+        got = toxicity.score(df, toxicity.fit(df, labels)).collect()
+        assert len(got) == 40 and all(0 <= r.score <= 1 for r in got)
+    odd_labels = spark.createDataFrame([(i, 1, 5 * (i % 2)) for i in range(40)], "doc_id long, quality int, toxic int")
+    df = frame(spark, [words(9, i) + " vexlor" * (i % 2) for i in range(40)])
+    assert toxicity.score(df, toxicity.fit(df, odd_labels)).count() == 40
+
+
 def test_toxicity_learns_stems_and_gaps(spark, words):
     r = random.Random(8)
     bad = ["vexlor", "grumtok", "snivvle"]
