@@ -49,7 +49,7 @@ PERCENTILE = 90
 END = "\nPFE\n"
 RANGE_BYTES = 128 << 20
 GROUP_TOKENS = 2 << 20
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE = 6000
 _HEAD = struct.Struct("<4sIQIIQQQ")
 _BLOCK = struct.Struct("<IBHB")
 

@@ -116,7 +116,7 @@ def record(resolved: DataFrame) -> DataFrame:
 
 def _member(raw: bytes) -> bytes:
     """``raw`` as one gzip member."""
-    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    z = zlib.compressobj(4, zlib.DEFLATED, 31)
     return z.compress(raw) + z.flush()
 
 
