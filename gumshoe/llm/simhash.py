@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import connected_components, materialize, small
+from gumshoe.llm.common import connected_components, discard, materialize, small
 
 FANOUT = 16
 FRONTIER = 2_000_000
@@ -259,6 +259,10 @@ def simhash_components(docs: DataFrame, text: str = "text", id_col: str = "doc_i
 SAMPLE_DOCS = 10_000
 FREQUENT = 200_000
 PAIRS_AT_ONCE = 1_000_000
+#: Rows from which a posting is large: its pairs are judged by parity maps before they are counted; neighbours that are looked at for first pairs.
+LARGE, LOOK = 12, 16
+MAP_BITS = 512
+MAP = tuple(f"m{k}" for k in range(MAP_BITS // 64))
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -292,6 +296,12 @@ def similarity(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
+def parity_map(h: np.ndarray) -> np.ndarray:
+    """MAP_BITS parities of a set of hashes, as words.  Two maps differ in at most as many bits as the sets in members."""
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % MAP_BITS, minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _frequent(source: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count) of shingles of several sampled texts, by hash.  They only set the order of shingles, so any sample is right."""
     part = max(1, source.count() // SAMPLE_DOCS)
@@ -314,15 +324,29 @@ def _possible(size_a, at_a, size_b, at_b, least: float) -> np.ndarray:
     return np.minimum(size_a - at_a, size_b - at_b) >= overlap(size_a, size_b, least)
 
 
-def _first_pairs(node: np.ndarray, size: np.ndarray, at: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each row of a bucket with the one before it in order of size."""
+def _differences(maps: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((maps[:, a] ^ maps[:, b]).view(np.uint64)).sum(0, dtype=np.int64)  # of signed words it counts the absolute value
+
+
+def _allowed(size_a, size_b, least: float) -> np.ndarray:
+    """Most members that only one of two sets may have that are similar enough."""
+    return size_a + size_b - 2 * overlap(size_a, size_b, least)
+
+
+def _first_pairs(node: np.ndarray, size: np.ndarray, at: np.ndarray, maps: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of a bucket with the one of the next ``LOOK`` in order of size that it differs least from."""
     order = np.lexsort((node, size))
-    a, b = order[:-1], order[1:]
-    good = _possible(size[a], at[a], size[b], at[b], least)
-    return node[a[good]], node[b[good]]
+    best, partner = np.full(len(node), np.iinfo(np.int64).max), np.full(len(node), -1)
+    for step in range(1, min(LOOK if maps.any() else 1, len(node) - 1) + 1):
+        a, b = order[:-step], order[step:]
+        apart = _differences(maps, a, b)
+        good = _possible(size[a], at[a], size[b], at[b], least) & (apart <= _allowed(size[a], size[b], least)) & (apart < best[a])
+        best[a[good]], partner[a[good]] = apart[good], b[good]
+    some = np.flatnonzero(partner >= 0)
+    return node[some], node[partner[some]]
 
 
-def _open_pairs(first, node, size, at, group, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _open_pairs(first, node, size, at, group, maps: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of a bucket that may be similar enough and aren't in one group yet."""
     left, right = (np.arange(len(node)),) * 2 if first is None else (np.flatnonzero(first), np.flatnonzero(~first))
     right = right[np.argsort(size[right], kind="stable")]
@@ -336,6 +360,8 @@ def _open_pairs(first, node, size, at, group, least: float) -> Iterator[tuple[np
         good = (group[a] != group[b]) & _possible(size[a], at[a], size[b], at[b], least)
         if first is None:
             good &= node[a] < node[b]
+        a, b = a[good], b[good]
+        good = _differences(maps, a, b) <= _allowed(size[a], size[b], least)
         yield node[a[good]], node[b[good]]
 
 
@@ -347,13 +373,15 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     and neighbours in the postings of rare shingles propose first pairs, which join most
     groups.  Two sets that similar share one of their rarest shingles (``prefix``), so all
     pairs in one posting whose texts aren't in one group yet are counted next, and no link is left.
+    Before that, sizes, places in the postings and, in large postings, parity maps of the sets
+    rule out pairs that can't be similar enough, so that many variants of one form make few pairs.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(source, width))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fp, size, rare = [], [], [], []
+            same, fp, size, rare, maps = [], [], [], [], []
             for t in b.column(1):
                 t = t.as_py() or b""
                 every = shingles(t, width)
@@ -365,12 +393,14 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7))
                 size.append(len(h))
                 rare.append(prefix(h, least, frequent.value).tobytes())
+                maps.append(parity_map(h))
             cols = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (same, fp, size)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(rare, pa.binary())], names=["id", "same", "fp", "size", "rare"])
+            words = [pa.array(c) for c in np.array(maps, np.int64).reshape(len(maps), len(MAP)).T]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(rare, pa.binary()), *words], names=["id", "same", "fp", "size", "rare", *MAP])
 
-    rows = materialize(source.mapInArrow(described, "id long, same long, fp long, size long, rare binary"), "near-rows")
+    rows = materialize(source.mapInArrow(described, f"id long, same long, fp long, size long, rare binary, {', '.join(f'{m} long' for m in MAP)}"), "near-rows")
     # A node is a text, named by the hash of its words; one of its ids leads to the text.
-    nodes = materialize(rows.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("rare").alias("rare")), "near-nodes")
+    nodes = materialize(rows.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("rare").alias("rare"), *[F.first(m).alias(m) for m in MAP]), "near-nodes")
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -400,7 +430,13 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     posts = nodes.select("same", "size", "rare").mapInArrow(posted, "key long, node long, size long, at long")
     posts = posts.repartition("key").sortWithinPartitions("key")
-    posts = materialize(posts.mapInArrow(shared, "key long, node long, size long, at long"), "near-posts")
+    bare = posts = materialize(posts.mapInArrow(shared, "key long, node long, size long, at long"), "near-shared")
+    # Rows of large postings carry their text's parity map, others zeros, which rule out nothing.
+    large = small(materialize(posts.groupBy("key").count().where(F.col("count") >= LARGE).select("key"), "near-large"))
+    mapped = posts.join(large, "key", "left_semi").join(nodes.select(F.col("same").alias("node"), *MAP), "node").select("key", "node", "size", "at", *MAP)
+    plain = posts.join(large, "key", "left_anti").select("key", "node", "size", "at", *[F.lit(0).cast("long").alias(m) for m in MAP])
+    posts = materialize(mapped.unionByName(plain), "near-posts")
+    discard(bare)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -423,31 +459,34 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         held = source.join(small(materialize(wanted, f"near-ids-{tag}")), "id", "left_semi").mapInArrow(sets, "node long, held binary")
         held = materialize(held.dropDuplicates(["node"]), f"near-sets-{tag}")
         both = pairs.join(held.toDF("src", "x"), "src").join(held.toDF("dst", "y"), "dst").select("src", "dst", "x", "y")
-        return materialize(both.mapInArrow(confirm, "src long, dst long"), f"near-links-{tag}")
+        links = materialize(both.mapInArrow(confirm, "src long, dst long"), f"near-links-{tag}")
+        discard(held), discard(pairs)
+        return links
 
     def grouped(keep: tuple[str, ...], df: DataFrame) -> DataFrame:
         return _by_bucket(df.withColumn("block", F.lit(0)), df.count(), keep)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _edges((_first_pairs(node, size, at, least) for first, node, size, at in _buckets(batches) if first is None), ("src", "dst"))
+        yield from _edges((_first_pairs(node, size, at, np.stack(maps), least) for first, node, size, at, *maps in _buckets(batches) if first is None), ("src", "dst"))
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _edges((pair for bucket in _buckets(batches) for pair in _open_pairs(*bucket, least)), ("src", "dst"))
+        yield from _edges((pair for first, node, size, at, group, *maps in _buckets(batches) for pair in _open_pairs(first, node, size, at, group, np.stack(maps), least)), ("src", "dst"))
 
     # Nodes of one fingerprint hang on their least node, fingerprints on each other by the index.
     by_fp = nodes.groupBy("fp").agg(F.min("same").alias("head"))
     heads = materialize(by_fp, "near-heads")
     alike = nodes.join(heads, "fp").select(F.col("same").alias("src"), F.col("head").alias("dst"))
     near = link(heads.select("fp"), bits).join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
-    first = grouped(("node", "size", "at"), posts).mapInArrow(neighbours, "src long, dst long")
+    first = grouped(("node", "size", "at", *MAP), posts).mapInArrow(neighbours, "src long, dst long")
     real = confirmed(alike.union(near.select("a", "b")).union(first), "first")
     groups = materialize(connected_components(real), "near-groups")
-    rest = posts.join(groups, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("group"))
+    rest = posts.join(groups, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("group"), *MAP)
     # Postings whose texts are all in one group have no open pair.
     mixed = rest.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
     rest = materialize(rest.join(mixed, "key", "left_semi"), "near-open")
-    more = grouped(("node", "size", "at", "group"), rest).mapInArrow(opened, "src long, dst long")
+    more = grouped(("node", "size", "at", "group", *MAP), rest).mapInArrow(opened, "src long, dst long")
     groups = connected_components(real.union(confirmed(more, "rest")))
+    discard(rest), discard(posts)
     of = nodes.select("same", "id").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
     of = of.select("same", "component").join(of.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("same", "component_id")
     found = rows.select("id", "same").join(of, "same")

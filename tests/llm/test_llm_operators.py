@@ -607,6 +607,30 @@ def test_near_copies_of_every_kind_of_edit(spark, words):
     check_kept(spark, texts)
 
 
+def test_parity_maps_never_rule_out_a_similar_pair():
+    g = np.random.default_rng(2)
+    for n in (20, 150, 900, 4000):
+        base = g.integers(0, 2**63, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[g.random(n) < keep], g.integers(0, 2**63, int(n * (1 - keep)), dtype=np.uint64)])) for keep in (1, 0.97, 0.9, 0.8, 0.5, 0.1)]
+        maps, size = np.array([simhash.parity_map(h) for h in sets]).T, np.array([len(h) for h in sets])
+        a, b = (x.ravel() for x in np.meshgrid(range(len(sets)), range(len(sets))))
+        apart = np.array([len(np.setxor1d(sets[i], sets[j])) for i, j in zip(a, b)])
+        assert (simhash._differences(maps, a, b) <= apart).all()
+        alike = np.array([simhash.similarity(sets[i].tobytes(), sets[j].tobytes()) >= 0.8 for i, j in zip(a, b)])
+        assert (apart[alike] <= simhash._allowed(size[a], size[b], 0.8)[alike]).all()
+
+
+def test_many_variants_of_one_text_make_few_pairs(spark, words):
+    r, base = random.Random(7), words(140, 5).split()
+    texts = []
+    for i in range(160):
+        w = list(base)
+        for at in r.sample(range(140), r.choice([1, 2, 3, 6, 9])):
+            w[at] = f"own{i}x{at}"
+        texts.append(" ".join(w))
+    check_kept(spark, texts + [words(90, 100 + i) for i in range(20)])
+
+
 def test_similarity_counts_whole_sets():
     g = np.random.default_rng(3)
     for least in (799, 801):
