@@ -504,15 +504,19 @@ def enhanced_basic(spark, sf_dir):
 
 
 def _rules8_sql() -> str:
-    arms = []
-    for label, cat, stage, conf, w, groups in risk.RULES:
-        every = " AND ".join(f"coalesce(bool_or({sql.holds('t', g)}), false)" for g in groups)
-        anyone = sql.holds("t", [x for g in groups for x in g])
-        arms.append(
-            f"SELECT scope, {sql.lit(label)} AS label, '{cat}' AS category, '{stage}' AS stage, CAST({conf} AS DOUBLE) AS confidence, CAST(least({w} + sum(CASE WHEN {anyone} AND severity = 'critical' THEN 3 WHEN {anyone} AND severity = 'high' THEN 2 ELSE 0 END), 12.5) AS DOUBLE) AS weight, "
-            f"count(*) FILTER ({anyone}) AS n_findings FROM s GROUP BY scope HAVING {every}"
-        )
-    return f"WITH {sql.WITH_PLANTED}, {sql.iocs()}, {_IND}, {_FIND}, s AS (SELECT *, {_FTEXT} AS t, unnest([platform, 'ALL']) AS scope FROM fnd), r8 AS ({' UNION ALL '.join(arms)})"
+    """One row a rule, group and keyword in order; a rule's evidence in a scope is each group's first keyword that a finding there holds."""
+    words = [(n, k, m, w) for n, (*_, groups) in enumerate(risk.RULES) for k, g in enumerate(groups) for m, w in enumerate(g)]
+    rules = [(n, label, cat, stage, float(conf), float(weight), len(groups)) for n, (label, cat, stage, conf, weight, groups) in enumerate(risk.RULES)]
+    return (
+        f"WITH {sql.WITH_PLANTED}, {sql.iocs()}, {_IND}, {_FIND}, s AS (SELECT *, {_FTEXT} AS t, unnest([platform, 'ALL']) AS scope FROM fnd), "
+        f"kw AS {sql.values(words, 'no, grp, nth, word')}, rl AS {sql.values(rules, 'no, label, category, stage, confidence, base, n_groups')}, "
+        "hit AS (SELECT DISTINCT scope, w.word FROM s JOIN (SELECT DISTINCT word FROM kw) w ON contains(s.t, w.word)), "
+        "evi AS (SELECT scope, no, grp, arg_min(kw.word, nth) AS word FROM kw JOIN hit USING (word) GROUP BY scope, no, grp), "
+        "fired AS (SELECT scope, no, list(word) AS evidence FROM evi GROUP BY scope, no HAVING count(*) = (SELECT n_groups FROM rl WHERE rl.no = evi.no)), "
+        "told AS (SELECT scope, no, sum(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 2 ELSE 0 END) AS boost, count(*) AS n_findings "
+        "FROM s JOIN fired USING (scope) WHERE len(list_filter(evidence, lambda w: contains(t, w))) > 0 GROUP BY scope, no), "
+        "r8 AS (SELECT scope, label, category, stage, CAST(confidence AS DOUBLE) AS confidence, CAST(least(base + boost, 12.5) AS DOUBLE) AS weight, CAST(n_findings AS BIGINT) AS n_findings FROM told JOIN rl USING (no))"
+    )
 
 
 @query(f"{_rules8_sql()} SELECT * FROM r8")
