@@ -210,47 +210,48 @@ def _turns(category: str, severity: str, atlas: str, table: dict[str, str]) -> t
 
 
 # What conversation turns are searched for; the first match of each label counts.
+# Categories, severities, techniques and patterns; labels are our own.
 TURN_RULES = (
     *_turns("system_prompt_extraction", "high", "AML.T0040", {
-        "reveal instructions": rf"(?:reveal|show|display|print|output|repeat|recite|write{S}out){S}{_OWN}[ ]*{_LAWS}",
-        "what are your prompts": rf"what{S}(?:are|is){S}(?:your|the|my){S}(?:system|initial|original|secret|hidden|base)[ ]*(?:prompt|instruction|directive|rule)",
-        "ignore previous instructions": rf"ignore{S}(?:all{S})?(?:previous|prior|above|earlier|past)[ ]*{_LAWS}",
-        "system prompt extraction": r"(?:system|initial|base|secret)[ ]*prompt[ ]*(?:extraction|leak|dump|read|reveal|output)",
-        "pretend or forget instructions": rf"(?:pretend|act{S}as|forget|disregard){S}(?:your|the|all)[ ]*(?:previous|prior|above|normal|original)[ ]*{_LAWS}",
+        "asks to see the instructions": rf"(?:reveal|show|display|print|output|repeat|recite|write{S}out){S}{_OWN}[ ]*{_LAWS}",
+        "asks what the prompt is": rf"what{S}(?:are|is){S}(?:your|the|my){S}(?:system|initial|original|secret|hidden|base)[ ]*(?:prompt|instruction|directive|rule)",
+        "sets earlier instructions aside": rf"ignore{S}(?:all{S})?(?:previous|prior|above|earlier|past)[ ]*{_LAWS}",
+        "names the taking of a prompt": r"(?:system|initial|base|secret)[ ]*prompt[ ]*(?:extraction|leak|dump|read|reveal|output)",
+        "asks to drop the instructions": rf"(?:pretend|act{S}as|forget|disregard){S}(?:your|the|all)[ ]*(?:previous|prior|above|normal|original)[ ]*{_LAWS}",
     }),
     *_turns("jailbreak", "critical", "AML.T0011", {
-        "DAN mode": rf"do{S}anything{S}now|DAN[ ]*mode|you{S}are{S}now{S}DAN|(?:enable|become|act{S}as){S}DAN|DAN{S}jailbreak",
-        "roleplay bypass": rf"you{S}are{S}now{S}(?:an?{S})?unrestricted|you{S}have{S}no{S}(?:rules|restrictions|limitations|filters?)|bypass{S}(?:your|the|all){S}(?:safety|filter|restrictions?|rules?)",
-        "encoding attack": rf"base64[ ]*(?:decode|encode|string)|rot13|hex[ ]*(?:decode|encode)|decode{S}(?:this|the){S}(?:base64|hex|encoded)",
-        "base64-obfuscated prompt": r"[A-Za-z0-9+/]{40,}={0,2}[ ]*(?:decode|execute|run|interpret)[ ]",
-        "developer mode": rf"(?:developer|debug|admin|god|root|sudo)[ ]*mode|override{S}(?:safety|security|filter|restrictions?|policy)",
-        "hypothetical bypass": rf"in{S}a{S}hypothetical{S}(?:scenario|world|situation|universe)|hypothetically(?:{S}speaking)?,?[ ]*(?:what|how|if|could|would)|imagine{S}an?{S}(?:world|scenario|situation){S}where{S}there{S}are{S}no{S}(?:rules|restrictions|safety)",
+        "do-anything persona": rf"do{S}anything{S}now|DAN[ ]*mode|you{S}are{S}now{S}DAN|(?:enable|become|act{S}as){S}DAN|DAN{S}jailbreak",
+        "persona without limits": rf"you{S}are{S}now{S}(?:an?{S})?unrestricted|you{S}have{S}no{S}(?:rules|restrictions|limitations|filters?)|bypass{S}(?:your|the|all){S}(?:safety|filter|restrictions?|rules?)",
+        "encoded request": rf"base64[ ]*(?:decode|encode|string)|rot13|hex[ ]*(?:decode|encode)|decode{S}(?:this|the){S}(?:base64|hex|encoded)",
+        "encoded text to be run": r"[A-Za-z0-9+/]{40,}={0,2}[ ]*(?:decode|execute|run|interpret)[ ]",
+        "claims an operator mode": rf"(?:developer|debug|admin|god|root|sudo)[ ]*mode|override{S}(?:safety|security|filter|restrictions?|policy)",
+        "wrapped in a supposition": rf"in{S}a{S}hypothetical{S}(?:scenario|world|situation|universe)|hypothetically(?:{S}speaking)?,?[ ]*(?:what|how|if|could|would)|imagine{S}an?{S}(?:world|scenario|situation){S}where{S}there{S}are{S}no{S}(?:rules|restrictions|safety)",
     }),
     *_turns("data_exfiltration", "critical", "AML.T0050", {
-        "read sensitive files": rf"(?:read|cat|type|display|show|print|dump|exfiltrate){S}(?:the{S})?files?[ ]*(?:at|from|in|containing)[ ]*(?:/etc/passwd|/etc/shadow|/etc/hosts|\.ssh|\.env|\.git|id_rsa|authorized_keys|credentials|secrets?|config)",
-        "direct sensitive path reference": rf"{_HARM}|\.env\b",
-        "environment variable access": rf"(?:print|echo|show|display|output|list|dump|exfiltrate)[ ]*(?:the{S})?(?:environment|env)[ ]*(?:variables?|vars?)",
-        "send data outbound": r"(?:send|transmit|upload|post|curl|wget|fetch|webhook|exfil)[^\n]{0,200}(?:to|toward|at|via)[ ]*https?://",
-        "tool call: read sensitive path": rf"(?:read_file|cat|type)[ ]*[(\"]?[ ]*(?:{_HARM}|\.env|\.bashrc|\.zshrc|/root/)",
-        "tool call: environment variables": r"printenv|env|export|getenv",
+        "asks for a protected file": rf"(?:read|cat|type|display|show|print|dump|exfiltrate){S}(?:the{S})?files?[ ]*(?:at|from|in|containing)[ ]*(?:/etc/passwd|/etc/shadow|/etc/hosts|\.ssh|\.env|\.git|id_rsa|authorized_keys|credentials|secrets?|config)",
+        "names a protected path": rf"{_HARM}|\.env\b",
+        "asks for the environment": rf"(?:print|echo|show|display|output|list|dump|exfiltrate)[ ]*(?:the{S})?(?:environment|env)[ ]*(?:variables?|vars?)",
+        "sends something to an address": r"(?:send|transmit|upload|post|curl|wget|fetch|webhook|exfil)[^\n]{0,200}(?:to|toward|at|via)[ ]*https?://",
+        "tool reads a protected path": rf"(?:read_file|cat|type)[ ]*[(\"]?[ ]*(?:{_HARM}|\.env|\.bashrc|\.zshrc|/root/)",
+        "tool lists the environment": r"printenv|env|export|getenv",
     }),
     *_turns("privilege_escalation", "high", "AML.T0049", {
-        "execute as root": rf"sudo{S}|run{S}as{S}root|execute{S}as{S}(?:root|admin|system)|escalate{S}privilege|privilege{S}escalation|(?:become|switch{S}to){S}root",
-        "disable safety": rf"(?:disable|turn{S}off|bypass|remove|deactivate|skip)[ ]*(?:the{S})?(?:safety|security|guard|filter|restriction|content[ ]*policy|moderation)",
-        "bypass restrictions": rf"(?:bypass|circumvent|evade|work{S}around|get{S}around|sidestep|subvert)[ ]*(?:the{S})?(?:restrictions?|safeguards?|filters?|polic(?:y|ies)|guards?|guardrails?|limits?|boundaries|boundary)",
-        "unauthorized command execution": rf"rm{S}-rf{S}/|format{S}[A-Z]:|del{S}/[sfq]|:\(\)[ ]?\{{[ ]?:|fork[ ]*bomb|chmod{S}777|chown{S}root",
+        "asks for root rights": rf"sudo{S}|run{S}as{S}root|execute{S}as{S}(?:root|admin|system)|escalate{S}privilege|privilege{S}escalation|(?:become|switch{S}to){S}root",
+        "switches a safeguard off": rf"(?:disable|turn{S}off|bypass|remove|deactivate|skip)[ ]*(?:the{S})?(?:safety|security|guard|filter|restriction|content[ ]*policy|moderation)",
+        "goes round a safeguard": rf"(?:bypass|circumvent|evade|work{S}around|get{S}around|sidestep|subvert)[ ]*(?:the{S})?(?:restrictions?|safeguards?|filters?|polic(?:y|ies)|guards?|guardrails?|limits?|boundaries|boundary)",
+        "destructive command": rf"rm{S}-rf{S}/|format{S}[A-Z]:|del{S}/[sfq]|:\(\)[ ]?\{{[ ]?:|fork[ ]*bomb|chmod{S}777|chown{S}root",
     }),
     *_turns("credential_harvesting", "critical", "AML.T0055", {
-        "API key request": rf"(?:give{S}me|show|reveal|tell{S}me|what{S}is|what's{S}the|output|print)[ ]*(?:the{S}|your{S}|my{S})?(?:api|access)[ ]*(?:key|token)",
-        "password request": rf"(?:give{S}me|show|reveal|tell{S}me|what{S}is|what's{S}the|output|print)[ ]*(?:the{S}|your{S}|my{S})?(?:password|passwd|pass|secret)",
-        "token or secret extraction": rf"(?:extract|dump|exfiltrate|steal|harvest|collect)[ ]*(?:the{S})?(?:tokens?|secrets?|credentials?|keys?|certificates?)",
-        "cloud credential access": rf"aws_(?:access|secret)_key|aws_session_token|azure_client_secret|gcp_service_account|service_account\.json|\.aws/credentials|export{S}(?:AWS|AZURE|GCP|GOOGLE)_",
-        "private key extraction": rf"-----BEGIN{S}(?:RSA{S})?PRIVATE{S}KEY|ssh-rsa{S}AAAA|(?:extract|show)[^\n]{{0,200}}private{S}key",
+        "asks for an API key": rf"(?:give{S}me|show|reveal|tell{S}me|what{S}is|what's{S}the|output|print)[ ]*(?:the{S}|your{S}|my{S})?(?:api|access)[ ]*(?:key|token)",
+        "asks for a password": rf"(?:give{S}me|show|reveal|tell{S}me|what{S}is|what's{S}the|output|print)[ ]*(?:the{S}|your{S}|my{S})?(?:password|passwd|pass|secret)",
+        "takes tokens or secrets": rf"(?:extract|dump|exfiltrate|steal|harvest|collect)[ ]*(?:the{S})?(?:tokens?|secrets?|credentials?|keys?|certificates?)",
+        "names cloud credentials": rf"aws_(?:access|secret)_key|aws_session_token|azure_client_secret|gcp_service_account|service_account\.json|\.aws/credentials|export{S}(?:AWS|AZURE|GCP|GOOGLE)_",
+        "names a private key": rf"-----BEGIN{S}(?:RSA{S})?PRIVATE{S}KEY|ssh-rsa{S}AAAA|(?:extract|show)[^\n]{{0,200}}private{S}key",
     }),
     *_turns("indirect_injection", "high", "AML.T0045", {
-        "multi-turn attack chain": rf"now{S}that{S}you{S}have|since{S}we(?:'ve|{S}have){S}established|building{S}on{S}(?:our|the|that)|continue{S}from{S}(?:where|the{S}previous)|as{S}(?:we{S})?discussed",
-        "indirect injection via pasted content": rf"ignore{S}(?:the{S})?(?:above|previous|prior|earlier)[ ]*(?:text|content|instructions?|prompt)|the{S}(?:above|following|text|content){S}(?:contains?|has|includes?)[ ]*(?:new|updated|real|actual)[ ]*(?:instructions?|rules?|directives?)",
-        "hidden instruction in data": r"\bsystem[ ]*:|<system>|\[system\]|\[/?INST\]|<[ ]?![ ]?--[ ]?(?:ignore|system|instruction|prompt|rule)",
+        "builds on earlier turns": rf"now{S}that{S}you{S}have|since{S}we(?:'ve|{S}have){S}established|building{S}on{S}(?:our|the|that)|continue{S}from{S}(?:where|the{S}previous)|as{S}(?:we{S})?discussed",
+        "pasted text gives orders": rf"ignore{S}(?:the{S})?(?:above|previous|prior|earlier)[ ]*(?:text|content|instructions?|prompt)|the{S}(?:above|following|text|content){S}(?:contains?|has|includes?)[ ]*(?:new|updated|real|actual)[ ]*(?:instructions?|rules?|directives?)",
+        "data poses as an instruction": r"\bsystem[ ]*:|<system>|\[system\]|\[/?INST\]|<[ ]?![ ]?--[ ]?(?:ignore|system|instruction|prompt|rule)",
     }),
 )
 

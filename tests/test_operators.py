@@ -142,9 +142,9 @@ def test_scores_are_bounded(spark):
 
 def test_every_group_of_a_rule_must_hit(spark):
     f = spark.createDataFrame([("1", "base64 found", "", "low", "p", "x")], FINDING)
-    assert not [r for r in risk.risk8_indicators(f).collect() if r.label == "Base64 data smuggling"]
+    assert not [r for r in risk.risk8_indicators(f).collect() if r.label == "base64 in transit"]
     f = f.union(spark.createDataFrame([("2", "decode seen", "", "low", "p", "x")], FINDING))
-    assert [r for r in risk.risk8_indicators(f).collect() if r.label == "Base64 data smuggling" and r.scope == "p"]
+    assert [r for r in risk.risk8_indicators(f).collect() if r.label == "base64 in transit" and r.scope == "p"]
 
 
 def test_attack_map_and_merge(spark):
