@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
 from gumshoe.operators import correlate, detect, inventory, lookup
+from gumshoe.operators import rules as R
+from gumshoe.plans import sql
+from gumshoe.plans.registry import _ENTROPY as SECRET_ENTROPY
+from gumshoe.plans.registry import _SECRET_ARMS as SECRET_ARMS
 from gumshoe.plans.registry import evidence, load, query
 from gumshoe.sources import transcripts
 
@@ -149,14 +153,20 @@ def largest_documents(spark, sf_dir):
 # --- secrets -------------------------------------------------------------------------------------------------------
 
 
-@query()
+_FOUND = (
+    f"WITH {sql.WITH_PLANTED}, s AS (SELECT *, {SECRET_ENTROPY} AS e FROM ({SECRET_ARMS}) WHERE NOT regexp_matches(v, {sql.lit(R.PLACEHOLDER)})), "
+    "k AS (SELECT *, left(v, 4) || '...' || right(v, 4) || ' (' || length(v) || ' chars)' AS redacted FROM s WHERE e >= least)"
+)
+
+
+@query(f"{_FOUND} SELECT rule, 'api_key' AS kind, 'critical' AS severity, platform, count(*) AS n, count(DISTINCT redacted) AS n_values FROM k GROUP BY ALL")
 def secret_indicators(spark, sf_dir):
     """Secrets as redacted indicators, by rule and platform."""
     found = detect.ioc_secret(evidence(spark, sf_dir, True))
     return found.groupBy("rule", "kind", "severity", "platform").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
 
 
-@query()
+@query(f"{_FOUND} SELECT redacted, rule, count(*) AS n, CAST(count(DISTINCT source_file) AS INT) AS n_files, 'critical' AS severity FROM k GROUP BY ALL")
 def code_secrets(spark, sf_dir):
     """Secrets of source files by redacted form."""
     found = detect.scan_code_secrets(evidence(spark, sf_dir, True))

@@ -490,7 +490,20 @@ def risk_overall(spark, sf_dir):
     return risk.risk_overall(scores4(spark, sf_dir), findings(spark, sf_dir))
 
 
-@query()
+def _advice_sql() -> str:
+    """Advice by tier, from the scores of the four-category twin."""
+    tiers = (
+        ("credentials", "Rotate exposed credentials now and scan for secrets before merging.", "Review exposed credentials and use a vault.", "Audit where credentials are stored."),
+        ("exfiltration", "Investigate ongoing exfiltration and control outgoing traffic.", "Review ways out and watch outgoing traffic.", "Review how data is handled."),
+        ("jailbreak", "Harden guardrails against ongoing jailbreaks.", "Detect injections and clean inputs.", "Review prompt handling."),
+        ("autonomy", "Add approval gates for autonomous agents.", "Put a person in the loop for tools.", "Review what agents may do."),
+    )
+    parts = [f"CASE WHEN {c} >= 15 THEN {sql.lit(a)} WHEN {c} >= 8 THEN {sql.lit(b)} WHEN {c} > 0 THEN {sql.lit(d)} END" for c, a, b, d in tiers]
+    parts.append("CASE WHEN score >= 90 THEN 'Start incident response.' WHEN score >= 70 THEN 'Remediate the top findings first.' END")
+    return f"{_risk4_sql()} SELECT *, {_BAND} AS severity, list_filter([{', '.join(parts)}], lambda x: x IS NOT NULL) AS recommendations FROM r4"
+
+
+@query(_advice_sql())
 def recommendations4(spark, sf_dir):
     """T4: advice by tier."""
     return risk.recommendations4(scores4(spark, sf_dir))
@@ -794,7 +807,17 @@ def log_stats(spark, sf_dir):
     return lookup.chain(stats, flags, commands, settings).groupBy("platform", "kind", "severity").agg(F.count("*").alias("n"))
 
 
-@query()
+_KEY = "CASE WHEN length(k) > 12 THEN left(k, 6) || '...' || right(k, 4) ELSE left(k, 4) || '...' END"
+
+
+@query(
+    f"WITH {sql.WITH_PLANTED}, l AS (SELECT platform, unnest(string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10))) AS line FROM ev), "
+    "a AS (SELECT source_file, platform, unnest(regexp_extract_all(content, '\\b(sk-[A-Za-z0-9_-]{20,})\\b', 1)) AS k FROM ev), "
+    f"d AS (SELECT platform, count(DISTINCT source_file || ' ' || {_KEY}) AS n FROM a GROUP BY platform) "
+    "SELECT platform, 'headings' AS kind, CAST(sum(len(regexp_extract_all(content, '(?m)^#### ')) + len(regexp_extract_all(content, '(?m)^# '))) AS BIGINT) AS n FROM ev GROUP BY platform "
+    "UNION ALL SELECT platform, 'lines', count(*) FROM l WHERE trim(line) <> '' AND NOT starts_with(trim(line), '#') GROUP BY platform "
+    "UNION ALL SELECT platform, 'keys', coalesce(max(d.n), 0) FROM ev LEFT JOIN d USING (platform) GROUP BY platform"
+)
 def inventories(spark, sf_dir):
     """Markdown histories, command histories and routes of all texts, counted by platform."""
     e = evidence(spark, sf_dir, True)
