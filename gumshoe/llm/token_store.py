@@ -47,7 +47,8 @@ from gumshoe.llm.tokenize import codec, with_end
 BLOCK = 1024
 PERCENTILE = 90
 END = "\nPFE\n"
-RANGE_BYTES = 128 << 20
+#: More text a range let an executor of 3 GB run out of memory.
+RANGE_BYTES = 16 << 20
 GROUP_TOKENS = 2 << 20
 ROWS_AT_ONCE = 6000
 _HEAD = struct.Struct("<4sIQIIQQQ")

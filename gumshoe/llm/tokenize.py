@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE_UNITS = 900_000
+CACHE_UNITS = 600_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = f"^(?P<lead>\\n?)(?P<word>[{LETTERS}]+)(?P<mark>[.,!?;:]?)$"
 SLICE_BYTES = 16 << 20
