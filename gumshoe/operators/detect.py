@@ -2,8 +2,8 @@
 
 Every detector is one projection over the corpus: an array of (rule, matches)
 built by native regular expressions, exploded to one row per match.  Rules carry
-their attributes as literals, so no join with a catalog is needed and texts
-without a hit cost only the matching.
+their attributes as literals, so no join with a catalog is needed.  A pattern runs
+only on texts that hold a string it needs (``functions.screen``).
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
+from gumshoe.functions.screen import screened
 from gumshoe.operators import rules as R
 from gumshoe.operators.rules import Rule
 
@@ -44,13 +45,11 @@ def scan(df: DataFrame, rules: Iterable[Rule], text_col: str = "content", id_col
 
     Rows whose text is null or has no match give no rows.
     """
-    rules = list(rules)
-    text = F.col(text_col)
-    if positions:
-        each = [_found(r, X.all_matches(text, r.pattern)) for r in rules]
-    else:
-        each = [_found(r, F.regexp_extract_all(text, F.lit(r.pattern), F.lit(0))) for r in rules]
-    hits = df.select(*id_cols, *([text.alias("_text")] if positions else []), F.explode(F.filter(F.array(*each), lambda s: F.size(s["matches"]) > 0)).alias("r"))
+    text, low = F.col("_text"), F.col("_low")
+    match = X.all_matches if positions else lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(0))
+    each = [_found(r, screened(match(text, r.pattern), text, low, r.pattern, r.gate)) for r in rules]
+    rows = df.select(*id_cols, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
+    hits = rows.select(*id_cols, *(["_text"] if positions else []), F.explode(F.filter(F.array(*each), lambda s: F.size(s["matches"]) > 0)).alias("r"))
     hits = hits.select("*", F.explode("r.matches").alias("m"))
     keep = [F.col(f"r.{c}") for c in ("rule", "kind", "severity", "confidence", "phase", "atlas", "attack", "advice")]
     if not positions:
@@ -171,15 +170,17 @@ def secret_scan(
 
     Columns: ids, rule, secret_type, severity, confidence, redacted, fingerprint, raw_length, entropy, detection_layer.
     """
+    text, low = F.col("_text"), F.col("_low")
     each = [
         F.struct(
             F.lit(r.id).alias("rule"), F.lit(r.kind).alias("secret_type"), F.lit(r.severity).alias("severity"), F.lit(float(r.confidence)).alias("confidence"),
             F.lit(float(r.meta.get("entropy", 0.0))).alias("least"), F.lit("context" if r.id.startswith("named-") else "pattern").alias("detection_layer"),
-            F.regexp_extract_all(F.col(text_col), F.lit(r.pattern), F.lit(1)).alias("matches"),
+            screened(F.regexp_extract_all(text, F.lit(r.pattern), F.lit(1)), text, low, r.pattern, r.gate).alias("matches"),
         )
         for r in rules
     ]
-    hits = df.select(*id_cols, F.explode(F.filter(F.array(*each), lambda s: F.size(s["matches"]) > 0)).alias("r")).select("*", F.explode("r.matches").alias("v"))
+    rows = df.select(*id_cols, F.col(text_col).alias("_text"), F.lower(text_col).alias("_low"))
+    hits = rows.select(*id_cols, F.explode(F.filter(F.array(*each), lambda s: F.size(s["matches"]) > 0)).alias("r")).select("*", F.explode("r.matches").alias("v"))
     hits = hits.where(~F.col("v").rlike(R.PLACEHOLDER)).withColumn("entropy", X.entropy(F.col("v"))).where(F.col("entropy") >= F.col("r.least"))
     return hits.select(
         *id_cols, "r.rule", "r.secret_type", "r.severity", "r.confidence", X.redact_sized(F.col("v")).alias("redacted"), X.fingerprint(salt, F.col("r.rule"), F.col("v")).alias("fingerprint"),
@@ -245,8 +246,8 @@ def turn_text(df: DataFrame) -> Column:
 def conv_patterns(df: DataFrame, id_cols: tuple[str, ...], text: Column | None = None, per: str = "label") -> DataFrame:
     """First match of each label (or category) in a turn."""
     text = turn_text(df) if text is None else text
-    rows = df.withColumn("_t", text)
-    each = [F.struct(F.lit(n).alias("no"), F.lit(r.kind).alias("category"), F.lit(r.id).alias("label"), F.lit(r.severity).alias("severity"), F.lit(r.atlas[0]).alias("atlas"), F.regexp_extract("_t", r.pattern, 0).alias("value")) for n, r in enumerate(R.TURN_RULES)]
+    rows = df.withColumn("_t", text).withColumn("_low", F.lower("_t"))
+    each = [F.struct(F.lit(n).alias("no"), F.lit(r.kind).alias("category"), F.lit(r.id).alias("label"), F.lit(r.severity).alias("severity"), F.lit(r.atlas[0]).alias("atlas"), screened(F.regexp_extract("_t", r.pattern, 0), F.col("_t"), F.col("_low"), r.pattern, r.gate).alias("value")) for n, r in enumerate(R.TURN_RULES)]
     hits = rows.select(*id_cols, F.explode(F.filter(F.array(*each), lambda s: s["value"] != "")).alias("r")).select(*id_cols, "r.*")
     if per == "label":
         return hits.drop("no")
