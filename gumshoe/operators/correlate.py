@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,13 +16,19 @@ def worst(severity: str = "severity") -> Column:
 
 
 def cross_platform_upgrade(iocs: DataFrame) -> DataFrame:
-    """Indicators seen on two platforms or more become high at least (A2).
+    """Indicators seen on two platforms or more become high at least; ``n_platforms`` is null for the others (A2)."""
+    return _raised(iocs, X.raise_to_high)
+
+
+def _raised(iocs: DataFrame, up: Callable[[Column], Column]) -> DataFrame:
+    """Severities of indicators on several platforms, raised.
 
-    Only keys on several platforms are joined back, so the large side is not re-sorted.
+    Only keys on several platforms are joined back; Spark broadcasts them if what the aggregate
+    gives is small, else joins by key and splits skewed partitions.
     """
-    keys = iocs.groupBy("kind", "value").agg(F.count_distinct("platform").alias("n_platforms"))
+    keys = iocs.groupBy("kind", "value").agg(F.count_distinct("platform").alias("n_platforms")).where("n_platforms >= 2")
     joined = iocs.join(keys, ["kind", "value"], "left")
-    return joined.withColumn("severity", F.when(F.col("n_platforms") >= 2, X.raise_to_high(F.col("severity"))).otherwise(F.col("severity")))
+    return joined.withColumn("severity", F.when(F.col("n_platforms").isNotNull(), up(F.col("severity"))).otherwise(F.col("severity")))
 
 
 def cross_platform_indicator(indicators: DataFrame) -> DataFrame:
@@ -33,9 +41,7 @@ def cross_platform_indicator(indicators: DataFrame) -> DataFrame:
 
 def upgrade_indicators(indicators: DataFrame) -> DataFrame:
     """Indicators on several platforms go one level up, and their cross-platform rows are counted once."""
-    keys = indicators.groupBy("kind", "value").agg(F.count_distinct("platform").alias("n_platforms"))
-    joined = indicators.join(keys, ["kind", "value"], "left")
-    return joined.withColumn("severity", F.when(F.col("n_platforms") >= 2, X.raise_one(F.col("severity"))).otherwise(F.col("severity")))
+    return _raised(indicators, X.raise_one)
 
 
 def shared_credentials(indicators: DataFrame) -> DataFrame:

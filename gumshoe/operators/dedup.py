@@ -16,13 +16,16 @@ def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def cross_tool_dedup(turns: DataFrame, order: str = "seq") -> DataFrame:
     """Keep the first of equal user prompts per (content, model); ``also_in_tools`` lists later platforms in order.
 
-    Other roles and blank prompts pass untouched.
+    Other roles and blank prompts pass untouched.  Of each platform's copies only the first two
+    can show in the result, so no more than these are gathered, however often a prompt occurs.
     """
     turns = turns.withColumn("also_in_tools", F.array().cast("array<string>"))
     prompt = (F.lower("role") == "user") & (F.trim(F.coalesce("content", F.lit(""))) != "")
     users = turns.where(prompt).withColumn("_key", F.trim("content")).withColumn("_model", F.coalesce("model", F.lit("")))
     rest = [c for c in turns.columns if c != "also_in_tools"]
     seen = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("platform").alias("p"))))
+    copies = Window.partitionBy("_key", "_model", "platform").orderBy(order)
+    users = users.withColumn("_nth", F.row_number().over(copies)).where("_nth <= 2")
     grouped = users.groupBy("_key", "_model").agg(F.min_by(F.struct(*rest), order).alias("r"), seen.alias("seen"))
     later = F.array_distinct(F.transform(F.slice(F.col("seen"), F.lit(2), F.greatest(F.size("seen") - 1, F.lit(0))), lambda s: s["p"]))
     kept = grouped.select(*[F.col(f"r.{c}").alias(c) for c in rest], later.alias("also_in_tools"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
@@ -190,7 +190,9 @@ def resolve_port_service(rows: DataFrame, ports: DataFrame) -> DataFrame:
 def provider_visits(history: DataFrame, most: int = 20) -> DataFrame:
     """Visits, addresses and a sample of them by provider."""
     rows = history.withColumn("provider", provider_for_url(F.col("url")))
-    return rows.groupBy("provider").agg(F.sum("visit_count").alias("visits"), F.count("*").alias("n_urls"), F.slice(F.array_sort(F.collect_set("url")), 1, most).alias("sample"))
+    least = rows.withColumn("_nth", F.dense_rank().over(Window.partitionBy("provider").orderBy("url"))).where(F.col("_nth") <= most)
+    sample = least.groupBy("provider").agg(F.array_sort(F.collect_set("url")).alias("sample"))
+    return rows.groupBy("provider").agg(F.sum("visit_count").alias("visits"), F.count("*").alias("n_urls")).join(sample, "provider")
 
 
 def curated(path: Column, size: Column, deep: bool = False) -> Column:
@@ -233,8 +235,6 @@ def collection_toggles(df: DataFrame, chat_history: bool = True, logs: bool = Tr
 
 def budgeted_collection(files: DataFrame, most_files: int = 200, most_bytes: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
     """(kept, truncations): files of each platform in path order within a count and a byte budget."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("platform").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = files.withColumn("nth", F.count("*").over(w)).withColumn("bytes", F.sum("size").over(w))
     fits = (F.col("nth") <= most_files) & (F.col("bytes") <= most_bytes)

@@ -186,3 +186,56 @@ def test_log_commands_have_no_cap(spark):
     df = spark.createDataFrame([("a", "p", "$ ls\n" * 150 + "$ echo secret\n")], EV)
     got = detect.session_log_commands(df)
     assert got.count() == 151 and got.where("sensitive").count() == 1 and detect.session_log_commands(df, most=100).count() == 100
+
+
+def test_screens_hold_for_every_match():
+    import re
+
+    from gumshoe.functions.screen import needed_words
+
+    assert needed_words(r"\bcurl\b[^\n]{0,20}(?:-T|--upload-file)") == (("curl",), False)
+    assert needed_words(r"(?i)(?:Alpha|be[tT]a)[ ]+Gamma?") == (("gamm",), True)
+    assert needed_words(r"(?i)alpha|[0-9]+") == ((), True) and needed_words(r"a*b?") == ((), False)
+    assert needed_words(r"\Qx\E") == ((), False)  # not Python's syntax: no screen
+    texts = [c for _, _, c in planted.EVIDENCE] + [str(t) for t in planted.TURNS]
+    for r in (*R.IOC_RULES, *R.AI_RULES, *R.SECRET_RULES, *R.TURN_RULES):
+        words, fold = needed_words(r.pattern)
+        for t in texts:
+            if (m := re.search(r.pattern, t)) and words:
+                found = m.group(0).lower() if fold else m.group(0)
+                assert any(w in found for w in words), r.id
+            if m and r.gate:
+                assert re.search(r.gate, t), r.id
+
+
+def test_scan_equals_patterns_without_screens(spark):
+    rows = list(planted.EVIDENCE) + [("n", "p", None), ("e", "p", ""), ("u", "p", "CURL x | NC 10.1.2.3 \u0130 Ignore Previous Instructions \u212a a.b@c.org")]
+    df = spark.createDataFrame(rows, ["source_file", "platform", "content"])
+    rules = (*R.IOC_RULES, *R.AI_RULES)
+    each = F.array(*[F.struct(F.lit(r.id).alias("rule"), F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)).alias("m")) for r in rules])
+    plain = df.select("source_file", F.explode(each).alias("r")).select("source_file", "r.rule", F.explode("r.m").alias("value")).where("value <> ''")
+    found = detect.scan(df, rules).select("source_file", "rule", "value")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() > 30
+
+
+def test_copies_of_a_prompt_on_its_own_platform_show_once(spark):
+    rows = [("a", n, "user", "m", "again") for n in (1, 2, 5, 6, 7)] + [("b", n, "user", "m", "again") for n in (3, 4)] + [("a", 8, "user", "m", "once")]
+    got = dedup.cross_tool_dedup(spark.createDataFrame(rows, ["platform", "seq", "role", "model", "content"])).orderBy("seq").collect()
+    assert [(r.seq, r.also_in_tools) for r in got] == [(1, ["a", "b"]), (8, [])]
+
+
+def test_narratives_and_samples_take_the_first_few(spark):
+    rows = [("S", "persistence", "stay", 0.9, 5.0)] * 4 + [("S", "persistence", "other", 0.5, 9.0)] * 3 + [("G", "nothing", "x", 0.4, 1.0)] * 7
+    got = {(r.scope, r.title): r for r in risk.narratives8(spark.createDataFrame(rows, ["scope", "category", "label", "confidence", "weight"])).collect()}
+    staying = got["S", "Staying on a host"]
+    assert staying.top_indicators == ["stay"] * 4 + ["other"] and staying.n_indicators == 7 and staying.confidence == round((4 * 0.9 + 3 * 0.5) / 7, 3)
+    assert got["G", "General AI Risk"].top_indicators == ["x"] * 5
+    urls = spark.createDataFrame([(f"https://claude.ai/{n:03d}", 2) for n in range(30)] * 2, ["url", "visit_count"])
+    visits = lookup.provider_visits(urls).first()
+    assert visits.visits == 120 and visits.n_urls == 60 and visits.sample == [f"https://claude.ai/{n:03d}" for n in range(20)]
+
+
+def test_upgrade_joins_back_only_shared_keys(spark):
+    df = spark.createDataFrame([("ip", "1", "a", "low"), ("ip", "1", "b", "critical"), ("ip", "2", "a", "low"), ("ip", None, "a", "low")], ["kind", "value", "platform", "severity"])
+    got = sorted((r.value or "", r.platform, r.severity, r.n_platforms) for r in correlate.cross_platform_upgrade(df).collect())
+    assert got == [("", "a", "low", None), ("1", "a", "high", 2), ("1", "b", "critical", 2), ("2", "a", "low", None)]
