@@ -48,6 +48,7 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def evidence(spark: SparkSession, sf_dir: str, more: bool = False) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("source_file"), F.col("source").alias("platform"), F.col("text").alias("content"))
+    docs = ev.spread(docs)
     return docs.unionByName(spark.createDataFrame(list(planted.EVIDENCE), ["source_file", "platform", "content"])) if more else docs
 
 
@@ -612,12 +613,17 @@ def _event_rows(spark, sf_dir) -> DataFrame:
 
 @query(
     "WITH t AS (SELECT 'user' || (((user_id % 5) + 5) % 5) AS platform, date_trunc('second', ts) AS s, trim(replace(left(event_type || ' ' || coalesce(props, ''), 120), chr(10), ' ')) AS k FROM events), "
-    "d AS (SELECT DISTINCT platform, s, k FROM t) SELECT platform, count(*) AS n, count(DISTINCT s) AS n_seconds FROM d GROUP BY ALL"
+    "d AS (SELECT DISTINCT platform, 'log' AS artifact_type, s, k, false AS is_collection_event FROM t UNION ALL "
+    "SELECT DISTINCT source, 'conversation', TIMESTAMP '2025-01-01' + to_seconds(doc_id % 86400), 'Collected doc/' || doc_id, true FROM documents) "
+    "SELECT platform, artifact_type, is_collection_event, count(*) AS n, count(DISTINCT s) AS n_seconds FROM d GROUP BY ALL"
 )
 def unified_timeline(spark, sf_dir):
-    """Events and collection records on one timeline, best of equal ones; counted by platform."""
+    """Log events, their own collection records (which yield to them) and records of collected files on one timeline, best of equal ones."""
     real = _event_rows(spark, sf_dir)
-    return timeline.unified_timeline(real, real).groupBy("platform").agg(F.count("*").alias("n"), F.count_distinct(F.date_trunc("second", "timestamp")).alias("n_seconds"))
+    collected_at = F.timestamp_seconds(F.lit(1735689600) + F.pmod("doc_id", F.lit(86400)))
+    manifest = load(spark, sf_dir, "documents").select(F.col("source").alias("platform"), F.lit("conversation").alias("artifact_type"), F.concat(F.lit("doc/"), "doc_id").alias("original_path"), collected_at.alias("collected_at"))
+    every = timeline.unified_timeline(real.withColumn("is_collection_event", F.lit(True)), real, timeline.collection_events(manifest))
+    return every.groupBy("platform", "artifact_type", "is_collection_event").agg(F.count("*").alias("n"), F.count_distinct(F.date_trunc("second", "timestamp")).alias("n_seconds"))
 
 
 @query()

@@ -38,12 +38,28 @@ def _described(root: str) -> list[Column]:
 
 
 def read_artifact_text(spark: SparkSession, path: str, max_bytes: int = MAX_TEXT, glob: str | None = None) -> DataFrame:
-    """Whole texts of files of at most ``max_bytes``; larger ones aren't read, invalid UTF-8 is replaced (S3)."""
+    """Whole texts of files of at most ``max_bytes``, invalid UTF-8 replaced; ``skipped_files`` lists the larger ones (S3)."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     raw = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).where(F.col("length") <= max_bytes)
     return raw.select(*_described(path), F.col("modificationTime").alias("modified_at"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
+def skipped_files(spark: SparkSession, path: str, max_bytes: int = MAX_TEXT, glob: str | None = None) -> DataFrame:
+    """One row per file too large for ``read_artifact_text``, with its size; nothing is left out unseen."""
+    listed = load_evidence_dir(spark, path, glob)
+    return listed.where(F.col("size_bytes") > max_bytes).withColumn("reason", F.concat(F.lit("larger than "), F.lit(max_bytes), F.lit(" bytes")))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores if the input has fewer files than cores, else ``df``.
+
+    A file of one row group is read by one task, which then runs every pattern alone.  Inputs
+    of many files aren't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def read_logs(spark: SparkSession, path: str, default_year: int = 2025) -> DataFrame:
     """One row per non-blank log line with its number, time of the line or of the file."""
     files = read_artifact_text(spark, path, MAX_LOG)

@@ -189,3 +189,14 @@ def test_registry_is_consistent(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert planted.KEY.startswith("sk-") and len(planted.KEY) > 40
+
+
+def test_large_files_are_listed_and_few_files_spread(spark, tmp_path):
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p" / "small.txt").write_text("a\nb")
+    (tmp_path / "p" / "large.txt").write_text("x" * 50)
+    assert [r.content for r in E.read_artifact_text(spark, str(tmp_path), 10).collect()] == ["a\nb"]
+    row = E.skipped_files(spark, str(tmp_path), 10).first()
+    assert row.source_file.endswith("large.txt") and row.size_bytes == 50 and row.reason == "larger than 10 bytes"
+    rows = spark.read.text(str(tmp_path / "p" / "small.txt"))
+    assert sorted(r.value for r in E.spread(rows).collect()) == ["a", "b"]
