@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
+from gumshoe.operators.links import linked
 
 
 def worst(severity: str = "severity") -> Column:
@@ -31,12 +32,13 @@ def _raised(iocs: DataFrame, up: Callable[[Column], Column]) -> DataFrame:
     return joined.withColumn("severity", F.when(F.col("n_platforms").isNotNull(), up(F.col("severity"))).otherwise(F.col("severity")))
 
 
-def cross_platform_indicator(indicators: DataFrame) -> DataFrame:
-    """One ``cross_platform`` row per indicator on two platforms or more (A3)."""
-    grouped = indicators.groupBy(F.col("kind").alias("of_kind"), "value").agg(
-        F.array_sort(F.collect_set("platform")).alias("platforms"), F.count("*").alias("n"), F.array_sort(F.collect_set("source_file")).alias("files"), F.min_by("phase", "source_file").alias("phase")
-    )
-    return grouped.where(F.size("platforms") >= 2).withColumns({"kind": F.lit("cross_platform"), "severity": F.lit("critical"), "confidence": F.lit(0.95)})
+def cross_platform_indicator(indicators: DataFrame, most: int = 20) -> DataFrame:
+    """One ``cross_platform`` row per indicator on two platforms or more, with the number of its files and at most ``most`` of them (A3)."""
+    rows = indicators.withColumnRenamed("kind", "of_kind")
+    grouped = rows.groupBy("of_kind", "value").agg(F.array_sort(F.collect_set("platform")).alias("platforms"), F.count("*").alias("n"), F.min_by("phase", "source_file").alias("phase")).where(F.size("platforms") >= 2)
+    keys = grouped.select("of_kind", "value")
+    files = linked(rows.join(keys, ["of_kind", "value"], "left_semi"), ["of_kind", "value"], "source_file", most).withColumnsRenamed({"n": "n_files", "sample": "files"})
+    return grouped.join(files, ["of_kind", "value"]).withColumns({"kind": F.lit("cross_platform"), "severity": F.lit("critical"), "confidence": F.lit(0.95)})
 
 
 def upgrade_indicators(indicators: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gumshoe.operators.scans import carry_forward, sliding_sum
+
 
 def dedup_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """First row of each key by ``order``: a combinable aggregate, no sort (A1)."""
@@ -46,9 +48,8 @@ def timeline_dedup(events: DataFrame) -> DataFrame:
 
 
 def model_carry_forward(df: DataFrame, partition: list[str], order: list[str], column: str = "model") -> DataFrame:
-    """A missing model takes the last one named before it."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumn(column, F.last(F.when(F.col(column) != "", F.col(column)), ignorenulls=True).over(w))
+    """A missing model takes the last one named before it (W4); a long session is scanned by many tasks."""
+    return carry_forward(df, partition, order, column, F.when(F.col(column) != "", F.col(column)))
 
 
 def severity_share(df: DataFrame, column: str = "severity") -> DataFrame:
@@ -67,11 +68,6 @@ def first_rule_wins(df: DataFrame, keys: list[str], order: str, values: list[str
 
 
 def turn_window_escalation(turns: DataFrame, flag: str, partition: list[str], order: str, span: int = 5, least: int = 3) -> DataFrame:
-    """Turns at which ``least`` of the last ``span`` turns of a session are flagged."""
-    w = Window.partitionBy(*partition).orderBy(order).rowsBetween(-(span - 1), 0)
-    return turns.withColumn("flagged_in_window", F.sum(F.col(flag).cast("int")).over(w)).where(F.col("flagged_in_window") >= least)
-
-
-def chronological(df: DataFrame, *order: str) -> DataFrame:
-    """Rows by time, then the given ties."""
-    return df.orderBy(*order)
+    """Turns at which ``least`` of the last ``span`` turns of a session are flagged (W7); a long session is scanned by many tasks."""
+    rows = sliding_sum(turns, partition, [order], F.col(flag).cast("int"), span, "flagged_in_window")
+    return rows.where(F.col("flagged_in_window") >= least)

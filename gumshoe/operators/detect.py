@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gumshoe.functions import text as X
 from gumshoe.functions.screen import screened
 from gumshoe.operators import rules as R
+from gumshoe.operators.links import linked
 from gumshoe.operators.rules import Rule
 
 EVIDENCE = ("source_file", "platform")
@@ -296,17 +297,18 @@ def code_imports(files: DataFrame, path_col: str = "source_file", text_col: str
 
 
 def scan_code_imports(files: DataFrame, frameworks: DataFrame, most: int = 20) -> DataFrame:
-    """AI frameworks imported, with the files that do."""
+    """AI frameworks imported, with the number of files that do and at most ``most`` of them."""
     from gumshoe.operators.lookup import classify_import
 
     named = classify_import(code_imports(files).distinct(), frameworks, "module", ("path", "module")).where("framework is not null")
-    return named.groupBy("framework", "category").agg(F.count_distinct("path").alias("n_files"), F.slice(F.array_sort(F.collect_set("path")), 1, most).alias("files"))
+    return linked(named, ["framework", "category"], "path", most).withColumnsRenamed({"n": "n_files", "sample": "files"})
 
 
-def scan_code_secrets(files: DataFrame, salt: str = "case") -> DataFrame:
-    """Secrets in source files, grouped by redacted form."""
-    found = secret_scan(files, salt=salt)
-    return found.groupBy("redacted", "rule").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source_file")).alias("files")).withColumn("severity", F.lit("critical"))
+def scan_code_secrets(files: DataFrame, salt: str = "case", most: int = 20) -> DataFrame:
+    """Secrets in source files, grouped by redacted form: matches, number of files and at most ``most`` of them."""
+    found = secret_scan(files, salt=salt).select("redacted", "rule", "source_file")
+    held = linked(found, ["redacted", "rule"], "source_file", most).withColumnsRenamed({"n": "n_files", "sample": "files"})
+    return found.groupBy("redacted", "rule").agg(F.count("*").alias("n")).join(held, ["redacted", "rule"]).withColumn("severity", F.lit("critical"))
 
 
 def config_flags(df: DataFrame, text_col: str = "content", id_cols: tuple[str, ...] = EVIDENCE) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
+from gumshoe.operators.links import beside, linked
 
 
 def aider_history(df: DataFrame, text_col: str = "content") -> DataFrame:
@@ -52,9 +53,13 @@ def cli_history(df: DataFrame, text_col: str = "content") -> DataFrame:
     return rows.withColumns({"topic": F.left(F.trim("line"), F.lit(100)), "model": F.when(model != "", model)})
 
 
-def cli_history_summary(lines: DataFrame) -> DataFrame:
-    """Totals, topics and models of a command history."""
-    return lines.groupBy("platform", "source_file").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_set("model")).alias("models"), F.slice(F.array_sort(F.collect_set("topic")), 1, 20).alias("topics"))
+def cli_history_summary(lines: DataFrame, most: int = 20) -> DataFrame:
+    """Lines, models and topics of command histories: counts, and at most ``most`` models and topics of each."""
+    keys = ["platform", "source_file"]
+    counts = lines.groupBy(*keys).agg(F.count("*").alias("n_lines"))
+    models = linked(lines, keys, "model", most).withColumnsRenamed({"n": "n_models", "sample": "models"})
+    topics = linked(lines, keys, "topic", most).withColumnsRenamed({"n": "n_topics", "sample": "topics"})
+    return beside(beside(counts, models, keys), topics, keys)
 
 
 def routing_rules(df: DataFrame, text_col: str = "content") -> DataFrame:

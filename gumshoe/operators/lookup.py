@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
 from gumshoe.operators.dedup import first_rule_wins
+from gumshoe.operators.links import linked
+from gumshoe.operators.scans import running_totals
 
 # Hosts of model services, in catalog order (suffix, provider, category).  A suffix covers its
 # subdomains, so "api." hosts stand here only where their parent doesn't.
@@ -136,11 +138,14 @@ def provider_for_url(url: Column) -> Column:
     return out.otherwise(UNKNOWN_PROVIDER)
 
 
-def network_ai(connections: DataFrame, known: DataFrame) -> DataFrame:
-    """Connections to model services by domain: provider, processes, pids, count."""
+def network_ai(connections: DataFrame, known: DataFrame, most: int = 20) -> DataFrame:
+    """Connections to model services by domain: provider, counts, and at most ``most`` processes and pids of each."""
     named = classify_domain(connections.select("domain").distinct(), known, "domain", ("domain",)).where("provider is not null")
-    rows = connections.join(named, "domain")
-    return rows.groupBy("domain", "provider", "category").agg(F.array_sort(F.collect_set("process")).alias("processes"), F.array_sort(F.collect_set("pid")).alias("pids"), F.count("*").alias("n"))
+    counts = connections.groupBy("domain").agg(F.count("*").alias("n"))
+    processes = linked(connections, ["domain"], "process", most).select("domain", F.col("n").alias("n_processes"), F.col("sample").alias("processes"))
+    pids = linked(connections, ["domain"], "pid", most).select("domain", F.col("n").alias("n_pids"), F.col("sample").alias("pids"))
+    rows = named.join(counts, "domain").join(processes, "domain").join(pids, "domain")
+    return rows.select("domain", "provider", "category", "n_processes", "processes", "n_pids", "pids", "n")
 
 
 AI_PROCESS = r"(?i)(ollama|lm[ -]?studio|llama[-_.]?(cpp|server)|vllm|litellm|text-generation|koboldcpp|gpt4all|localai|open-?webui|comfyui|aider|autogpt|openhands|claude|codex|cursor|windsurf)"
@@ -234,9 +239,11 @@ def collection_toggles(df: DataFrame, chat_history: bool = True, logs: bool = Tr
 
 
 def budgeted_collection(files: DataFrame, most_files: int = 200, most_bytes: int = 1 << 30) -> tuple[DataFrame, DataFrame]:
-    """(kept, truncations): files of each platform in path order within a count and a byte budget."""
-    w = Window.partitionBy("platform").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = files.withColumn("nth", F.count("*").over(w)).withColumn("bytes", F.sum("size").over(w))
+    """(kept, truncations): files of each platform in path order within a count and a byte budget.
+
+    Counts and sizes are running totals over ranges of paths, so a platform's files may be in many tasks.
+    """
+    ranked = running_totals(files, ["platform"], ["path"], {"nth": F.lit(1), "bytes": F.col("size")})
     fits = (F.col("nth") <= most_files) & (F.col("bytes") <= most_bytes)
     skipped = ranked.where(~fits).groupBy("platform").agg(F.count("*").alias("skipped")).withColumn("max_files", F.lit(most_files))
     return ranked.where(fits).drop("nth", "bytes"), skipped

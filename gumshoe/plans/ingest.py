@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,19 +11,11 @@ from gumshoe.operators import rules as R
 from gumshoe.plans import sql
 from gumshoe.plans.registry import _ENTROPY as SECRET_ENTROPY
 from gumshoe.plans.registry import _SECRET_ARMS as SECRET_ARMS
-from gumshoe.plans.registry import evidence, load, query
+from gumshoe.plans.registry import ORACLES, evidence, load, query, turns
+from gumshoe.sources import evidence as ev
 from gumshoe.sources import transcripts
-
-
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="gumshoe-")
-    return f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+from gumshoe.sources.shared import scratch
+from gumshoe.streaming import detect as stream
 
 
 # --- transcripts ---------------------------------------------------------------------------------------------------
@@ -98,6 +87,96 @@ def envelope_turns(spark, sf_dir):
     return found.groupBy("session_id", "workspace", "role").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("chars"), F.sum(tokens).alias("tokens"))
 
 
+# --- files of any size ---------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id % 2 = 0 AS packed, source, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, true AS gapless FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def jsonl_lines(spark, sf_dir):
+    """Documents written as plain and as compressed JSON lines and read back with their line numbers, which have no gap in any file."""
+    path = scratch(spark, "jsonl")
+    docs = load(spark, sf_dir, "documents").where("text is not null")
+    for packed, how in ((False, "none"), (True, "gzip")):
+        docs.where((F.col("doc_id") % 2 == 0) == packed).select(F.to_json(F.struct("source", "text")).alias("value")).write.option("compression", how).text(f"{path}/{how}")
+    lines = transcripts.read_jsonl(spark, path)
+    gapless = lines.groupBy("source_file").agg((F.max("line_no") + 1 == F.count_distinct("line_no")).alias("ok")).agg(F.bool_and("ok").alias("gapless"))
+    rows = lines.select(F.contains("source_file", F.lit("/gzip/")).alias("packed"), transcripts.get("$.source").alias("source"), F.length(transcripts.get("$.text")).alias("size"))
+    return rows.groupBy("packed", "source").agg(F.count("*").alias("n"), F.sum("size").alias("chars")).join(F.broadcast(gapless))
+
+
+_LINES = "l AS (SELECT 'platform=' || source AS platform, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)"
+_LINE_SEVERITY = "CASE " + " ".join(f"WHEN regexp_matches(line, {sql.lit(p)}) THEN '{s}'" for s, p in X.SEVERITY_PATTERNS) + " ELSE 'info' END"
+
+
+def text_files(spark: SparkSession, sf_dir: str, tag: str) -> str:
+    """Texts of all documents as lines of files, in a folder for each source."""
+    path = scratch(spark, tag)
+    load(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("platform"), F.col("text").alias("value")).write.partitionBy("platform").text(path)
+    return path
+
+
+@query(f"WITH {_LINES} SELECT platform, {_LINE_SEVERITY} AS severity, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars, true AS dated FROM l WHERE trim(line) <> '' GROUP BY ALL")
+def log_lines(spark, sf_dir):
+    """Texts written as log files and read back line by line; undated lines take the file's time."""
+    lines = ev.read_logs(spark, text_files(spark, sf_dir, "logs"))
+    return lines.groupBy("platform", X.infer_severity(F.col("line")).alias("severity")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"), F.bool_and(F.col("timestamp").isNotNull()).alias("dated"))
+
+
+@query(f"WITH {sql.DOCS}, {sql.iocs(R.NETWORK)} SELECT 'platform=' || platform AS platform, rule, value, count(*) AS n FROM iocs GROUP BY ALL")
+def piece_indicators(spark, sf_dir):
+    """Network indicators of files read in overlapping pieces of whole lines, each counted once."""
+    pieces = ev.artifact_pieces(spark, text_files(spark, sf_dir, "pieces"), size=1 << 16)
+    found = detect.ioc_network(pieces.where("content is not null"), positions=True, id_cols=("source_file", "platform", "piece_offset"))
+    once = found.select("source_file", "platform", "rule", "value", (F.col("piece_offset") + F.col("start")).alias("at")).distinct()
+    return once.groupBy("platform", "rule", "value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'platform=' || source AS platform, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(strlen(text) + 1) AS BIGINT) AS text_bytes, CAST(sum(strlen(text) + 1) AS BIGINT) AS manifest_bytes, true AS same_files FROM documents WHERE text IS NOT NULL GROUP BY ALL")
+def evidence_folder(spark, sf_dir):
+    """Folders of texts and their manifests, written and read back: the same files, the same sizes."""
+    path = scratch(spark, "folder")
+    docs = load(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("platform"), F.col("text").alias("value"))
+    docs.write.partitionBy("platform").option("maxRecordsPerFile", 50).text(f"{path}/files")
+    listed = ev.load_evidence_dir(spark, f"{path}/files", "part-*")
+    entry = F.struct(F.col("source_file").alias("original_path"), "platform", "artifact_type", "size_bytes", F.col("modified_at").cast("string").alias("collected_at"))
+    shares = listed.groupBy("platform", F.pmod(F.xxhash64("source_file"), F.lit(16))).agg(F.to_json(F.struct(F.collect_list(entry).alias("files"))).alias("value"))
+    shares.select("value").write.option("maxRecordsPerFile", 1).text(f"{path}/manifests")
+    texts = ev.read_artifact_text(spark, f"{path}/files", glob="part-*").select("source_file", F.octet_length("content").alias("text_bytes"))
+    told = ev.load_manifest(spark, f"{path}/manifests").select(F.col("original_path").alias("source_file"), F.col("size_bytes").alias("manifest_bytes"))
+    both = listed.join(texts, "source_file", "full").join(told, "source_file", "full")
+    same = F.coalesce((F.col("size_bytes") == F.col("text_bytes")) & (F.col("size_bytes") == F.col("manifest_bytes")), F.lit(False))
+    return both.groupBy("platform").agg(*[F.sum(c).cast("long").alias(n) for c, n in (("size_bytes", "bytes"), ("text_bytes", "text_bytes"), ("manifest_bytes", "manifest_bytes"))], F.bool_and(same).alias("same_files"))
+
+
+# --- streams -------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.DOCS}, i AS ({sql.scan(R.NETWORK + R.HASHES)}) SELECT 'platform=' || platform AS platform, kind, count(DISTINCT value) AS n FROM i GROUP BY ALL")
+def stream_indicators(spark, sf_dir):
+    """Indicators of a stream of files, each once however many batches hold it."""
+    path, out = text_files(spark, sf_dir, "stream"), scratch(spark, "stream-out")
+    found = stream.stream_indicators(stream.read_text_stream(spark, path, files=20), R.NETWORK + R.HASHES)
+    once = stream.stream_dedup(found, delay="1 day", keys=("kind", "value", "platform"))
+    stream.drain(once, out, scratch(spark, "stream-log"))
+    return spark.read.parquet(out).groupBy("platform", "kind").agg(F.count("*").alias("n"))
+
+
+@query(ORACLES["turn_window_escalation"])
+def stream_escalations(spark, sf_dir):
+    """Turns arriving in two lots, flagged and counted by a stateful stream; equal to the batch operator's SQL."""
+    path, out = scratch(spark, "turns"), scratch(spark, "turns-out")
+    flag = F.lit(False)
+    said = F.concat_ws("\n", "content", "tool_command")
+    for r in R.TURN_RULES:
+        flag = flag | said.rlike(r.pattern)
+    rows = turns(spark, sf_dir).select("platform", "session_id", "seq", flag.alias("flag"), F.timestamp_seconds(F.lit(1735689600) + 60 * F.col("seq")).alias("timestamp"))
+    for early in (True, False):
+        rows.where((F.col("seq") < 3) == early).write.mode("append").parquet(path)
+    arriving = spark.readStream.schema(rows.schema).parquet(path)
+    with stream.keyed_state(spark):
+        stream.drain(stream.stream_escalation(arriving, 5, 2), out, scratch(spark, "turns-log"))
+    return spark.read.parquet(out).select("platform", "session_id", "seq", "flagged_in_window")
+
+
 # --- names and filters ---------------------------------------------------------------------------------------------
 
 
@@ -166,8 +245,8 @@ def secret_indicators(spark, sf_dir):
     return found.groupBy("rule", "kind", "severity", "platform").agg(F.count("*").alias("n"), F.count_distinct("value").alias("n_values"))
 
 
-@query(f"{_FOUND} SELECT redacted, rule, count(*) AS n, CAST(count(DISTINCT source_file) AS INT) AS n_files, 'critical' AS severity FROM k GROUP BY ALL")
+@query(f"{_FOUND} SELECT redacted, rule, count(*) AS n, count(DISTINCT source_file) AS n_files, 'critical' AS severity FROM k GROUP BY ALL")
 def code_secrets(spark, sf_dir):
     """Secrets of source files by redacted form."""
     found = detect.scan_code_secrets(evidence(spark, sf_dir, True))
-    return found.select("redacted", "rule", "n", F.size("files").alias("n_files"), "severity")
+    return found.select("redacted", "rule", "n", "n_files", "severity")

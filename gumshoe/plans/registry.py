@@ -352,7 +352,7 @@ def findings_table(spark, sf_dir):
 def cross_platform_indicator(spark, sf_dir):
     """A3: indicators on several platforms."""
     found = correlate.cross_platform_indicator(indicators(spark, sf_dir))
-    return found.select("of_kind", "value", F.array_join("platforms", ",").alias("platforms"), "n", F.size("files").cast("long").alias("n_files"))
+    return found.select("of_kind", "value", F.array_join("platforms", ",").alias("platforms"), "n", "n_files")
 
 
 @query(f"WITH {sql.WITH_PLANTED}, {_IND} SELECT value, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms, count(*) AS n, {sql.label('max(' + sql.RANK + ')')} AS severity FROM ind WHERE kind = 'credential' GROUP BY value HAVING count(DISTINCT platform) >= 2")
@@ -725,7 +725,7 @@ _CONN = "conn AS (SELECT user_id AS pid, event_type AS process, (['api.openai.co
 def network_ai(spark, sf_dir):
     """Connections to model services."""
     found = lookup.network_ai(ev.connections(net(spark, sf_dir)), lookup.domains(spark))
-    return found.select("domain", "provider", F.size("pids").cast("long").alias("n_pids"), F.array_join("processes", ",").alias("processes"), "n")
+    return found.select("domain", "provider", "n_pids", F.array_join("processes", ",").alias("processes"), "n")
 
 
 @query(f"WITH {_CONN} SELECT port, service, count(*) AS n FROM conn LEFT JOIN {sql.values(X.SERVICE_PORTS.items(), 'port, service')} p USING (port) GROUP BY ALL")

@@ -1,8 +1,8 @@
 """Transcript ingestion: JSON lines and documents of several shapes to conversation turns.
 
 Lines become ``VARIANT`` values; each shape is a projection of variant paths, so
-parsing stays in the JVM.  Line numbers come from whole-text files, the only
-stable order plain JSON lines have.
+parsing stays in the JVM.  Lines are numbered as in the whole file, however many
+tasks read it (``sources.lines``).
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
 from gumshoe.operators.dedup import model_carry_forward
+from gumshoe.sources.lines import numbered_lines
 
 TURN_COLUMNS = ("timestamp", "platform", "role", "content", "model", "session_id", "source_file", "seq", "metadata", "tool_command", "tool_input", "tool_description", "workspace", "tool_calls")
 ROLES = ("user", "assistant", "system", "tool", "function", "human", "ai", "bot")
@@ -26,8 +27,7 @@ def read_jsonl(spark: SparkSession, path: str, good: bool = True) -> DataFrame:
 
     Blank lines are skipped; malformed ones are left out, or returned instead if not ``good``.
     """
-    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_name").alias("file_name"), "value")
-    lines = raw.select("source_file", "file_name", F.posexplode(F.split("value", r"\r?\n")).alias("line_no", "value")).where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).select("source_file", "file_name", "line_no", "value").where(F.trim("value") != "")
     parsed = lines.withColumn("v", F.try_parse_json("value")).withColumn("session_stem", F.regexp_replace("file_name", r"\.jsonl?(\.zst|\.zstd)?$", ""))
     return parsed.where(F.col("v").isNotNull() if good else F.col("v").isNull())
 

@@ -176,14 +176,6 @@ def test_streams_equal_batch(spark, tmp_path):
     assert spark.table("found").count() == len(got)
 
 
-def test_stream_escalation(spark, tmp_path):
-    lines(tmp_path / "in" / "a.json", [{"session_id": "s", "seq": i, "flag": i in (2, 3, 4), "timestamp": f"2024-05-01T10:00:0{i}Z"} for i in range(8)])
-    turns = spark.readStream.schema("session_id string, seq long, flag boolean, timestamp timestamp").json(str(tmp_path / "in"))
-    q = S.stream_escalation(turns, 4, 3).writeStream.format("memory").queryName("esc").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    assert sorted(r.seq for r in spark.table("esc").collect()) == [4, 5]
-
-
 def test_registry_is_consistent(spark):
     import __spark_entry__ as entry
 
