@@ -8,11 +8,12 @@ with d the distances of x to the pivots and R_j the radius of cell j, that needs
 
     d_j - d_i <= 2 r,   d_j <= R_j + r,   and   (d_j^2 - d_i^2) / (2 |p_i p_j|) <= r,
 
-the last being the distance to the plane half-way between the pivots.  How many
-pivots there are is chosen on a sample: the number with the least estimated work,
-pairs and copies together, so clustered data get many and data that the triangle
-inequality hardly prunes get few.  Cells are joined independently; a large cell is dealt into chunk pairs, so one dense
-cell needs no single task.  Equal vectors are joined once and counted by their
+the last being the distance to the plane half-way between the pivots.  There are at
+least ``LEAST_PIVOTS`` pivots wherever so many vectors differ; how many more is chosen
+on a sample: the number with the least estimated work, pairs and copies together, so
+clustered data get many and data that the triangle inequality hardly prunes get few.
+Cells are joined independently; a large cell is dealt into chunk pairs, so one dense
+cell needs no single task.  ``cell_report`` tells what each cell compares.  Equal vectors are joined once and counted by their
 number.  Tasks return link counts and spanning edges, never the pairs.
 
 Vectors that are null, empty, zero or hold a null or non-finite component link
@@ -34,8 +35,9 @@ from pyspark.sql import functions as F
 from gumshoe.llm.common import connected_components, materialize, small
 from gumshoe.llm.simhash import _roots
 
-#: Most pivots.
+#: Most and fewest pivots.
 PIVOTS = 256
+LEAST_PIVOTS = 8
 SAMPLE_ROWS = 2048
 #: Seconds that comparing two vectors and sending one to a task take, roughly; they only steer the number of pivots.
 PAIR_S, COPY_S = 1e-8, 2e-5
@@ -89,7 +91,7 @@ def choose_pivots(vectors: DataFrame, total: int, r: float, most: int) -> np.nda
         copies = (1 + sent.sum()) * total + (own * own + own * sent).sum() * total * total / CHUNK
         return pairs * PAIR_S + copies * COPY_S
 
-    counts = [k for k in (1, 2, 4, 8, 16, 32, 64, 128, 256, 512, 1024) if k < len(pivots)] + [len(pivots)]
+    counts = [k for k in (8, 16, 32, 64, 128, 256, 512, 1024) if LEAST_PIVOTS <= k < len(pivots)] + [len(pivots)]
     return pivots[: min(counts, key=work)]
 
 
@@ -145,12 +147,30 @@ def _join_cell(cosine: float):
     return run
 
 
-def range_join(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
-    """(id, n_links, component_id, kept) for every row of ``vectors``."""
+def _distinct(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, distinct vectors that can link with their least id and number)."""
+    if (kind := vectors.schema[id_col].dataType.simpleString()) not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} holds {kind}, not whole numbers")
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
     rows = rows.withColumn("v", F.when(valid(F.col("v")), F.col("v")))
     good = rows.where(F.col("v").isNotNull() & F.col("id").isNotNull())
-    distinct = materialize(good.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "vectors")
+    return rows, materialize(good.groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("copies")), "vectors")
+
+
+def cell_report(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
+    """(cell, core, sent, pairs): distinct vectors of a cell, those sent to it by others, and pairs compared there.
+
+    All vectors must be of one length; without cells there would be n (n - 1) / 2 pairs.
+    """
+    raw = materialize(_distinct(vectors, id_col, vector)[1].mapInPandas(_raw, "x binary, first long, copies long, length int"), "vector-bytes")
+    sent, _ = _cells(raw.drop("length"), raw.count(), cosine, pivots, CHUNK)
+    each = sent.groupBy("cell").agg(F.count_if("core").alias("core"), F.count_if(~F.col("core")).alias("sent"))
+    return each.withColumn("pairs", (F.col("core") * (F.col("core") - 1) / 2 + F.col("core") * F.col("sent")).cast("long"))
+
+
+def range_join(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id", vector: str = "embedding", pivots: int = PIVOTS, chunk: int = CHUNK) -> DataFrame:
+    """(id, n_links, component_id, kept) for every row of ``vectors``."""
+    rows, distinct = _distinct(vectors, id_col, vector)
     sizes = distinct.groupBy(F.size("v").alias("n")).count()
     main = sizes.orderBy(F.desc("count"), "n").first()
     if main is None:
@@ -182,6 +202,11 @@ def _chunks(n, of: int):
 
 def _main_cells(distinct: DataFrame, total: int, cosine: float, pivots: int, chunk: int) -> DataFrame:
     """Links of vectors of one length by pivot cells."""
+    return _join_cells(*_cells(distinct, total, cosine, pivots, chunk), cosine)
+
+
+def _cells(distinct: DataFrame, total: int, cosine: float, pivots: int, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors in their own cell (core) and in those they are sent to, and the chunks of each cell."""
     r = math.sqrt(2 - 2 * cosine) + 1e-9
     p = choose_pivots(distinct, total, r, pivots)
 
@@ -211,7 +236,7 @@ def _main_cells(distinct: DataFrame, total: int, cosine: float, pivots: int, chu
 
     sent = placed.mapInPandas(replicate, "x binary, first long, copies long, cell int, core boolean")
     counts = per_cell.select("cell", _chunks(F.col("count"), chunk).alias("n"), _chunks((F.lit(total) - F.col("count")) / 2, OUTER_CHUNK).alias("m"))
-    return _join_cells(sent, F.broadcast(materialize(counts, "vector-cells")), cosine)
+    return sent, F.broadcast(materialize(counts, "vector-cells"))
 
 
 def _join_cells(sent: DataFrame, counts: DataFrame, cosine: float) -> DataFrame:
