@@ -347,11 +347,6 @@ def entropy(text: Column) -> Column:
     return F.when(n > 0, F.aggregate(F.transform(letters, share), F.lit(0.0), lambda a, b: a + b)).otherwise(0.0)
 
 
-def bounded_text(text: Column, most: int = 65536) -> Column:
-    """Text cut to ``most`` characters (F26); prefer ``sources.evidence.chunk_text``, which skips nothing."""
-    return F.left(text, F.lit(most))
-
-
 # Ports on which local model services listen.
 SERVICE_PORTS = {11434: "Ollama", 1234: "LM Studio", 8080: "llama.cpp / LocalAI", 7860: "Gradio / text-generation-webui", 5000: "text-generation-webui API", 8000: "vLLM", 4000: "LiteLLM", 3000: "Open WebUI", 5001: "KoboldCpp", 1337: "Jan", 8188: "ComfyUI", 3001: "AnythingLLM"}
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
 from gumshoe.operators.links import linked
+from gumshoe.operators.sketches import distinct_sketches, heavy_hitters, merged_counts
 
 
 def worst(severity: str = "severity") -> Column:
@@ -83,6 +84,15 @@ def hunt_summary(found: DataFrame, turn_keys: list[str]) -> DataFrame:
     )
 
 
+def hunt_estimates(found: DataFrame, turn_keys: list[str], by: list[str]) -> DataFrame:
+    """One row of ``hunt_summary``'s totals with distinct counts from sketches of each share ``by``.
+
+    Shares can be kept and merged later, as of days or platforms; ``hunt_summary`` counts exactly.
+    """
+    shares = distinct_sketches(found, {"n_turns": turn_keys, "n_secrets": ["fingerprint"]}, by)
+    return merged_counts(shares, ["n_turns", "n_secrets"]).withColumnRenamed("rows", "n_findings")
+
+
 def findings_summary(findings: DataFrame) -> DataFrame:
     """Counts by severity and by category."""
     return summaries(findings, ["severity", "category"])
@@ -116,11 +126,11 @@ def daily_activity(events: DataFrame, time_col: str = "timestamp", days: int = 3
 
 def model_usage(calls: DataFrame, column: str, most: int = 20) -> DataFrame:
     """Most frequent values of a model, status or error column."""
-    return calls.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(most)
+    return heavy_hitters(calls, column, most)
 
 
 def top_techniques(matches: DataFrame, most: int = 8) -> DataFrame:
-    """Techniques matched most."""
+    """Techniques matched most (T7); there are no more of them than the catalog has, so all are counted."""
     return matches.groupBy("technique_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "technique_id").limit(most)
 
 
@@ -129,11 +139,7 @@ def capped(df: DataFrame, most: int, *order: Column | str) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
-def category_overlap(templates: DataFrame, active: Column) -> DataFrame:
-    """Categories of a template that are active."""
-    return templates.withColumn("shared", F.array_intersect("categories", active)).where(F.size("shared") > 0)
-
-
-def platform_union(a: str, b: str) -> Column:
-    """Platforms in either set (U4)."""
-    return F.array_sort(F.array_union(F.coalesce(F.col(a), F.array().cast("array<string>")), F.coalesce(F.col(b), F.array().cast("array<string>"))))
+def platform_union(a: Column, b: Column) -> Column:
+    """Platforms in either set, in order (U4)."""
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_union(F.coalesce(a, none), F.coalesce(b, none)))

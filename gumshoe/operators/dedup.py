@@ -71,3 +71,8 @@ def turn_window_escalation(turns: DataFrame, flag: str, partition: list[str], or
     """Turns at which ``least`` of the last ``span`` turns of a session are flagged (W7); a long session is scanned by many tasks."""
     rows = sliding_sum(turns, partition, [order], F.col(flag).cast("int"), span, "flagged_in_window")
     return rows.where(F.col("flagged_in_window") >= least)
+
+
+def chronological(df: DataFrame, *order: str) -> DataFrame:
+    """Rows by time, then the given ties, for an export or a display."""
+    return df.orderBy(*order)

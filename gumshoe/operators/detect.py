@@ -121,7 +121,12 @@ def ioc_exfil(df: DataFrame, **opts) -> DataFrame:
 
 def ioc_all(df: DataFrame, strict: bool = False, **opts) -> DataFrame:
     """D1 to D5 in one pass over the text."""
-    return drop_short_paths(drop_benign_domains(drop_private_ips(scan(df, R.IOC_RULES, **opts), strict)))
+    return kept_iocs(scan(df, R.IOC_RULES, **opts), strict)
+
+
+def kept_iocs(hits: DataFrame, strict: bool = False) -> DataFrame:
+    """Matches of indicator rules that the address, domain and path predicates keep."""
+    return drop_short_paths(drop_benign_domains(drop_private_ips(hits, strict)))
 
 
 def ioc_secret(df: DataFrame, **opts) -> DataFrame:

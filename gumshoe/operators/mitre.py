@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gumshoe.operators.correlate import worst
+from gumshoe.operators.scans import running_totals
 
 # ATLAS techniques (id, name).
 ATLAS = (
@@ -155,11 +156,18 @@ def coa_lookup(techniques: DataFrame, column: str = "technique_id") -> DataFrame
     return hits.groupBy("name").agg(F.min_by(F.struct(column, "description"), "no").alias("r")).select("name", f"r.{column}", "r.description")
 
 
-def stix_observed_refs(findings: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Indicator ids that each finding's values refer to; of equal values the last id."""
+def stix_observed_refs(links: DataFrame, indicators: DataFrame, most: int = 100) -> DataFrame:
+    """(id, part, refs): indicator ids that each finding's values refer to, ``most`` a part; of equal values the last id.
+
+    ``links``: id, value; ``indicators``: value, indicator_id.  Findings whose values are no indicators
+    have one part without references.
+    """
     last = indicators.groupBy("value").agg(F.max("indicator_id").alias("indicator_id"))
-    long = findings.select("id", F.explode_outer("iocs").alias("value")).join(last, "value", "left")
-    return long.groupBy("id").agg(F.array_sort(F.collect_set("indicator_id")).alias("refs"))
+    hits = links.join(last, "value").select("id", "indicator_id").distinct()
+    nth = running_totals(hits, ["id"], ["indicator_id"], {"nth": F.lit(1)}).withColumn("part", F.floor((F.col("nth") - 1) / most).cast("int"))
+    refs = nth.groupBy("id", "part").agg(F.array_sort(F.collect_list("indicator_id")).alias("refs"))
+    none = links.select("id").distinct().join(refs.select("id"), "id", "left_anti")
+    return refs.unionByName(none.select("id", F.lit(0).alias("part"), F.array().cast("array<string>").alias("refs")))
 
 
 def indicator_event_time(indicators: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -8,8 +8,12 @@ quantifiers.  ``register_rules`` checks user rules by the same validator.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field, replace
 
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
 MAX_PATTERN = 1000
 
 
@@ -37,7 +41,9 @@ def validate(rule: Rule) -> Rule:
     if not rule.pattern or len(rule.pattern) > MAX_PATTERN:
         raise UnsafeRule(f"{rule.id}: empty or longer than {MAX_PATTERN}")
     try:
-        re.compile(rule.pattern)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore", FutureWarning)
+            re.compile(rule.pattern)
     except re.error as e:
         raise UnsafeRule(f"{rule.id}: {e}") from e
     if re.search(r"\((?:[^()\\]|\\.)*(?<!\\)[+*](?:[^()\\]|\\.)*\)(?:[+*]|\{\d+,\})", rule.pattern):
@@ -45,12 +51,47 @@ def validate(rule: Rule) -> Rule:
     return rule
 
 
-def register_rules(base: tuple[Rule, ...], more: list[Rule], strict: bool = False) -> tuple[Rule, ...]:
-    """``base`` and the valid ones of ``more``; a rule with a known id replaces it; bad rules are dropped, or raise if ``strict``."""
+#: Texts on which Python and Java must find the same: letters, digits and marks inside and outside ASCII, line ends, class operators.
+PROBES = ("", "a", "abc ABC xyz", "foo_bar-9 42", "a\nb\n", "line one\nline two\n", "caf\u00e9 \u0130\u017f\u212a", "\u0661\u0662 \u4e2d\u6587", "tab\there \x0b\x0c", "a&&b [c] ^d]", "key=val; x:y, (z) {1,2}", "~!@#$%^&*()_+`|\\/<>?'\"", "aaaa bbbb", "\u00a0 \u2003")
+
+
+def probes(pattern: str) -> list[str]:
+    """The fixed texts, and texts made of the pattern's own words."""
+    words = re.findall(r"[A-Za-z0-9]{2,}", pattern)[:40]
+    joined = " ".join(words)
+    return [*PROBES, pattern, joined, joined + "\n", joined.upper(), joined.lower(), "-".join(words), *(w + "\n" for w in words[:8])]
+
+
+def check_in_jvm(spark: SparkSession, rule: Rule) -> Rule:
+    """``rule`` if the JVM, which runs it, takes its pattern and finds what Python does in all ``probes``.
+
+    Character classes are ASCII's in both, as they are in Java.  Patterns that only one of the two
+    can read, or that they read differently, are refused.  Nothing but constants is computed, so no
+    job runs.
+    """
+    texts = probes(rule.pattern)
+    try:
+        row = spark.sql("SELECT 1").select(*[F.regexp_extract_all(F.lit(t), F.lit(rule.pattern), F.lit(0)).alias(f"c{n}") for n, t in enumerate(texts)]).first()
+    except Exception as e:
+        raise UnsafeRule(f"{rule.id}: Java can't read it: {str(e)[:120]}") from e
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore", FutureWarning)
+        compiled = re.compile(rule.pattern, re.ASCII)
+    for found, text in zip(row, texts):
+        if list(found) != [m[0] for m in compiled.finditer(text)]:
+            raise UnsafeRule(f"{rule.id}: Java and Python read it differently")
+    return rule
+
+
+def register_rules(base: tuple[Rule, ...], more: list[Rule], strict: bool = False, spark: SparkSession | None = None) -> tuple[Rule, ...]:
+    """``base`` and the valid ones of ``more``; a rule with a known id replaces it; bad rules are dropped, or raise if ``strict``.
+
+    With ``spark`` patterns are checked by the JVM as well.
+    """
     out = {r.id: r for r in base}
     for r in more:
         try:
-            out[r.id] = validate(r)
+            out[r.id] = validate(r) if spark is None else check_in_jvm(spark, validate(r))
         except UnsafeRule:
             if strict:
                 raise

@@ -28,12 +28,16 @@ def session_risk(turns: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def session_summary(turns: DataFrame, findings: DataFrame) -> DataFrame:
-    """Turn counts by side, tool calls, attempts and risk of each session, riskiest first."""
+    """Turn counts by side, tool calls, attempts and risk of each session (A9); ``riskiest_first`` sorts them for a display."""
     role = F.lower("role")
     tool = F.col("tool_command").isNotNull() if "tool_command" in turns.columns else F.lit(False)
     counts = turns.groupBy("platform", "session_id").agg(
         F.count("*").alias("turns"), F.count_if(role.isin("user", "human")).alias("user_turns"), F.count_if(role.isin("assistant", "ai", "model")).alias("assistant_turns"), F.count_if(tool).alias("tool_calls")
     )
     joined = counts.join(session_risk(turns, findings), ["platform", "session_id"], "left")
-    filled = joined.withColumns({"n_findings": F.coalesce("n_findings", F.lit(0)).cast("long"), "risk_score": F.coalesce("risk_score", F.lit(0)), "risk_severity": F.coalesce("risk_severity", F.lit("info")), "jailbreak_attempts": F.coalesce("jailbreak_attempts", F.lit(0)).cast("long")})
-    return filled.orderBy(F.desc("risk_score"), F.desc("n_findings"), "platform", "session_id")
+    return joined.withColumns({"n_findings": F.coalesce("n_findings", F.lit(0)).cast("long"), "risk_score": F.coalesce("risk_score", F.lit(0)), "risk_severity": F.coalesce("risk_severity", F.lit("info")), "jailbreak_attempts": F.coalesce("jailbreak_attempts", F.lit(0)).cast("long")})
+
+
+def riskiest_first(summary: DataFrame) -> DataFrame:
+    """Sessions by risk, then findings."""
+    return summary.orderBy(F.desc("risk_score"), F.desc("n_findings"), "platform", "session_id")

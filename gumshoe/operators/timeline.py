@@ -54,8 +54,13 @@ def indicator_events(indicators: DataFrame, time: str = "event_time") -> DataFra
 
 
 def unified_timeline(*parts: DataFrame) -> DataFrame:
-    """All events, the best of equal ones, in time order."""
+    """All events, the best of equal ones (U1, W1); ``in_order`` sorts them for a display."""
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
-    return timeline_dedup(every).orderBy("timestamp", "is_collection_event", "seq")
+    return timeline_dedup(every)
+
+
+def in_order(events: DataFrame) -> DataFrame:
+    """Events by time, real ones before collection records, then by their place."""
+    return events.orderBy("timestamp", "is_collection_event", "seq")

@@ -13,6 +13,7 @@ from gumshoe.operators import rules as R
 from gumshoe.plans import planted, sql
 from gumshoe.sources import evidence as ev
 from gumshoe.sources import sinks, transcripts
+from gumshoe.sources.shared import written
 from gumshoe.streaming import detect as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +74,15 @@ def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.indicators_to_findings(dedup.dedup_first(indicators(spark, sf_dir), ["kind", "value", "source_file"], ["rule"]))
 
 
+def scanned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(iocs, detector rows, findings) of one scan of the corpus, written once for all that follows."""
+    hits = written(detect.scan(evidence(spark, sf_dir, True), R.IOC_RULES + R.AI_RULES), "hits")
+    of = lambda rules: hits.where(F.col("kind").isin(sorted({r.kind for r in rules})))  # noqa: E731  no kind is in both catalogs
+    told = of(R.AI_RULES)
+    found = detect.indicators_to_findings(dedup.dedup_first(told, ["kind", "value", "source_file"], ["rule"]))
+    return detect.kept_iocs(of(R.IOC_RULES)), told, found
+
+
 _BY_RULE = "SELECT rule, kind, severity, count(*) AS n, count(DISTINCT value) AS n_values, count(DISTINCT platform) AS n_platforms"
 
 
@@ -90,7 +100,7 @@ _UP = "k AS (SELECT kind, value, count(DISTINCT platform) AS np FROM f GROUP BY
 @query(f"WITH {sql.DOCS}, {_NET}, {_FIRST.replace('GROUP BY ALL', 'GROUP BY kind, value, source_file')}, {_UP.replace('GROUP BY ALL', 'GROUP BY kind, value')} SELECT platform, kind, CASE WHEN np >= 2 AND severity <> 'critical' THEN 'high' ELSE severity END AS severity, count(*) AS n FROM f JOIN k USING (kind, value) GROUP BY ALL")
 def ioc_cross_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Network and hash indicators, first of each, raised if several platforms have them."""
-    found = detect.ioc_network(evidence(spark, sf_dir)).unionByName(detect.ioc_hash(evidence(spark, sf_dir)))
+    found = detect.kept_iocs(detect.scan(evidence(spark, sf_dir), R.NETWORK + R.HASHES))
     first = dedup.dedup_first(found, ["kind", "value", "source_file"], ["rule"])
     return correlate.cross_platform_upgrade(first).groupBy("platform", "kind", "severity").agg(F.count("*").alias("n"))
 
@@ -308,7 +318,7 @@ def model_carry_forward(spark, sf_dir):
 
 @query("SELECT 'conv/' || conv_id AS session_id, role, count(*) AS n, min(turn) AS first_seq FROM conversations GROUP BY ALL")
 def autodetect_message_table(spark, sf_dir):
-    """A table with unknown column names read as turns."""
+    """A table with unknown column names read as turns."""
     found = transcripts.autodetect_message_table(load(spark, sf_dir, "conversations").select(F.concat(F.lit("conv/"), "conv_id").alias("conversation_id"), "turn", "role", F.col("text").alias("body")), "store", "conversations")
     return found.groupBy("session_id", "role").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
@@ -370,15 +380,16 @@ _COR = (
 @query(f"WITH {sql.WITH_PLANTED}, {sql.iocs()}, {_IND}, {_FIND}, {_COR} SELECT * FROM cor")
 def correlations(spark, sf_dir):
     """A5: indicators and severities that platforms share."""
-    found = correlate.correlations(iocs(spark, sf_dir, True), findings(spark, sf_dir))
+    i, _, f = scanned(spark, sf_dir)
+    found = correlate.correlations(i, f)
     return found.withColumn("platforms", F.array_join("platforms", ","))
 
 
 @query(f"WITH {sql.WITH_PLANTED}, {sql.iocs()}, s AS (SELECT kind, value, list_sort(list(DISTINCT platform)) AS p FROM iocs GROUP BY kind, value HAVING count(DISTINCT platform) >= 2), e AS (SELECT a.x AS src, b.x AS dst FROM s, unnest(p) a(x), unnest(p) b(x) WHERE a.x < b.x) SELECT DISTINCT src, dst FROM e")
 def platform_graph(spark, sf_dir):
     """Pairs of platforms that share an indicator."""
-    i = iocs(spark, sf_dir, True)
-    shared = correlate.correlations(i, findings(spark, sf_dir)).where(F.col("correlation") == "shared_indicator")
+    i, _, f = scanned(spark, sf_dir)
+    shared = correlate.correlations(i, f).where(F.col("correlation") == "shared_indicator")
     return correlate.platform_graph(shared, i)[1].select("src", "dst")
 
 
@@ -400,7 +411,7 @@ _ATL = f"atl AS (SELECT i.*, CASE WHEN kind = 'filepath' AND regexp_matches(valu
 
 @query(f"WITH {sql.WITH_PLANTED}, {sql.iocs()}, {_ATL} SELECT technique_id, count(*) AS n, {sql.label('max(' + sql.RANK + ')')} AS severity, string_agg(DISTINCT platform, ',' ORDER BY platform) AS platforms FROM atlas GROUP BY ALL")
 def atlas_summary(spark, sf_dir):
-    """ATLAS techniques of indicators."""
+    """ATLAS techniques of indicators."""
     found = mitre.atlas_summary(mitre.atlas_map_iocs(iocs(spark, sf_dir, True)))
     return found.select("technique_id", "n", "severity", F.array_join("platforms", ",").alias("platforms"))
 
@@ -426,8 +437,8 @@ _AW = " UNION ALL ".join(f"SELECT '{t}' AS attack_id, bool_or({sql.holds(_FTEXT,
 )
 def attack_map(spark, sf_dir):
     """ATT&CK techniques with counts."""
-    i = iocs(spark, sf_dir, True)
-    return mitre.attack_map(mitre.atlas_map_iocs(i), findings(spark, sf_dir), i).select("attack_id", "n")
+    i, _, f = scanned(spark, sf_dir)
+    return mitre.attack_map(mitre.atlas_map_iocs(i), f, i).select("attack_id", "n")
 
 
 _SW = " UNION ALL ".join(f"SELECT '{t}' AS stage, count(*) AS n FROM fnd WHERE {sql.holds(_FTEXT, w)}" for t, w in mitre.STAGE_WORDS)
@@ -439,15 +450,15 @@ _SW = " UNION ALL ".join(f"SELECT '{t}' AS stage, count(*) AS n FROM fnd WHERE {
 )
 def kill_chain(spark, sf_dir):
     """Kill-chain stages."""
-    i = iocs(spark, sf_dir, True)
-    return mitre.kill_chain(findings(spark, sf_dir), i, mitre.atlas_map_iocs(i)).select(F.col("no").cast("int").alias("no"), "stage", "detected", "n")
+    i, _, f = scanned(spark, sf_dir)
+    return mitre.kill_chain(f, i, mitre.atlas_map_iocs(i)).select(F.col("no").cast("int").alias("no"), "stage", "detected", "n")
 
 
 @query()
 def merge_attack(spark, sf_dir):
     """Techniques that only detectors name."""
-    i = iocs(spark, sf_dir, True)
-    return mitre.merge_attack(mitre.attack_map(mitre.atlas_map_iocs(i), findings(spark, sf_dir), i), indicators(spark, sf_dir))
+    i, told, f = scanned(spark, sf_dir)
+    return mitre.merge_attack(mitre.attack_map(mitre.atlas_map_iocs(i), f, i), told)
 
 
 def _risk4_sql() -> str:
@@ -471,14 +482,16 @@ def _risk4_sql() -> str:
 _BAND = "CASE WHEN score >= 90 THEN 'Critical' WHEN score >= 70 THEN 'High' WHEN score >= 40 THEN 'Medium' ELSE 'Low' END"
 
 
-def scores4(spark, sf_dir) -> DataFrame:
-    return risk.risk4(findings(spark, sf_dir), iocs(spark, sf_dir, True))
+def scores4(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(four-category scores, findings, iocs)."""
+    i, _, f = scanned(spark, sf_dir)
+    return risk.risk4(f, i), f, i
 
 
 @query(f"{_risk4_sql()} SELECT *, {_BAND} AS severity FROM r4")
 def risk4(spark, sf_dir):
     """Four-category score of each platform."""
-    return scores4(spark, sf_dir)
+    return scores4(spark, sf_dir)[0]
 
 
 @query(
@@ -488,7 +501,8 @@ def risk4(spark, sf_dir):
 )
 def risk_overall(spark, sf_dir):
     """Score of all platforms together."""
-    return risk.risk_overall(scores4(spark, sf_dir), findings(spark, sf_dir))
+    scores, f, _ = scores4(spark, sf_dir)
+    return risk.risk_overall(scores, f)
 
 
 def _advice_sql() -> str:
@@ -507,14 +521,14 @@ def _advice_sql() -> str:
 @query(_advice_sql())
 def recommendations4(spark, sf_dir):
     """T4: advice by tier."""
-    return risk.recommendations4(scores4(spark, sf_dir))
+    return risk.recommendations4(scores4(spark, sf_dir)[0])
 
 
 @query()
 def enhanced_basic(spark, sf_dir):
     """Eight categories from four."""
-    f, i = findings(spark, sf_dir), iocs(spark, sf_dir, True)
-    return risk.enhanced_basic(risk.risk_overall(risk.risk4(f, i), f), i, f)
+    scores, f, i = scores4(spark, sf_dir)
+    return risk.enhanced_basic(risk.risk_overall(scores, f), i, f)
 
 
 def _rules8_sql() -> str:
@@ -547,8 +561,8 @@ _I8 = (
 
 
 def indicators8(spark, sf_dir) -> DataFrame:
-    i = iocs(spark, sf_dir, True)
-    return risk.risk8_indicators(findings(spark, sf_dir)).unionByName(risk.risk8_ioc_indicators(i)).unionByName(risk.risk8_shared_cred(i))
+    i, _, f = scanned(spark, sf_dir)
+    return risk.risk8_indicators(f).unionByName(risk.risk8_ioc_indicators(i)).unionByName(risk.risk8_shared_cred(i))
 
 
 _SUM8 = ", ".join(f"round(least(sum(CASE WHEN category = '{c}' THEN weight ELSE 0 END), 12.5), 2) AS {c}" for c in risk.CATEGORIES)
@@ -568,8 +582,8 @@ def narratives8(spark, sf_dir):
 
 @query()
 def narratives_report(spark, sf_dir):
-    """Report narratives."""
-    return risk.narratives_report(findings(spark, sf_dir))
+    """Report narratives."""
+    return risk.narratives_report(*reversed(scanned(spark, sf_dir)[::2]))
 
 
 @query()
@@ -825,7 +839,7 @@ _KEY = "CASE WHEN length(k) > 12 THEN left(k, 6) || '...' || right(k, 4) ELSE le
     "UNION ALL SELECT platform, 'keys', coalesce(max(d.n), 0) FROM ev LEFT JOIN d USING (platform) GROUP BY platform"
 )
 def inventories(spark, sf_dir):
-    """Markdown histories, command histories and routes of all texts, counted by platform."""
+    """Markdown histories, command histories and routes of all texts, counted by platform."""
     e = evidence(spark, sf_dir, True)
     aider = inventory.aider_history(e).select("platform", (F.col("n_prompts") + F.col("n_sessions")).alias("n"), F.lit("headings").alias("kind"))
     cli = inventory.cli_history_summary(inventory.cli_history(e)).select("platform", F.col("n_lines").alias("n"), F.lit("lines").alias("kind"))
@@ -842,10 +856,14 @@ def chunk_text(spark, sf_dir):
 
 @query()
 def stix_objects(spark, sf_dir):
-    """STIX objects of indicators, findings and techniques."""
-    i = dedup.dedup_first(iocs(spark, sf_dir, True), ["kind", "value", "source_file"], ["rule"])
+    """STIX objects of indicators, findings and techniques; a finding refers to the indicators of its own value."""
+    i, seen, _ = scanned(spark, sf_dir)
+    i = dedup.dedup_first(i, ["kind", "value", "source_file"], ["rule"])
     atlas = mitre.atlas_map_iocs(i)
-    return sinks.stix_objects(i, findings(spark, sf_dir), atlas, mitre.coa_lookup(atlas.select("technique_id").distinct()))
+    first = dedup.dedup_first(seen, ["kind", "value", "source_file"], ["rule"])
+    told = detect.indicators_to_findings(first)
+    links = first.select(F.concat(F.lit("AI-"), F.left(F.sha2(F.concat_ws("|", "kind", "value", "source_file"), 256), F.lit(12))).alias("id"), "value").join(told.select("id"), "id", "left_semi")
+    return sinks.stix_objects(i, told, atlas, mitre.coa_lookup(atlas.select("technique_id").distinct()), links)
 
 
 _CT = sql.values(list(sinks.CASE_TYPES.items()), "kind, t")
@@ -871,4 +889,4 @@ def manifest_rows(spark, sf_dir):
     return sinks.manifest_rows(e, e).drop("modified_at")
 
 
-from gumshoe.plans import ingest  # noqa: E402, F401  registers its queries
+from gumshoe.plans import ingest, reports  # noqa: E402, F401  register their queries
