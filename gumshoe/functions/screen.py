@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
-from re import _constants as K
-from re import _parser
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:  # Python's own pattern parser isn't public; without it nothing is screened
+    from re import _constants as K
+    from re import _parser
+except ImportError:
+    K = _parser = None
+
 MOST_WORDS = 64
 
 
+@lru_cache(maxsize=1024)
 def needed_words(pattern: str) -> tuple[tuple[str, ...], bool]:
     """Strings of which each match of ``pattern`` holds at least one, and whether they are in lower case as the pattern ignores case.
 
@@ -21,10 +26,10 @@ def needed_words(pattern: str) -> tuple[tuple[str, ...], bool]:
     """
     try:
         tree = _parser.parse(pattern)
-    except re.error:
+        fold = bool(tree.state.flags & re.IGNORECASE)
+        words = _words(tree, fold)
+    except (re.error, AttributeError, TypeError, ValueError, IndexError):  # or it changed
         return (), False
-    fold = bool(tree.state.flags & re.IGNORECASE)
-    words = _words(tree, fold)
     return (tuple(sorted(words)) if len(words) <= MOST_WORDS else ()), fold
 
 

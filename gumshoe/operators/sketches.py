@@ -25,23 +25,25 @@ def heavy_hitters(df: DataFrame, column: str, most: int = 20, tracked: int = TRA
     Sketches of shares of the rows are combined, and what they hold as most frequent is counted
     exactly; only these few values are shuffled.  A value that the sketch doesn't track occurs at
     most ``floor`` times, and one it doesn't return at most as often as the last it returns.  If the
-    last of the exact list isn't above both, as with many values of like frequency, all are counted.
+    last of the exact list isn't above both, as with many values of like frequency, and there are other
+    values at all, all are counted.
     """
     rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("key"))
     parts = frequent_sketches(rows.withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(shares))), "key", ["_share"], tracked)
     wanted = min(4 * most, tracked)
-    merged = parts.agg(F.sum("rows").alias("rows"), F.call_function("approx_top_k_combine", F.col("frequent"), F.lit(tracked)).alias("s"))
-    total, found = merged.select("rows", F.call_function("approx_top_k_estimate", "s", F.lit(wanted))).first()
-    if not found:
-        return rows.groupBy("key").agg(F.count("*").alias("n"))
+    one = parts.groupBy(F.lit(0)).agg(F.sum("rows").alias("rows"), F.call_function("approx_top_k_combine", F.col("frequent"), F.lit(tracked)).alias("s"))
+    row = one.select("rows", F.call_function("approx_top_k_estimate", "s", F.lit(wanted))).first()
+    total, found = row or (0, [])
+    top = lambda counted: counted.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(most)
+    if not found:  # no rows, or none frequent enough to be held
+        return top(rows)
     names = [r["item"] for r in found]
     floor = 3.5 * total / (1 << max(3, (int(tracked / 0.75) - 1).bit_length()))
     unseen = max(floor, found[-1]["count"] if len(found) == wanted else 0)
-    top = lambda counted: counted.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(most)
-    best = top(rows.where(F.col("key").isin(names)))
-    last = best.agg(F.count("*").alias("k"), F.min("n").alias("n")).first()
-    certain = last["k"] == most and last["n"] > unseen or len(found) < wanted and last["n"] > floor
-    return best if certain else top(rows)
+    among = rows.where(F.col("key").isin(names))
+    counts = sorted((r["n"] for r in among.groupBy("key").agg(F.count("*").alias("n")).collect()), reverse=True)  # of ``wanted`` values at most
+    certain = sum(counts) == total or len(counts) >= most and counts[most - 1] > unseen
+    return top(among if certain else rows)
 
 
 def distinct_sketches(df: DataFrame, columns: dict[str, list[str]], by: list[str], lg_k: int = LG_K) -> DataFrame:

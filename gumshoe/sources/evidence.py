@@ -69,13 +69,13 @@ def skipped_files(spark: SparkSession, path: str, max_bytes: int = MAX_TEXT, glo
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt over all cores if the input has fewer files than cores, else ``df``.
+    """Rows dealt over all cores if the scan has fewer partitions than cores, else ``df``.
 
-    A file of one row group is read by one task, which then runs every pattern alone.  Inputs
-    of many files aren't shuffled.
+    A file of one row group is read by one task, which then runs every pattern alone.  Scans
+    of many partitions aren't shuffled.  Partitions are planned, not read or listed one by one.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_logs(spark: SparkSession, path: str, default_year: int = 2025) -> DataFrame:
