@@ -2,7 +2,8 @@
 
 The kernel compares strings by their common subsequences of three letters whose
 span is at most ``SPAN`` characters, each weighed ``DECAY ** span``, so an insult
-still matches with characters inserted, dropped or set apart.  Strings are the
+still matches with characters inserted, dropped or set apart.  The two ends of a word
+count as letters, and accented letters are letters of their own.  Strings are the
 words of a text, plus runs of single characters joined up (``l o s e r``); a
 text is the bag of its strings, its sentences' labels being the text's, and its
 margin is that of its most toxic string (multiple-instance SVM: each toxic
@@ -17,7 +18,8 @@ ships, and a word costs table look-ups instead of a dynamic program a landmark.
 
 Bounds of fitting: about ``TRAIN_ROWS`` texts, of whose distinct strings
 ``CANDIDATES`` toxic and ``NEGATIVES`` clean ones (and the commonest clean ones) are
-weighed, ``SWAPS`` hard clean strings joining in each round.  Scoring has no bounds.
+weighed; in each round every clean text's string that is taken for toxic joins in.
+Scoring has no bounds.
 
 Null and empty texts have the least margin; long words are fitted and scored in
 overlapping windows, so no part of a text is skipped; repeated rows score alike;
@@ -46,11 +48,16 @@ from gumshoe.llm.common import materialize, small
 from gumshoe.llm.labels import training_ids
 
 TRAIN_ROWS = 16_000
-LANDMARKS = 192
-DECAY, SPAN, LETTERS, WIDTH, STEP = 0.7, 5, 64, 24, 16
+LANDMARKS = 320
+DECAY, SPAN, LETTERS, WIDTH, STEP = 0.7, 5, 64, 26, 18
+START, END = "\x02", "\x03"
+#: Marks that are no part of a word at its ends.
+MARKS = ".,;:!?\"'()[]{}<>|#*%&"
 PAIRS = [(j, k) for j in range(1, SPAN - 1) for k in range(j + 1, SPAN)]
 FLOOR = -1.0
-CANDIDATES, NEGATIVES, SWAPS = 3000, 5000, 600
+CANDIDATES, NEGATIVES, REG = 3000, 5000, 1e-4
+#: Standard deviations above chance at which a word of toxic texts is kept in every round, and rounds.
+SURE, ROUNDS = 6.0, 5
 #: Words, and words whose norm is needed, held as arrays at once.
 WORDS_AT_ONCE, EXACT_AT_ONCE = 16_384, 2048
 TEXTS_AT_ONCE = 1024
@@ -62,18 +69,24 @@ _RUN = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 
 @cache
 def letter_classes() -> np.ndarray:
-    """Class of each code point below 65536: 0 is a gap, 1-26 letters less accents, above that other letters."""
+    """Class of each code point below 65536: 0 is a gap, 1-26 plain letters, above that accented and other letters, last the two ends of a word."""
     out = np.zeros(65536, np.uint8)
     for cp in range(33, 65536):
-        ch = chr(cp)
-        base = LOOKALIKES.get(ch) or unicodedata.normalize("NFKD", ch)[:1].lower()
-        if "a" <= base <= "z":
-            out[cp] = ord(base) - 96
-        elif ch.isalpha():
-            out[cp] = 27 + cp % 37
+        ch = LOOKALIKES.get(chr(cp), chr(cp)).lower()[:1]
+        plain = unicodedata.normalize("NFKC", ch)[:1]  # wide and mathematical letters are letters, accents stay
+        if "a" <= plain <= "z":
+            out[cp] = ord(plain) - 96
+        elif plain.isalpha():
+            out[cp] = 27 + ord(plain) % (LETTERS - 29)
+    out[ord(START)], out[ord(END)] = LETTERS - 2, LETTERS - 1
     return out
 
 
+def ended(words: list[str]) -> list[str]:
+    """Words between their end marks, which are letters to the kernel, so a word's first and last letters count as such."""
+    return [f"{START}{w}{END}" for w in words]
+
+
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(codes [n, WIDTH], word of each row): words longer than WIDTH give overlapping rows."""
     long = [n for n, w in enumerate(words) if len(w) > WIDTH]
@@ -127,12 +140,12 @@ class KernelModel:
         return max(FLOOR, self.bias)
 
     def margins(self, words: list[str]) -> np.ndarray:
-        """Margin of each word, at least ``floor``."""
+        """Margin of each word, with its end marks if they are to count, at least ``floor``."""
         out = np.full(len(words), self.floor)
         if not words:
             return out
-        by_size = np.fromiter(map(len, words), np.int64, len(words)) > 12
-        for pick, width in ((~by_size, 12), (by_size, WIDTH)):
+        by_size = np.fromiter(map(len, words), np.int64, len(words)) > 14
+        for pick, width in ((~by_size, 14), (by_size, WIDTH)):
             at = np.flatnonzero(pick)
             for s in range(0, len(at), WORDS_AT_ONCE):
                 some = at[s : s + WORDS_AT_ONCE]
@@ -159,6 +172,12 @@ def spaced_runs(text: str) -> list[str]:
     return ["".join(m[0].split()) for m in _RUN.finditer(text)]
 
 
+def bare(word: str) -> str:
+    """A word without marks at its ends, nor three or more dollars at its end."""
+    word = word.strip(MARKS)
+    return word.rstrip("$").rstrip(MARKS) if word.endswith("$$$") else word
+
+
 def text_margins(model: KernelModel, texts: pa.Array) -> np.ndarray:
     """Margin of each text: that of its most toxic string."""
     texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
@@ -166,13 +185,13 @@ def text_margins(model: KernelModel, texts: pa.Array) -> np.ndarray:
     starts = np.asarray(cut.offsets).astype(np.int64)
     coded = cut.flatten().dictionary_encode()
     index = np.asarray(coded.indices)
-    m = model.margins(coded.dictionary.to_pylist())[index] if len(index) else np.zeros(0)
+    m = model.margins(ended([bare(w) for w in coded.dictionary.to_pylist()]))[index] if len(index) else np.zeros(0)
     out = np.maximum.reduceat(np.append(m, model.floor), np.minimum(starts[:-1], len(m))) if len(texts) else np.zeros(0)
     out[starts[1:] == starts[:-1]] = model.floor
     for k in np.flatnonzero(np.asarray(pc.match_substring_regex(texts, _SPACED))):
         runs = spaced_runs(texts[int(k)].as_py())
         if runs:
-            out[k] = max(out[k], model.margins(runs).max())
+            out[k] = max(out[k], model.margins(ended(runs)).max())
     return out
 
 
@@ -197,10 +216,10 @@ def score(docs: DataFrame, model: KernelModel | float, text: str = "text", id_co
 
 
 def _strings(text: str | None) -> list[str]:
-    """Distinct strings of a text; one longer than WIDTH counts as its overlapping windows."""
+    """Distinct strings of a text between end marks; one longer than WIDTH counts as its overlapping windows."""
     t = (text or "").lower()
-    words = {w.strip(".,;:!?\"'()[]{}") for w in [*t.split(), *spaced_runs(t)]}
-    return sorted({w[a : a + WIDTH] for w in words for a in range(0, max(1, len(w) - WIDTH + STEP), STEP)} - {""})
+    words = ended(sorted({bare(w) for w in [*t.split(), *spaced_runs(t)]} - {""}))
+    return sorted({w[a : a + WIDTH] for w in words for a in range(0, max(1, len(w) - WIDTH + STEP), STEP)})
 
 
 def _matrix(words: list[str], columns: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -246,20 +265,27 @@ def _svm(z: np.ndarray, y: np.ndarray, weight: np.ndarray, reg: float = 1e-3) ->
     return theta
 
 
-def fit_words(positive: dict[str, float], negative: list[str]) -> KernelModel:
-    """Nyström SVM on weighted positive words and negative words, folded into one table."""
+def fit_words(positive: dict[str, float], easy: list[str], hard: dict[str, float]) -> KernelModel:
+    """Nyström SVM on positive words, any negative ones and those taken for positive before, folded into one table.
+
+    Words weigh by the texts they stand for; the hard ones, together, three times as much as the easy ones.
+    """
     plus = sorted(positive, key=lambda w: (-positive[w], w))
-    marks = _landmarks(plus, LANDMARKS * 2 // 3) + _landmarks(negative[:1500], LANDMARKS // 3)
+    worst = sorted(hard, key=lambda w: (-hard[w], w))
+    minus = worst + [w for w in easy if w not in hard]
+    marks = _landmarks(plus, LANDMARKS // 2) + _landmarks(minus[len(worst) :] or minus, LANDMARKS // 4)
+    marks = list(dict.fromkeys([*worst[: LANDMARKS // 4], *marks]))
     l, columns = _matrix(marks)
     l = l.astype(np.float64)
     values, vectors = np.linalg.eigh(l @ l.T + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-9)) @ vectors.T
-    x, _ = _matrix(plus + negative, columns)
+    x, _ = _matrix(plus + minus, columns)
     z = (x @ l.T.astype(np.float32)).astype(np.float64) @ root
-    y = np.array([1.0] * len(plus) + [-1.0] * len(negative))
-    p = np.array([positive[w] for w in plus])
-    weight = np.concatenate([np.sqrt(p) / np.sqrt(p).sum(), np.full(len(negative), 2.0 / len(negative))])
-    theta = _svm(z, y, weight)
+    y = np.array([1.0] * len(plus) + [-1.0] * len(minus))
+    p, h = np.sqrt([positive[w] for w in plus]), np.array([hard[w] for w in worst])
+    rest = len(minus) - len(worst)
+    weight = np.concatenate([p / p.sum(), 1.5 * h / max(h.sum(), 1.0), np.full(rest, 0.5 / max(rest, 1))])
+    theta = _svm(z, y, weight, REG)
     table = np.zeros(LETTERS**3, np.float32)
     table[columns] = l.T @ (root @ theta[:-1])
     return KernelModel(table, float(theta[-1]))
@@ -318,20 +344,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
     best = counts.where((F.col("n1") >= 2) & (F.col("n0") * ratio * 4 < F.col("n1"))).select("word", score.alias("gain"), "n1", "n0")
     best = best.orderBy(F.desc("gain"), "word").limit(CANDIDATES).toPandas()
     clean = counts.where(F.col("n1") * 2 <= F.col("n0") * ratio * 3 + 1).where("n0 > 0")
-    negative = [r[0] for r in clean.orderBy(F.desc("n0"), "word").limit(NEGATIVES // 4).select("word").collect()]
-    negative += [r[0] for r in clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES).select("word").collect()]
+    easy = {r[0]: None for part in (clean.orderBy(F.desc("n0"), "word").limit(NEGATIVES // 4), clean.orderBy(F.xxhash64("word"), "word").limit(NEGATIVES)) for r in part.select("word").collect()}
     if best.empty:
         return share[1] / (share[0] + share[1])
     named = docs.sparkSession.createDataFrame([(w,) for w in best["word"]], "word string")
     pairs = bags.where("label = 1").select("doc_id", F.explode("words").alias("word")).join(F.broadcast(named), "word").toPandas()
     gain = {w: g / n1 for w, g, n1 in zip(best["word"], best["gain"], best["n1"])}
-    positive = _cover(pairs, gain)
-    bad, model = list(dict.fromkeys(negative)), None
-    for _ in range(3):
-        bad = [w for w in bad if w not in positive]
-        if not bad:
+    # Words far more frequent in toxic texts than chance allows, then those that explain the remaining texts.
+    expected = (best["n1"] + best["n0"]) * share[1] / (share[0] + share[1])
+    sure = best[(best["n1"] - expected) > SURE * np.sqrt(expected)]
+    positive = _cover(pairs, gain) | {w: float(n) for w, n in zip(sure["word"], sure["n1"])}
+    certain, hard, model = set(sure["word"]), {}, None
+    for _ in range(ROUNDS):
+        hard = {w: n for w, n in hard.items() if w not in positive}
+        rest = [w for w in easy if w not in positive]
+        if not rest:
             return share[1] / (share[0] + share[1])
-        model = fit_words(positive, bad)
+        model = fit_words(positive, rest, hard)
 
         def top(batches: Iterator[pa.RecordBatch], m=model) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -340,12 +369,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 3
 
         # A row per text of the bounded sample.
         witness = bags.select("label", "words").mapInArrow(top, "label int, word string, margin double").toPandas()
-        hard = witness[(witness["label"] == 0) & (witness["margin"] > -0.6)].sort_values(["margin", "word"], ascending=False)
-        bad = list(dict.fromkeys([*bad, *hard["word"].tolist()[: SWAPS * 2]]))
+        taken = witness[(witness["label"] == 0) & (witness["margin"] > -0.6)]
+        for w, n in Counter(taken["word"]).items():
+            hard[w] = max(hard.get(w, 0.0), float(n))
         chosen = Counter(witness.loc[(witness["label"] == 1) & (witness["margin"] > -0.5), "word"])
         for w, n in chosen.items():
             positive[w] = max(positive.get(w, 0.0), float(n))
-        positive = {w: n for w, n in positive.items() if w in chosen} or positive
+        positive = {w: n for w, n in positive.items() if w in chosen or w in certain} or positive
     slope, offset = _platt(witness["margin"].to_numpy(), witness["label"].to_numpy())
     return KernelModel(model.table, model.bias, slope, offset)
 

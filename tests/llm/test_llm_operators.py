@@ -710,8 +710,8 @@ def test_whole_text_margins_equal_direct_kernels(words):
         model = toxicity.KernelModel(table, bias)
         got = toxicity.text_margins(model, pa.array(texts, pa.string()))
         for t, m in zip(texts, got):
-            cut = [w[a : a + toxicity.WIDTH] for w in (t or "").split() for a in range(0, max(1, len(w) - toxicity.WIDTH + toxicity.STEP), toxicity.STEP)]
-            every = [max(bias, -1.0)] + [kernel(w, strings[0]) + kernel(w, strings[1]) + bias for w in [*cut, *toxicity.spaced_runs(t or "")]]
+            cut = [w[a : a + toxicity.WIDTH] for w in toxicity.ended([toxicity.bare(x) for x in (t or "").split()]) for a in range(0, max(1, len(w) - toxicity.WIDTH + toxicity.STEP), toxicity.STEP)]
+            every = [max(bias, -1.0)] + [kernel(w, strings[0]) + kernel(w, strings[1]) + bias for w in [*cut, *toxicity.ended(toxicity.spaced_runs(t or ""))]]
             assert m == pytest.approx(max(every), abs=1e-5), t
 
 
