@@ -31,7 +31,7 @@ def heavy_hitters(df: DataFrame, column: str, most: int = 20, tracked: int = TRA
     rows = df.where(F.col(column).isNotNull()).select(F.col(column).alias("key"))
     parts = frequent_sketches(rows.withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(shares))), "key", ["_share"], tracked)
     wanted = min(4 * most, tracked)
-    one = parts.groupBy(F.lit(0)).agg(F.sum("rows").alias("rows"), F.call_function("approx_top_k_combine", F.col("frequent"), F.lit(tracked)).alias("s"))
+    one = parts.withColumn("_one", F.lit(0)).groupBy("_one").agg(F.sum("rows").alias("rows"), F.call_function("approx_top_k_combine", F.col("frequent"), F.lit(tracked)).alias("s"))
     row = one.select("rows", F.call_function("approx_top_k_estimate", "s", F.lit(wanted))).first()
     total, found = row or (0, [])
     top = lambda counted: counted.groupBy("key").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(most)
