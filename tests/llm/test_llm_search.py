@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gumshoe.llm import negatives, queries, spelling, topk, vectors
+from gumshoe.llm import negatives, queries, range_join, spelling, topk, vectors
 
 VEC = "vec_id long, embedding array<double>, label int, id long, z string, slot int, n string, own string"
 
@@ -203,3 +203,38 @@ def test_registered_queries_equal_brute_force_on_their_tables(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     found = queries.op11_spelling(spark, sf)
     assert sorted(map(tuple, found.collect()), key=str) == sorted(brute_groups([tuple(d) for d in docs]), key=str)
+
+
+# --- op 7 ----------------------------------------------------------------------------------------------------------
+
+
+def test_range_join_of_the_test_table_uses_cells(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    n = rows.count()
+    cells = range_join.cell_report(rows).collect()  # as the registered query calls it
+    assert len(cells) >= range_join.LEAST_PIVOTS
+    assert sum(c.core for c in cells) == n and sum(c.sent for c in cells) > 0  # boundaries are replicated
+    compared = sum(c.pairs for c in cells)
+    print(f"pairs compared {compared} of {n * (n - 1) // 2}")
+    assert compared <= n * (n - 1) // 2
+    x = np.array([r.embedding for r in rows.orderBy("vec_id").collect()], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r.vec_id: r.n_links for r in queries.op7_range_join(spark, "/root/testdata/sf0.01").collect()}
+    assert got == dict(enumerate(near.sum(1).tolist()))
+
+
+def test_range_join_prunes_clustered_vectors(spark):
+    r = np.random.default_rng(3)
+    centres = r.standard_normal((40, 16))
+    x = centres[r.integers(40, size=1500)] + 0.05 * r.standard_normal((1500, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    cells = range_join.cell_report(df).collect()
+    assert len(cells) > range_join.LEAST_PIVOTS and sum(c.pairs for c in cells) < 0.1 * 1500 * 1499 / 2
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert {r.vec_id: r.n_links for r in range_join.range_join(df).collect()} == dict(enumerate(near.sum(1).tolist()))
+    with pytest.raises(ValueError, match="whole numbers"):
+        range_join.range_join(df.withColumn("vec_id", F.col("vec_id").cast("string")))
