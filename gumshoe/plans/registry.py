@@ -179,8 +179,7 @@ def secret_scan(spark, sf_dir):
 @query(f"WITH {sql.DOCS}, m AS (SELECT source_file, unnest(regexp_extract_all(content, {sql.lit(R.NETWORK[0].pattern)})) AS value FROM ev) SELECT source_file, value, count(*) AS n FROM m GROUP BY ALL")
 def match_offsets(spark, sf_dir):
     """matches with positions, each checked against the text it came from."""
-    docs = evidence(spark, sf_dir)
-    found = detect.scan(docs, R.NETWORK[:1], positions=True).join(docs.select("source_file", "content"), "source_file")
+    found = detect.scan(evidence(spark, sf_dir), R.NETWORK[:1], id_cols=("source_file", "content"), positions=True)
     exact = F.substring(F.col("content"), F.col("start") + 1, F.col("end") - F.col("start")) == F.col("value")
     return found.where(exact & F.contains("context", F.col("value"))).groupBy("source_file", "value").agg(F.count("*").alias("n"))
 
