@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gumshoe.llm.common import materialize
-from gumshoe.llm.vectors import dealt, exact, first_per, integer_rows, parts, products
+from gumshoe.llm.vectors import HELD, dealt, exact, first_per, integer_rows, parts, products
 
 LEVELS = 4
 PLANES = 8
@@ -105,7 +105,7 @@ def intervals(q: np.ndarray, codes: np.ndarray, aligns: np.ndarray, rest: np.nda
     off += rest * np.sqrt(np.maximum(0.0, (length * length)[:, None] - last * last))
     whole = np.sqrt((aligns * aligns).sum(axis=1) + rest * rest)
     off += 1e-9 * (length[:, None] * whole + 1)  # rounding
-    return middle - off, middle + off
+    return np.clip(middle - off, -HELD, HELD), np.clip(middle + off, -HELD, HELD)
 
 
 def _coded(batches):

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gumshoe.llm.common import materialize
-from gumshoe.llm.vectors import dealt, exact, first_per, integer_rows, parts, products, same_ids
+from gumshoe.llm.vectors import HELD, dealt, exact, first_per, integer_rows, parts, products, same_ids
 
 SLICES = 4
 #: Queries whose local scores against a chunk are held at once.
@@ -95,7 +95,7 @@ def _collect(k: int, slices: int):
     def run(table: pa.Table) -> pa.Table:
         asked, q, told, c = parts(table)
         ids, whole = told["id"].to_numpy(), exact(q, c)
-        cut = asked["cut"].to_numpy()
+        cut = np.minimum(asked["cut"].to_numpy(), HELD)
         if not whole:
             cut = cut - 1e-9 * np.abs(cut) - 1e-12 * q.shape[1] * float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0))
         out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 4]

@@ -15,6 +15,8 @@ SCALE = 256
 CHUNK_VALUES = 1 << 18
 #: Floats hold all integers up to this.
 EXACT = float(1 << 53)
+#: Bounds beyond this are held at it, so that they don't part scores that are held at the limits of a long.
+HELD = 9e18
 _INTEGERS = ("tinyint", "smallint", "int", "bigint")
 
 

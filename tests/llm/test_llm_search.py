@@ -123,16 +123,20 @@ def plain(df, labelled=False):
     return [(r.vec_id, tuple(int(np.floor(256 * x)) for x in r.embedding), r.label) for r in df.collect() if r.vec_id is not None and ok(r.embedding) and not (labelled and r.label is None)]
 
 
+def held(x):
+    return max(-(2**63), min(2**63 - 1, x))
+
+
 def brute_top(rows, k, every):
     out = []
     for q, a, _ in dict.fromkeys((i, z, 0) for i, z, _ in rows if i % every == 0):
-        scored = sorted((-sum(x * y for x, y in zip(a, z)), i) for i, z, _ in rows if i != q and len(z) == len(a))
+        scored = sorted((-held(sum(x * y for x, y in zip(a, z))), i) for i, z, _ in rows if i != q and len(z) == len(a))
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
 def brute_negatives(rows, k, every):
-    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    dot = lambda a, b: held(sum(x * y for x, y in zip(a, b)))
     out = []
     for q, a, label in dict.fromkeys(r for r in rows if r[0] % every == 0):
         others = [(-dot(a, z), i, m) for i, z, m in rows if i != q and len(z) == len(a)]
@@ -142,7 +146,7 @@ def brute_negatives(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("seed", "grid", "scale"), [(1, 3, 1.0), (2, None, 1.0), (3, None, 1e9), (4, 1, 1.0)])
+@pytest.mark.parametrize(("seed", "grid", "scale"), [(1, 3, 1.0), (2, None, 1.0), (3, None, 1e6), (5, None, 1e9), (4, 1, 1.0)])
 def test_top_k_equals_brute_force(spark, monkeypatch, seed, grid, scale):
     monkeypatch.setattr(vectors, "CHUNK_VALUES", 1)  # groups of 256 rows
     df = vector_frame(spark, seed, grid=grid)
@@ -154,7 +158,7 @@ def test_top_k_equals_brute_force(spark, monkeypatch, seed, grid, scale):
 
 
 def test_top_k_of_few_rows_and_of_none(spark):
-    df = vector_frame(spark, 9, rows=3).where("vec_id < 10")
+    df = vector_frame(spark, 9).where("vec_id < 3")
     assert sorted(map(tuple, topk.exact_top_k(df, df, 5).collect())) == brute_top(plain(df), 5, 1)
     assert topk.exact_top_k(df.where("false"), df.where("false")).collect() == []
     assert negatives.hard_negatives(df.where("false"), df.where("false")).collect() == []
@@ -170,13 +174,15 @@ def test_phases_prune_and_lose_no_row():
     i, j = topk.reaching(q, c, cut, topk.SLICES)
     reached = set(zip(i.tolist(), j.tolist()))
     assert set(zip(*(x.tolist() for x in np.nonzero(score >= cut[:, None])))) <= reached
-    assert len(reached) < 0.2 * score.size
+    assert len(reached) < 0.5 * score.size
 
 
-@pytest.mark.parametrize(("seed", "grid"), [(1, 3), (2, None), (4, 1)])
-def test_hard_negatives_equal_brute_force(spark, monkeypatch, seed, grid):
+@pytest.mark.parametrize(("seed", "grid", "scale"), [(1, 3, 1.0), (2, None, 1.0), (4, 1, 1.0), (3, None, 1e6), (5, None, 1e9)])
+def test_hard_negatives_equal_brute_force(spark, monkeypatch, seed, grid, scale):
     monkeypatch.setattr(vectors, "CHUNK_VALUES", 1)
     df = vector_frame(spark, seed, grid=grid)
+    if scale != 1.0:
+        df = df.withColumn("embedding", F.transform("embedding", lambda x: x * scale))
     found = negatives.hard_negatives(df, df.where("vec_id % 20 = 0"))
     assert sorted(map(tuple, found.collect())) == brute_negatives(plain(df, True), 5, 20)
 
