@@ -34,6 +34,8 @@ from gumshoe.llm.common import connected_components, discard, materialize, small
 FANOUT = 16
 FRONTIER = 2_000_000
 LEAST_CHUNK = 1024
+#: Most rows of a bucket's chunk, however large the input; more rows make more chunks.
+MOST_CHUNK = 1 << 19
 SHINGLES_AT_ONCE = 262_144
 
 
@@ -161,7 +163,7 @@ def _by_bucket(dealt: DataFrame, total: int, keep: tuple[str, ...]) -> DataFrame
     """Rows (block, key, ``keep``) of buckets of two or more, large ones in chunk pairs, sorted by bucket in their partitions."""
     sizes = dealt.groupBy("block", "key").count().where("count > 1")
     parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunk = max(LEAST_CHUNK, total // max(1, parts))
+    chunk = min(MOST_CHUNK, max(LEAST_CHUNK, total // max(1, parts)))
     rows = (
         dealt.join(sizes, ["block", "key"])
         .withColumn("n", F.ceil(F.col("count") / chunk).cast("int"))
