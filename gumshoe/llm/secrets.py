@@ -6,8 +6,9 @@ that stand in a credential context (``password is ...``, ``pwd: ...``,
 dictionary words, dates, repeats, keyboard walks, sequences and brute-force
 spans so that the summed log-cost is least, and values whose least cost reaches
 ``MIN_LOG10`` are reported as kind ``password``.  Whole values are weighed, in
-time linear in their length: repeats, walks and sequences are taken as maximal
-runs, and the cut ends once every way on already costs enough.
+time linear in their length: repeats (of units of any length), walks and sequences
+are taken as maximal runs, units that alone cost enough are left out, and the cut
+ends once every way on already costs enough.
 
 Null text counts as empty; offsets are code points, ends exclusive; texts of any
 length are scanned whole; repeated rows give equal results; an empty table gives
@@ -81,10 +82,15 @@ def _alphabet(span: str) -> int:
     return max(1, 10 * any(c.isdigit() for c in span) + 26 * any("a" <= c <= "z" for c in span) + 26 * any("A" <= c <= "Z" for c in span) + 33 * any(not c.isalnum() for c in span))
 
 
-def _runs(text: str) -> Iterator[tuple[int, int, str, float]]:
-    """(start, end, kind, log10 guesses) of every maximal repeat, keyboard walk and sequence."""
+def _runs(text: str, enough: float = math.inf) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, kind, log10 guesses) of every maximal repeat, keyboard walk and sequence.
+
+    Units of repeats may have any length; those that alone cost ``enough`` are left out, as no cut
+    with one of them costs less.
+    """
     n, brute = len(text), math.log10(max(10, _alphabet(text)))
-    for size in (1, 2, 3, 4):  # text[i] == text[i - size] over a whole run repeats its first ``size`` letters
+    longest = n // 2 if math.isinf(enough) else min(n // 2, int(enough / brute) + 1)
+    for size in range(1, max(1, longest) + 1):  # text[i] == text[i - size] over a whole run repeats its first ``size`` letters
         a = 0
         for i in range(size, n + 1):
             if i < n and text[i] == text[i - size]:
@@ -131,7 +137,9 @@ PATTERN = 0.3
 def guess_cost(value: str, enough: float = math.inf) -> tuple[float, tuple[tuple[str, int, int], ...]]:
     """(log10 guesses, segments) of the cheapest cut of ``value``.
 
-    Once every cut costs at least ``enough``, that least cost so far is returned without segments.
+    Once every cut costs at least ``enough``, that least cost so far is returned without segments;
+    a cost of at least ``enough`` may exceed the least one.  Without ``enough`` repeats of every
+    length are looked for, in time quadratic in the value's length.
     """
     n, brute = len(value), math.log10(max(10, _alphabet(value)))
     best: list[float] = [0.0] + [math.inf] * n
@@ -140,7 +148,7 @@ def guess_cost(value: str, enough: float = math.inf) -> tuple[float, tuple[tuple
     if len(low) != n:  # a few letters grow when lowered
         low = "".join(c.lower()[:1] for c in value).translate(LEET)
     runs: dict[int, list[tuple[int, str, float]]] = {}
-    for a, b, kind, cost in _runs(value):
+    for a, b, kind, cost in _runs(value, enough):
         runs.setdefault(a, []).append((b, kind, cost))
     for i in range(n):
         here = best[i]

@@ -9,6 +9,7 @@ import random
 import re
 import unicodedata
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -301,10 +302,11 @@ def brute_guess_cost(value):
                 parts.append((a, b, math.log10(188 * (b - a))))
             if b - a >= 3 and maximal(step):
                 parts.append((a, b, math.log10(26 * (b - a))))
-            for w in (1, 2, 3, 4):
+            for w in range(1, n // 2 + 1 if n > 1 else 2):
                 if b - a >= w and maximal(lambda x, y: y - x >= w and value[x + w : y] == value[x : y - w]) and (times := (b - a) // w) >= (3 if w == 1 else 2):
                     parts.append((a, a + times * w, math.log10(times) + (math.log10(max(1, size(value[a]))) if w == 1 else w * brute)))
 
+    @lru_cache(maxsize=None)
     def least(at):
         if at == n:
             return 0.0
@@ -316,8 +318,9 @@ def brute_guess_cost(value):
 def test_guess_cost_is_the_least_of_all_cuts():
     r = random.Random(12)
     bits = ["pass", "p4ss", "word", "Dragon", "abab", "xyzxyz", "1999", "0412", "qwer", "dsa", "aaa", "cba", "123", "7", "!", "zQ", "love", "l0ve", "the"]
-    for _ in range(300):
-        value = "".join(r.choices(bits, k=r.randint(1, 3)))[:10]
+    repeats = ["58213", "x7Kq9", "402917", "jvbqk", "90817263"]
+    values = ["".join(r.choices(bits, k=r.randint(1, 3)))[:10] for _ in range(300)] + [(u * 3)[: 2 * len(u) + k] for u in repeats for k in (-1, 0, 1)]
+    for value in values:
         total, segments = secrets.guess_cost(value)
         assert total == pytest.approx(brute_guess_cost(value)), value
         assert "".join(value[a:b] for _, a, b in segments) == value
@@ -325,6 +328,13 @@ def test_guess_cost_is_the_least_of_all_cuts():
             assert secrets.hard_to_guess(value, least) == (total >= least)
 
 
+def test_repeats_of_long_units_are_found():
+    for unit in ("x7Kq9", "jvbqkzw", "4029171"):
+        total, segments = secrets.guess_cost(unit * 3)
+        assert ("repeat", 0, 3 * len(unit)) in segments and total < secrets.guess_cost(unit + unit[::-1] + unit)[0]
+    assert not secrets.hard_to_guess("5831358313" * 40, 12.0)
+
+
 def test_long_values_are_weighed_whole():
     tail = "".join(random.Random(4).choices("abcdefghXYZ0123456789", k=30))
     assert secrets.hard_to_guess("a" * 5000 + tail, 8.0) and not secrets.hard_to_guess("a" * 200_000, 8.0) and not secrets.hard_to_guess("password" + "ab" * 50_000, 12.0)
