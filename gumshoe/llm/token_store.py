@@ -16,9 +16,11 @@ bits of every id less the minimum (bit-packed, little-endian), then the
 exceptions' places (u16) and high parts (u32).  The width is that which holds
 the ``PERCENTILE`` lowest values, so a few large ids don't widen a block.
 
+Texts are encoded where they lie and written once as ids of two (or four) bytes;
+only ids are shuffled, and the sample that sets the ranges reads keys, not texts.
 Documents are range-partitioned by id, then by a hash of the text and a number
 from the scan, so one hot or missing id spreads over ranges; (part, group) in the
-headers gives the order over all files.  A range of about ``RANGE_BYTES`` of text
+headers gives the order over all files.  A range of about ``RANGE_BYTES`` of ids
 is a file, and a group is closed at ``GROUP_TOKENS`` tokens (or one document), so
 tasks hold a group at a time.  A group is one value of Spark's text sink, whose
 commit protocol makes the write safe when an executor is lost.  Starts come from
@@ -41,14 +43,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gumshoe.llm.common import materialize, new_path, small
+from gumshoe.llm.common import discard, materialize, new_path, small
 from gumshoe.llm.tokenize import codec, with_end
 
 BLOCK = 1024
 PERCENTILE = 90
 END = "\nPFE\n"
-#: More text a range let an executor of 3 GB run out of memory.
-RANGE_BYTES = 16 << 20
+#: Of ids at two bytes each, which stand for some two to four bytes of text.
+RANGE_BYTES = 64 << 20
 GROUP_TOKENS = 2 << 20
 ROWS_AT_ONCE = 6000
 _HEAD = struct.Struct("<4sIQIIQQQ")
@@ -123,7 +125,7 @@ class Group:
         return np.concatenate(got)[start - first * BLOCK : stop - first * BLOCK]
 
 
-def groups(raw: bytes) -> Iterator[Group]:
+def groups(raw: bytes | pa.Buffer) -> Iterator[Group]:
     """The groups of a file."""
     view, at = memoryview(raw), 0
     while at < len(view):
@@ -137,12 +139,23 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
         raise TypeError(f"{id_col} isn't an integer column")
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    total = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    keyed = source.select("doc_id", F.xxhash64("text").alias("by_text"), F.xxhash64(F.monotonically_increasing_id()).alias("by_place"), "text")
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                some = batch.slice(at, ROWS_AT_ONCE)
+                ids, offsets = with_end(*codec(vocabulary).encode(some.column(3)), end_id)
+                raw, ends = pa.py_buffer(ids), pa.py_buffer((offsets * ids.itemsize).astype("<i8"))
+                packed = pa.Array.from_buffers(pa.large_binary(), len(some), [None, ends, raw]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(np.diff(offsets)), packed], names=["doc_id", "by_text", "by_place", "n", "ids"])
+
+    coded = materialize(keyed.mapInArrow(encoded, "doc_id long, by_text long, by_place long, n long, ids binary"), "token-ids")
+    total = 2 * (coded.agg(F.sum("n")).first()[0] or 0)
     # Files follow from RANGE_BYTES; a small corpus has a dozen of a megabyte or more, so that it keeps a dozen cores busy.
     ranges = max(1, -(-total // RANGE_BYTES), min(12, total >> 20))
     order = ["doc_id", "by_text", "by_place"]
-    keyed = source.withColumn("by_text", F.xxhash64("text")).withColumn("by_place", F.xxhash64(F.monotonically_increasing_id()))
-    ordered = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    ordered = coded.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "n", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, held, tokens = TaskContext.get().partitionId(), 0, [], 0
@@ -154,10 +167,10 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 some = batch.slice(at, ROWS_AT_ONCE)
-                ids, offsets = with_end(*codec(vocabulary).encode(some.column(1)), end_id)
-                nulls = np.asarray(some.column(0).is_null())
-                held.append((some.column(0).fill_null(0).to_numpy(), nulls, np.diff(offsets), ids))
-                tokens += len(ids)
+                lengths = np.asarray(some.column(1))
+                raw = b"".join(some.column(2).to_pylist())
+                held.append((some.column(0).fill_null(0).to_numpy(), np.asarray(some.column(0).is_null()), lengths, np.frombuffer(raw, f"<u{len(raw) // int(lengths.sum())}")))
+                tokens += int(lengths.sum())
                 if tokens >= GROUP_TOKENS:
                     yield group()
                     number, held, tokens = number + 1, [], 0
@@ -166,6 +179,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
 
     written = ordered.mapInArrow(run, "group binary")
     written.select(F.col("group").cast("string").alias("value")).write.option("lineSep", END).text(path)
+    discard(coded)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -174,7 +188,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                for g in groups(raw.as_py()):
+                for g in groups(raw.as_buffer()):
                     ends = np.cumsum(g.lengths, dtype=np.int64)
                     wide = memoryview(g.ids().astype("<u4").tobytes())
                     crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), g.lengths.tolist())]
