@@ -169,4 +169,4 @@ def quality_table(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
 def filter_quality(docs: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that the cascade keeps, with their columns."""
     order = order_rules(docs, text)
-    return docs.where(verdict(F.coalesce(F.col(text), F.lit("")), measures(F.col(text)), order).isNull())
+    return docs.where(let(measures(F.col(text)), lambda m: verdict(F.coalesce(F.col(text), F.lit("")), m, order).isNull()))
