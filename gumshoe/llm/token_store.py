@@ -45,6 +45,7 @@ from pyspark.sql import functions as F
 
 from gumshoe.llm.common import discard, materialize, new_path, small
 from gumshoe.llm.tokenize import codec, with_end
+from gumshoe.sources.evidence import spread
 
 BLOCK = 1024
 PERCENTILE = 90
@@ -138,7 +139,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text:
     """Tokenize ``docs`` and write token files below ``path``, in ascending id order of files and rows."""
     if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
         raise TypeError(f"{id_col} isn't an integer column")
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    source = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     keyed = source.select("doc_id", F.xxhash64("text").alias("by_text"), F.xxhash64(F.monotonically_increasing_id()).alias("by_place"), "text")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
