@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 CACHE_UNITS = 600_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = f"^(?P<lead>\\n?)(?P<word>[{LETTERS}]+)(?P<mark>[.,!?;:]?)$"
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 4 << 20
 _OPEN: dict[str, "UnitCodec"] = {}
 
 
