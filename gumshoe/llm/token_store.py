@@ -2,7 +2,7 @@
 
 A file holds a run of documents in ascending id order as a row of groups::
 
-    "PFOR" | version u32 | bytes u64 | part u32 | group u32
+    "PFOR" | version u16 | mask u16 | bytes u64 | part u32 | group u32
            | documents u64 | tokens u64 | blocks u64                        header, 48 bytes
     document ids        i64 * documents
     null marks          u8 * documents    1 where the document has no id
@@ -11,6 +11,10 @@ A file holds a run of documents in ascending id order as a row of groups::
     blocks              each BLOCK ids but the last
     "\\nPFE\\n"                             end mark, written by Spark's text sink as its line end
 
+All after the header's first 8 bytes is XORed with its mask, the least byte with
+which no end mark arises inside the group, so Spark's text source reads groups
+one by one, in as many tasks as a file has splits.
+
 A block is ``minimum u32 | width u8 | exceptions u16 | pad u8``, the low ``width``
 bits of every id less the minimum (bit-packed, little-endian), then the
 exceptions' places (u16) and high parts (u32).  The width is that which holds
@@ -47,11 +51,11 @@ from gumshoe.llm.tokenize import codec, with_end
 BLOCK = 1024
 PERCENTILE = 90
 END = "\nPFE\n"
-#: More text a range let an executor of 3 GB run out of memory.
-RANGE_BYTES = 16 << 20
+RANGE_BYTES = 128 << 20
 GROUP_TOKENS = 2 << 20
 ROWS_AT_ONCE = 6000
-_HEAD = struct.Struct("<4sIQIIQQQ")
+_HEAD = struct.Struct("<4sHHQIIQQQ")
+_CLEAR = 8
 _BLOCK = struct.Struct("<IBHB")
 
 
@@ -95,16 +99,27 @@ def encode_group(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, id
     blocks = [encode_block(ids[a : a + BLOCK]) for a in range(0, len(ids), BLOCK)]
     starts = np.cumsum([0, *map(len, blocks)])[:-1]
     body = b"".join([doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), lengths.astype("<u4").tobytes(), starts.astype("<u8").tobytes(), *blocks])
-    return _HEAD.pack(b"PFOR", 2, _HEAD.size + len(body), part, group, len(doc_ids), len(ids), len(blocks)) + body
+    for mask in range(256):
+        raw = bytearray(_HEAD.pack(b"PFOR", 3, mask, _HEAD.size + len(body), part, group, len(doc_ids), len(ids), len(blocks)) + body)
+        if mask:
+            np.frombuffer(raw, np.uint8)[_CLEAR:] ^= mask
+        if (raw + END.encode()).find(END.encode()) == len(raw):
+            return bytes(raw)
+    raise ValueError("every mask leaves an end mark inside a group: write smaller groups")
 
 
 class Group:
-    """One group of a token file, read in place: only blocks that are asked for are decoded."""
+    """One group of a token file: only blocks that are asked for are decoded."""
 
     def __init__(self, raw: memoryview):
-        kind, version, self.bytes, self.part, self.group, docs, self.tokens, blocks = _HEAD.unpack_from(raw)
-        if kind != b"PFOR" or version != 2:
+        kind, version, mask = struct.unpack_from("<4sHH", raw)
+        if kind != b"PFOR" or version != 3:
             raise ValueError("not a token file")
+        if mask:
+            plain = np.frombuffer(raw, np.uint8).copy()
+            plain[_CLEAR:] ^= mask
+            raw = memoryview(plain)
+        self.bytes, self.part, self.group, docs, self.tokens, blocks = _HEAD.unpack_from(raw)[3:]
         at = _HEAD.size
         self.doc_ids = np.frombuffer(raw, "<i8", docs, at)
         self.nulls = np.frombuffer(raw, np.uint8, docs, at + 8 * docs).astype(bool)
@@ -125,11 +140,8 @@ class Group:
 
 def groups(raw: bytes) -> Iterator[Group]:
     """The groups of a file."""
-    view, at = memoryview(raw), 0
-    while at < len(view):
-        group = Group(view[at:])
-        yield group
-        at += group.bytes + len(END)
+    for one in raw.split(END.encode())[:-1]:
+        yield Group(memoryview(one))
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int, text: str = "text", id_col: str = "doc_id") -> None:
@@ -174,7 +186,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw in batch.column(0):
-                for g in groups(raw.as_py()):
+                for g in (Group(memoryview(raw.as_buffer())),):
                     ends = np.cumsum(g.lengths, dtype=np.int64)
                     wide = memoryview(g.ids().astype("<u4").tobytes())
                     crc = [zlib.crc32(wide[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), g.lengths.tolist())]
@@ -182,7 +194,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     cols = [np.full(len(crc), g.part, np.int64), np.full(len(crc), g.group, np.int64), ends - g.lengths, g.lengths.astype(np.int64), np.array(crc, np.int64)]
                     yield pa.RecordBatch.from_arrays([doc_ids, *map(pa.array, cols)], names=["doc_id", "part", "group", "within", "n_tokens", "ids_crc32"])
 
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("content")
+    raw = spark.read.option("lineSep", END).text(path).select(F.col("value").cast("binary"))
     return raw.mapInArrow(run, "doc_id long, part long, group long, within long, n_tokens long, ids_crc32 long")
 
 

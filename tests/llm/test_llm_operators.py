@@ -141,6 +141,19 @@ def test_block_round_trip(ids):
             assert np.array_equal(g.ids(a, b), ids[a:b])
 
 
+def test_end_marks_inside_a_group_are_masked(spark, tmp_path):
+    odd_id = int.from_bytes(token_store.END.encode() + bytes(3), "little")
+    ids = np.array([5, 6, 7], np.uint32)
+    raw = token_store.encode_group(np.array([odd_id], np.int64), np.array([False]), np.array([3]), ids)
+    end = token_store.END.encode()
+    assert end not in raw and (raw + end).find(end) == len(raw)
+    (g,) = token_store.groups(raw + end)
+    assert g.doc_ids.tolist() == [odd_id] and g.ids().tolist() == [5, 6, 7]
+    docs = spark.createDataFrame([(odd_id, "one two"), (1, "three")], "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in token_store.token_table(docs, vocabulary_path("byte_bpe_50k.json"), 2).collect()}
+    assert got == {odd_id: len(whole_ids("byte_bpe_50k.json", "one two")), 1: len(whole_ids("byte_bpe_50k.json", "three"))}
+
+
 def test_outliers_do_not_widen_blocks():
     ids = np.array(([3, 4, 5, 6] * 255 + [50000] * 4), np.uint32)
     assert len(token_store.encode_block(ids)) < 400
