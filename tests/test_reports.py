@@ -87,3 +87,11 @@ def test_screens_do_without_the_pattern_parser(monkeypatch):
     screen.needed_words.cache_clear()
     assert screen.needed_words(r"(?i)\bcurl\b.{0,9}upload") == ((), False)
     screen.needed_words.cache_clear()
+
+
+@pytest.mark.parametrize("name", ["cross_platform_indicator"])
+def test_corpus_is_scanned_once_for_what_reads_hits_again(spark, name):
+    from gumshoe.plans import registry
+
+    found = registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "documents.parquet" not in found._jdf.queryExecution().optimizedPlan().toString() and found.inputFiles() and not any("documents" in f for f in found.inputFiles())
