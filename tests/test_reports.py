@@ -89,7 +89,7 @@ def test_screens_do_without_the_pattern_parser(monkeypatch):
     screen.needed_words.cache_clear()
 
 
-@pytest.mark.parametrize("name", ["cross_platform_indicator"])
+@pytest.mark.parametrize("name", ["cross_platform_indicator", "upgraded_indicators"])
 def test_corpus_is_scanned_once_for_what_reads_hits_again(spark, name):
     from gumshoe.plans import registry
 
