@@ -6,10 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gumshoe.functions import text as X
+from gumshoe.functions.screen import candidates
+from gumshoe.operators import rules as R
 from gumshoe.operators.dedup import timeline_dedup
 
 COLUMNS = ("timestamp", "platform", "artifact_type", "description", "severity", "source_path", "is_collection_event", "content_preview", "seq")
 
+_SEVERITIES = [R.Rule(f"severity-{n}", "severity", p, s) for n, (s, p) in enumerate(X.SEVERITY_PATTERNS)]
+
 
 def _events(df: DataFrame, time: Column, kind: Column, text: Column, severity: Column, path: Column, collected: bool, preview: Column, seq: Column) -> DataFrame:
     return df.select(
@@ -41,7 +45,8 @@ def log_events(lines: DataFrame, default_year: int = 2025) -> DataFrame:
 
 def config_events(files: DataFrame) -> DataFrame:
     """One event per configuration file."""
-    return _events(files, F.col("modified_at"), F.lit("config"), F.concat(F.lit("Configuration "), "source_file"), X.infer_severity(F.col("content")), F.col("source_file"), False, X.preview(F.col("content")), F.concat(F.lit("3:"), "source_file"))
+    files, may = candidates(files.select("platform", "source_file", "modified_at", "content"), _SEVERITIES, "content", every=True)
+    return _events(files, F.col("modified_at"), F.lit("config"), F.concat(F.lit("Configuration "), "source_file"), X.infer_severity(F.col("content"), may=may), F.col("source_file"), False, X.preview(F.col("content")), F.concat(F.lit("3:"), "source_file"))
 
 
 def indicator_events(indicators: DataFrame, time: str = "event_time") -> DataFrame:
