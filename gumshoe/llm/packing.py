@@ -36,6 +36,8 @@ from gumshoe.llm.tokenize import codec, vocabulary_path, with_end
 WINDOW = 4096
 OPEN_WINDOWS = 32
 MERGE_WINDOWS = 16_384
+#: Texts are encoded and packed in slices of about so many bytes; only their own ids are held.
+SLICE = 1 << 20
 #: A merged window filled to this share is left alone; emptier ones are strung together.
 FULL_SHARE = 0.98
 #: Merged sequences are numbered from here, above partition number * 2**36 + count.
@@ -97,14 +99,13 @@ def pack_tokens(
         fit = BestFit(window, open_windows)
         base = TaskContext.get().partitionId() << 36
         held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            ids, offsets = with_end(*codec(vocabulary).encode(batch.column(1)), end_id)
-            wide = ids.astype("<u4")
+
+        def placed(names: list[int], ids: np.ndarray, offsets: np.ndarray) -> list[tuple]:
             done: list[tuple] = []
-            for doc, a, b in zip(batch.column(0).to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist()):
+            for doc, a, b in zip(names, offsets[:-1].tolist(), offsets[1:].tolist()):
                 for s in range(a, b, window):
                     n = min(window, b - s)
-                    raw = wide[s : s + n].tobytes()
+                    raw = ids[s : s + n].astype("<u4").tobytes()
                     k, at = (fit.new(), 0) if n == window else fit.place(n)
                     piece = (doc, s - a, n, zlib.crc32(raw), b - a, base + k, at, raw)
                     if n == window:
@@ -113,7 +114,14 @@ def pack_tokens(
                         held.setdefault(k, []).append(piece)
             for k in [k for k in held if k not in fit.fill]:
                 done += held.pop(k) if keep_ids else [(*p[:7], None) for p in held.pop(k)]
-            yield _rows(done, False)
+            return done
+
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for first, ids, offsets in codec(vocabulary).encode_slices(batch.column(1), SLICE):
+                ids, offsets = with_end(ids, offsets, end_id)
+                yield _rows(placed(names[first:], ids, offsets), False)
+                pa.default_memory_pool().release_unused()
         yield _rows([p for k in held for p in held[k]], True)
 
     def _rows(rows: list[tuple], is_open: bool) -> pa.RecordBatch:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,8 @@ CACHE_UNITS = 600_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _UNIT = f"^(?P<lead>\\n?)(?P<word>[{LETTERS}]+)(?P<mark>[.,!?;:]?)$"
 SLICE_BYTES = 4 << 20
+#: Uncut texts are encoded together up to about this size.
+WHOLE_BYTES = 256 << 10
 _OPEN: dict[str, "UnitCodec"] = {}
 
 
@@ -147,15 +150,22 @@ class UnitCodec:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): text n owns ids[offsets[n]:offsets[n + 1]]; null counts as empty."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        size = np.cumsum(np.asarray(pc.binary_length(texts)))
-        cuts = np.searchsorted(size, np.arange(SLICE_BYTES, size[-1], SLICE_BYTES)) + 1 if len(texts) else []
-        cuts = [0, *sorted({int(c) for c in cuts if c < len(texts)}), len(texts)]
-        done = [self._slice(texts[a:b]) for a, b in zip(cuts, cuts[1:]) if b > a]
+        done = [(ids, offsets) for _, ids, offsets in self.encode_slices(texts)]
         ids = np.concatenate([i for i, _ in done]) if done else np.zeros(0, self.dtype)
         sizes = np.concatenate([np.diff(o) for _, o in done]) if done else np.zeros(0, np.int64)
         return ids, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
+    def encode_slices(self, texts: pa.Array, size: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(first text, ids, offsets) of runs of texts of about ``size`` bytes, so that no more is held at a time."""
+        size = size or SLICE_BYTES
+        ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64)
+        cuts = np.searchsorted(ends, np.arange(size, ends[-1], size)) + 1 if len(texts) else []
+        cuts = [0, *sorted({int(c) for c in cuts if c < len(texts)}), len(texts)]
+        for a, b in zip(cuts, cuts[1:]):
+            if b > a:
+                ids, offsets = self._slice(pc.fill_null(texts[a:b].cast(pa.large_string()), ""))
+                yield a, ids, offsets.astype(np.int64)
+
     def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         n = len(texts)
         odd = pc.match_substring_regex(texts, _ODD)
@@ -178,8 +188,8 @@ class UnitCodec:
         """Put the uncut texts' ids in their places."""
         sizes = np.diff(offsets)
         parts = np.split(ids, offsets[1:-1])
-        for at in range(0, len(whole), 256):
-            some = whole[at : at + 256]
+        ends = np.cumsum(np.asarray(pc.binary_length(texts)), dtype=np.int64)[whole] if len(whole) else whole
+        for some in np.split(whole, np.flatnonzero(np.diff(ends // WHOLE_BYTES)) + 1):
             for k, e in zip(some, self.tokenizer.encode_batch([texts[int(k)].as_py() for k in some], add_special_tokens=False)):
                 parts[k] = np.asarray(e.ids, self.dtype)
                 sizes[k] = len(parts[k])

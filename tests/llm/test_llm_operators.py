@@ -61,6 +61,30 @@ def test_unit_codec_equals_whole_text_encoding(name, words):
         assert ids[offsets[n] : offsets[n + 1]].tolist() == e.ids, texts[n : n + 1]
 
 
+def test_unit_codec_encodes_bounded_slices(words, monkeypatch):
+    """Packing holds the ids of one slice at a time, and long uncut texts don't go to the library together."""
+    c = UnitCodec(vocabulary_path("word_bpe_49k.json"))
+    texts = pa.array([None, *(words(60, n) for n in range(40)), "", *(words(20_000, n) + " " for n in range(8)), None])
+    sizes = [len(t or "") for t in texts.to_pylist()]
+    asked = []
+
+    class Told:
+        def __getattr__(self, name, real=c.tokenizer):
+            if name == "encode_batch":
+                return lambda batch, **opts: asked.append(sum(map(len, batch))) or real.encode_batch(batch, **opts)
+            return getattr(real, name)
+
+    whole, offsets = c.encode(texts)
+    monkeypatch.setattr(c, "tokenizer", Told())
+    parts = list(c.encode_slices(texts, 4000))
+    assert np.array_equal(np.concatenate([i for _, i, _ in parts]), whole)
+    assert [first for first, _, _ in parts] == np.cumsum([0, *(len(o) - 1 for _, _, o in parts)])[:-1].tolist()
+    assert all(sum(sizes[a : a + len(o) - 1]) <= 4000 + max(sizes) for a, _, o in parts) and len(parts) > 8
+    asked.clear()
+    c.encode(texts)
+    assert sum(sizes[-9:]) > 2 * max(asked) and np.array_equal(c.encode(texts)[1], offsets)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_unit_codec_is_independent_of_what_came_before(name):
     r = random.Random(8)
