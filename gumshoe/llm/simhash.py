@@ -265,6 +265,8 @@ PAIRS_AT_ONCE = 1_000_000
 LARGE, LOOK = 12, 16
 MAP_BITS = 512
 MAP = tuple(f"m{k}" for k in range(MAP_BITS // 64))
+#: Edges that one task contracts, on average.
+SLICE = 1 << 17
 
 
 def shingles(text: bytes, width: int) -> np.ndarray:
@@ -304,6 +306,34 @@ def parity_map(h: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
+def wide_map(h: np.ndarray) -> bytes:
+    """Parities of a set of hashes in as many bits as a power of two, at least two a member."""
+    n = max(64, 1 << (2 * len(h) - 1).bit_length())
+    odd = np.bincount((h >> np.uint64(20)).astype(np.int64) % n, minlength=n) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_differences(a: bytes, b: bytes) -> int:
+    """Bits that differ between two wide maps, the longer folded to the other's length; at most the members that only one set has."""
+    x, y = sorted((np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum(dtype=np.int64))
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (src, dst long) of the same components: in slices of about ``SLICE`` edges every node hangs on the least it reaches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+        if parts:
+            src, dst = (np.concatenate(x) for x in zip(*parts))
+            nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+            root = _roots(len(nodes), iter([(at[: len(src)], at[len(src) :])]))
+            moved = np.flatnonzero(root != np.arange(len(root)))
+            yield from _edges(iter([(nodes[moved], nodes[root[moved]])]), ("src", "dst"))
+
+    return edges.repartition(-(-max(1, edges.count()) // SLICE)).mapInArrow(run, "src long, dst long")
+
+
 def _frequent(source: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, count) of shingles of several sampled texts, by hash.  They only set the order of shingles, so any sample is right."""
     part = max(1, source.count() // SAMPLE_DOCS)
@@ -377,13 +407,14 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     pairs in one posting whose texts aren't in one group yet are counted next, and no link is left.
     Before that, sizes, places in the postings and, in large postings, parity maps of the sets
     rule out pairs that can't be similar enough, so that many variants of one form make few pairs.
+    Wide maps, a twentieth of a set or so, rule out most others, so whole sets are only shuffled for few pairs.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("binary").alias("_text"))
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(source, width))
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            same, fp, size, rare, maps = [], [], [], [], []
+            same, fp, size, rare, wide, maps = [], [], [], [], [], []
             for t in b.column(1):
                 t = t.as_py() or b""
                 every = shingles(t, width)
@@ -395,14 +426,17 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 same.append(xxhash.xxh64_intdigest(b" ".join(t.lower().split()), 7))
                 size.append(len(h))
                 rare.append(prefix(h, least, frequent.value).tobytes())
+                wide.append(wide_map(h))
                 maps.append(parity_map(h))
             cols = [pa.array(np.array(c, np.uint64).view(np.int64)) for c in (same, fp, size)]
             words = [pa.array(c) for c in np.array(maps, np.int64).reshape(len(maps), len(MAP)).T]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(rare, pa.binary()), *words], names=["id", "same", "fp", "size", "rare", *MAP])
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array(rare, pa.binary()), pa.array(wide, pa.binary()), *words], names=["id", "same", "fp", "size", "rare", "wide", *MAP])
 
-    rows = materialize(source.mapInArrow(described, f"id long, same long, fp long, size long, rare binary, {', '.join(f'{m} long' for m in MAP)}"), "near-rows")
+    every = materialize(source.mapInArrow(described, f"id long, same long, fp long, size long, rare binary, wide binary, {', '.join(f'{m} long' for m in MAP)}"), "near-every")
     # A node is a text, named by the hash of its words; one of its ids leads to the text.
-    nodes = materialize(rows.groupBy("same").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("rare").alias("rare"), *[F.first(m).alias(m) for m in MAP]), "near-nodes")
+    nodes = materialize(every.groupBy("same").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("fp", "size", "rare", "wide", *MAP)]), "near-nodes")
+    rows = materialize(every.select("id", "same"), "near-rows")
+    discard(every)
 
     def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -448,6 +482,12 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 part = [np.unique(shingles(t, width)).tobytes() for t in texts[at : at + 500]]
                 yield pa.RecordBatch.from_arrays([pa.array(same[at : at + 500]), pa.array(part, pa.binary())], names=["node", "held"])
 
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            allowed = _allowed(np.asarray(b.column(2)), np.asarray(b.column(4)), least)
+            good = [wide_differences(x.as_py(), y.as_py()) <= k for x, y, k in zip(b.column(3), b.column(5), allowed.tolist())]
+            yield b.select(["src", "dst"]).filter(pa.array(good, pa.bool_()))
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = pa.array([similarity(x.as_py(), y.as_py()) >= least for x, y in zip(b.column(2), b.column(3))], pa.bool_())
@@ -456,7 +496,9 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
         """The pairs (src, dst) of texts that are similar enough, by their whole shingle sets."""
         pairs = pairs.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).where("src <> dst").distinct()
-        pairs = materialize(pairs, f"near-pairs-{tag}")
+        wide = nodes.select("same", "size", "wide")
+        both = pairs.join(wide.toDF("src", "n", "x"), "src").join(wide.toDF("dst", "m", "y"), "dst").select("src", "dst", "n", "x", "m", "y")
+        pairs = materialize(both.mapInArrow(screen, "src long, dst long"), f"near-pairs-{tag}")
         wanted = pairs.select(F.col("src").alias("same")).union(pairs.select("dst")).distinct().join(nodes.select("same", "id"), "same").select("id").distinct()
         held = source.join(small(materialize(wanted, f"near-ids-{tag}")), "id", "left_semi").mapInArrow(sets, "node long, held binary")
         held = materialize(held.dropDuplicates(["node"]), f"near-sets-{tag}")
@@ -481,13 +523,14 @@ def near_components(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     near = link(heads.select("fp"), bits).join(heads.select(F.col("fp").alias("src"), F.col("head").alias("a")), "src").join(heads.select(F.col("fp").alias("dst"), F.col("head").alias("b")), "dst")
     first = grouped(("node", "size", "at", *MAP), posts).mapInArrow(neighbours, "src long, dst long")
     real = confirmed(alike.union(near.select("a", "b")).union(first), "first")
-    groups = materialize(connected_components(real), "near-groups")
+    groups = materialize(connected_components(contracted(real)), "near-groups")
     rest = posts.join(groups, "node", "left").select("key", "node", "size", "at", F.coalesce("component", "node").alias("group"), *MAP)
     # Postings whose texts are all in one group have no open pair.
     mixed = rest.groupBy("key").agg(F.min("group").alias("x"), F.max("group").alias("y")).where("x <> y").select("key")
     rest = materialize(rest.join(mixed, "key", "left_semi"), "near-open")
     more = grouped(("node", "size", "at", "group", *MAP), rest).mapInArrow(opened, "src long, dst long")
-    groups = connected_components(real.union(confirmed(more, "rest")))
+    linked = materialize(groups.select("node", "component").union(confirmed(more, "rest")).toDF("src", "dst"), "near-linked")
+    groups = connected_components(contracted(linked))
     discard(rest), discard(posts)
     of = nodes.select("same", "id").join(groups.withColumnRenamed("node", "same"), "same", "left").withColumn("component", F.coalesce("component", "same"))
     of = of.select("same", "component").join(of.groupBy("component").agg(F.min("id").alias("component_id")), "component").select("same", "component_id")

@@ -678,6 +678,58 @@ def test_many_variants_of_one_text_make_few_pairs(spark, words):
     check_kept(spark, texts + [words(90, 100 + i) for i in range(20)])
 
 
+def test_wide_maps_never_rule_out_a_similar_pair():
+    g = np.random.default_rng(4)
+    for n in (1, 20, 150, 900, 4000):
+        base = g.integers(0, 2**63, n, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([base[: max(1, int(n * keep))], g.integers(0, 2**63, int(n * more), dtype=np.uint64)])) for keep in (1, 0.9, 0.8, 0.7, 0.3) for more in (0, 0.1, 0.6)]
+        for x in sets:
+            for y in sets:
+                apart = len(np.setxor1d(x, y))
+                assert simhash.wide_differences(simhash.wide_map(x), simhash.wide_map(y)) <= apart
+        far = [simhash.wide_differences(simhash.wide_map(x), simhash.wide_map(y)) > simhash._allowed(len(x), len(y), 0.8) for x in sets for y in sets if simhash.similarity(x.tobytes(), y.tobytes()) < 0.7]
+        assert n < 100 or np.mean(far) > 0.9
+
+
+def test_few_sets_are_shuffled_and_few_passes_made(spark, words, monkeypatch):
+    from gumshoe.llm import common
+
+    r, form, texts, tables = random.Random(14), words(300, 60).split(), [], []
+    for i in range(60):  # forms that share four fifths of their words in runs, and so 0.65 to 0.7 of their shingles
+        w = list(form)
+        for k in range(10):
+            w[30 * k + r.randrange(30)] = f"field{i}x{k}"
+        texts.append(" ".join(w))
+    chain = words(300, 61).split()
+    for i in range(40):
+        chain[r.randrange(300)], chain[r.randrange(300)] = f"new{i}", f"more{i}"
+        texts.append(" ".join(chain))
+    r.shuffle(texts)
+    write = common.materialize
+
+    def noted(df, tag):
+        out = write(df, tag)
+        tables.append((tag, out))
+        return out
+
+    monkeypatch.setattr(common, "materialize", noted)
+    monkeypatch.setattr(simhash, "materialize", noted)
+    monkeypatch.setattr(simhash, "discard", lambda df: None)
+    check_kept(spark, texts)
+    assert sum(df.count() for tag, df in tables if tag.startswith("near-sets")) <= 60  # of 100 texts twice at most
+    assert sum(tag == "cc" for tag, _ in tables) <= 4
+
+
+def test_contracted_edges_span_the_same_components(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SLICE", 40)
+    g = np.random.default_rng(6)
+    edges = [(int(a), int(b)) for a, b in g.integers(0, 300, (200, 2))] + [(i + 1, i) for i in range(1000, 1060)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    fewer = simhash.contracted(df)
+    want, got = ({r.node: r.component for r in connected_components(x).collect()} for x in (df, fewer))
+    assert got == want and fewer.count() < df.count() and simhash.contracted(empty(df)).count() == 0
+
+
 def test_similarity_counts_whole_sets():
     g = np.random.default_rng(3)
     for least in (799, 801):
