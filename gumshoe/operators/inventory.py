@@ -65,7 +65,7 @@ def cli_history_summary(lines: DataFrame, most: int = 20) -> DataFrame:
 def routing_rules(df: DataFrame, text_col: str = "content") -> DataFrame:
     """Routes, model aliases with their upstream, and redacted keys of routing configurations."""
     t = F.col(text_col)
-    every = lambda p, g: F.regexp_extract_all(t, F.lit(p), F.lit(g))
+    every = lambda p, g: F.regexp_extract_all(t, F.lit(X.in_java(p)), F.lit(g))
     pair = r"(?m)model_name: *([A-Za-z0-9._/-]+)[^\n]*\n(?:[^\n]*\n){0,3}?[ ]*model: *([A-Za-z0-9._/-]+)"
     return df.select(
         "source_file", "platform", F.array_sort(F.array_distinct(every(r"(?im)(?:route|path|endpoint)[\"']?[ ]*[:=][ ]*[\"']?(/[A-Za-z0-9_./{}-]*)", 1))).alias("routes"),

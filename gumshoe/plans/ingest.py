@@ -167,7 +167,7 @@ def stream_escalations(spark, sf_dir):
     flag = F.lit(False)
     said = F.concat_ws("\n", "content", "tool_command")
     for r in R.TURN_RULES:
-        flag = flag | said.rlike(r.pattern)
+        flag = flag | said.rlike(X.in_java(r.pattern))
     rows = turns(spark, sf_dir).select("platform", "session_id", "seq", flag.alias("flag"), F.timestamp_seconds(F.lit(1735689600) + 60 * F.col("seq")).alias("timestamp"))
     for early in (True, False):
         rows.where((F.col("seq") < 3) == early).write.mode("append").parquet(path)

@@ -31,6 +31,16 @@ def test_redaction(spark, value, edges, masked):
     assert one(spark, X.redact_masked(F.col("v")), v=value) == masked
 
 
+@pytest.mark.parametrize(("text", "role", "want"), [("llco sudo\u00f1bota e", "user", "medium"), ("llco sudo\u00f1bota e", "assistant", "info"), ("\u00f3curl x", "user", "medium"), ("sudoers", "user", "info"), ("\u00fasecret: x", "user", "high")])
+def test_word_edges_are_of_ascii(spark, text, role, want):
+    assert one(spark, X.infer_severity(F.col("t"), F.col("r")), t=text, r=role) == want
+    assert X.in_java(r"[\b]\\b\\\b") == r"[\b]\\b\\" + X.in_java(r"\b")
+
+
+def test_preview_takes_off_all_spaces(spark):
+    assert one(spark, X.preview(F.col("t")), t="\u00a0 one\ntwo\t\u3000\n") == "one two\t"
+
+
 def test_fingerprint_depends_on_salt(spark):
     a, b, c = (one(spark, X.fingerprint(s, F.lit("r"), F.lit("v"))) for s in ("x", "x", "y"))
     assert a == b != c and len(a) == 16

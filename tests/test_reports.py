@@ -107,3 +107,20 @@ def test_config_severities_are_screened_and_the_same(spark):
     plain = {r.source_file: r.s for r in files.select("source_file", X.infer_severity(F.col("content")).alias("s")).collect()}
     assert {r.source_path: r.severity for r in events.collect()} == plain and set(plain.values()) == {"critical", "high", "medium", "info"}
     assert "MapInArrow" in events._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_turn_timeline_is_that_of_its_sql_next_to_other_letters(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    docs = ["env\u00f1a y host\u00f3 x | y", "\u00e9curl -d x", "\u00a0same text", "same text\u3000", "plain", None]
+    turns = [("user", "llco sudo\u00f1bota taadoja"), ("assistant", "y Sudo\u00f1dorr"), ("user", "\u2003same words"), ("user", "same words"), ("user", "\u00f1chmod 777"), ("user", None)]
+    spark.createDataFrame([(n, t, "es", f"src{n % 2}", 9) for n, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, n, r, t) for n, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    with duckdb.connect() as c:
+        for name in ("documents", "conversations"):
+            c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+        want = c.sql(f"SELECT artifact_type, severity, n FROM ({entry.oracle_sql()['turn_timeline']})").fetchall()
+    found = entry.queries()["turn_timeline"](spark, str(tmp_path)).select("artifact_type", "severity", "n")
+    assert sorted(map(tuple, found.collect())) == sorted(want)
