@@ -55,7 +55,7 @@ ORACLES["narratives_report"] = (
     "SELECT narrative, count(*) AS n_findings, list(DISTINCT id ORDER BY id)[1:5] AS refs, list_sort(list_distinct(list_concat(list(DISTINCT platform), first(q)))) AS platforms FROM h, p GROUP BY narrative"
 )
 
-_T8 = ORACLES["risk8_score"].removesuffix(f" SELECT *, {G._BAND} AS severity FROM t8")
+_T8 = G._told8_sql()
 
 ORACLES["priority_actions"] = (
     f"{_T8}, a AS ({' UNION ALL '.join(f'SELECT scope, {u} AS urgency, {sql.lit(a)} AS action, {sql.lit(c)} AS category FROM t8 WHERE {c} >= {least}' for c, least, u, a in risk.ACTIONS)}), "

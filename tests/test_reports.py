@@ -1,6 +1,7 @@
 """STIX bundles of many references, mergeable sketches, rules checked by the JVM."""
 
 import json
+import os
 import random
 from collections import Counter
 
@@ -109,18 +110,35 @@ def test_config_severities_are_screened_and_the_same(spark):
     assert "MapInArrow" in events._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_turn_timeline_is_that_of_its_sql_next_to_other_letters(spark, tmp_path):
+def like_its_sql(spark, name, folder):
+    """Rows of a query, which must be those of its SQL."""
     import duckdb
 
     import __spark_entry__ as entry
 
+    found = entry.queries()[name](spark, str(folder))
+    with duckdb.connect() as c:
+        for table in ("documents", "conversations"):
+            files = f"{folder}/{table}.parquet"
+            c.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{files + '/*.parquet' if os.path.isdir(files) else files}')")
+        want = c.sql(f"SELECT {', '.join(found.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    rows = found.collect()
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+    return rows
+
+
+def test_turn_timeline_is_that_of_its_sql_next_to_other_letters(spark, tmp_path):
     docs = ["env\u00f1a y host\u00f3 x | y", "\u00e9curl -d x", "\u00a0same text", "same text\u3000", "plain", None]
     turns = [("user", "llco sudo\u00f1bota taadoja"), ("assistant", "y Sudo\u00f1dorr"), ("user", "\u2003same words"), ("user", "same words"), ("user", "\u00f1chmod 777"), ("user", None)]
     spark.createDataFrame([(n, t, "es", f"src{n % 2}", 9) for n, t in enumerate(docs)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, n, r, t) for n, (r, t) in enumerate(turns)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    with duckdb.connect() as c:
-        for name in ("documents", "conversations"):
-            c.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
-        want = c.sql(f"SELECT artifact_type, severity, n FROM ({entry.oracle_sql()['turn_timeline']})").fetchall()
-    found = entry.queries()["turn_timeline"](spark, str(tmp_path)).select("artifact_type", "severity", "n")
-    assert sorted(map(tuple, found.collect())) == sorted(want)
+    like_its_sql(spark, "turn_timeline", tmp_path)
+
+
+def test_risk_indicators_are_of_all_detectors_with_what_is_behind_them(spark):
+    rows = like_its_sql(spark, "risk8_indicators", "/root/testdata/sf0.001")
+    labels = {r.label for r in rows}
+    assert {"destructive command", "instructions overridden", "IOC: api_key", "IOC: command", "Credentials on several platforms"} <= labels
+    assert all(r.source_id and r.evidence and r.platforms for r in rows)
+    assert any(r.label == "IOC: api_key" and r.weight == 12.5 and r.source_id.endswith("chars)") for r in rows)
+    assert {r.source_id for r in rows if r.label == "Credentials on several platforms"} >= {"beta", "gamma"}
