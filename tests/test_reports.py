@@ -142,3 +142,9 @@ def test_risk_indicators_are_of_all_detectors_with_what_is_behind_them(spark):
     assert all(r.source_id and r.evidence and r.platforms for r in rows)
     assert any(r.label == "IOC: api_key" and r.weight == 12.5 and r.source_id.endswith("chars)") for r in rows)
     assert {r.source_id for r in rows if r.label == "Credentials on several platforms"} >= {"beta", "gamma"}
+
+
+def test_risk_score_counts_secrets_shared_credentials_and_stages(spark):
+    rows = {r.scope: r for r in like_its_sql(spark, "risk8_score", "/root/testdata/sf0.001")}
+    assert rows["ALL"].lateral_movement >= 8 and rows["gamma"].credential_exposure == 12.5
+    assert {"exploitation", "actions_on_objectives"} <= set(rows["ALL"].stages.split(","))
